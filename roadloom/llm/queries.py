@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roadloom.llm.common import load
 from roadloom.llm.near_dup import near_duplicates
+from roadloom.llm.suffix_dedup import remove_repeats
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(load(spark, sf_dir, "documents")).drop("row", "kept")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
