@@ -7,8 +7,9 @@ similarity bound stays below it in the chance sense: with 7 chunks of 5 symbols,
 probability 3e-6 at 0.85 and far less above. Pairs are then confirmed on the full shingle sets.
 
 Equal sets form one class first. Within a bucket, members are compared with the bucket's first member; whoever is in the same
-component already needs no further comparison. The rest are compared across components only, under exact upper bounds of
-the overlap (set sizes, and shingles that no other candidate has), so large groups of copies never give all their pairs.
+component already needs no further comparison. The rest are compared across components only, under an exact bound: each set
+has a parity bitmap (bit b: whether an odd number of its shingles hash to b), and two bitmaps never differ in more bits than
+their sets differ in shingles. So only pairs that are links, or nearly, leave a bucket, not all pairs of a group.
 
 Rows: a null text is empty; a text without words has an empty set and is linked with nothing. Rows of one doc_id are one
 document for links. A null doc_id keeps its row: its text links nothing, component_id is null, kept is false unless an
@@ -29,8 +30,8 @@ from roadloom.llm.common import LOWER, SPACES, U64, components, mix, partitions,
 
 CHUNKS, SYMBOLS, ERRORS = 7, 5, 1
 WIDTH = CHUNKS * SYMBOLS
-#: A pair whose signatures differ in more symbols isn't confirmed: 7e-8 of the pairs at similarity 0.85 do.
-MOST_DISTANCE = 18
+#: Bits of a parity bitmap for each shingle, rounded up to a power of two.
+BITS_EACH = 4
 #: Ids that may be sent to all executors (16 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 2_000_000
 #: Members of a bucket that one task compares; larger buckets are cut into pairs of blocks.
@@ -78,6 +79,27 @@ def signatures(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Bitmap of the parities of shingles mod its length; halves XORed give the bitmap of half the length."""
+    size = max(64, 1 << (BITS_EACH * len(shingles) - 1).bit_length()) if len(shingles) else 64
+    odd = np.bincount((shingles & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bitmaps: list[np.ndarray], words: int) -> np.ndarray:
+    """Bitmaps of at least so many 64-bit words, folded to that many."""
+    return np.stack([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bitmaps])
+
+
+def _words(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _may_link(differ: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in at least so many shingles can have the similarity."""
+    return (100 + percent) * differ <= (100 - percent) * (n_a + n_b)
+
+
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,6 +113,7 @@ def _sketch(k: int):
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                         "digest": pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()),
                         "sig": pa.array([s.tobytes() for s in sig], pa.binary()),
+                        "bits": pa.array([parity(s) for s in sets], pa.binary()),
                     }
                 )
 
@@ -127,11 +150,20 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"key": pa.array(key.view(np.int64)), "node": nodes})
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs whose signatures are within MOST_DISTANCE."""
-    for batch in batches:
-        far = (_matrix(batch.column("sig_a")) != _matrix(batch.column("sig_b"))).sum(axis=1)
-        yield batch.select(["a", "b"]).filter(pa.array(far <= MOST_DISTANCE))
+def _close(percent: int):
+    """Keeps pairs whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = []
+            for x, y in zip(_words(batch.column("bits_a")), _words(batch.column("bits_b")), strict=True):
+                w = min(len(x), len(y))
+                x, y = _folded([x], w)[0], _folded([y], w)[0]
+                differ.append(int(np.bitwise_count(x ^ y).sum()))
+            can = _may_link(np.array(differ, np.int64), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(can))
+
+    return run
 
 
 def _confirm(percent: int):
@@ -147,30 +179,32 @@ def _confirm(percent: int):
     return run
 
 
-def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for every shingle of every set."""
-    for batch in batches:
-        for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
-            h = np.frombuffer(raw.as_buffer(), np.int64)
-            yield pa.record_batch({"h": pa.array(h), "node": pa.array(np.full(len(h), node, np.int64))})
-
-
 def _across(percent: int):
-    """Pairs of different components in a bucket whose overlap can reach the bound; rows come sorted by group."""
+    """Pairs of different components in a bucket whose bitmaps allow a link; rows come sorted by group."""
 
-    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(rows: dict) -> tuple[np.ndarray, np.ndarray]:
         found_a, found_b = [], []
-        n, own, comp, node = rows["n"], rows["n"] - rows["alone"], rows["label"], rows["node"]
+        n, comp, node, bits, block = rows["n"], rows["label"], rows["node"], rows["bits"], rows["block"]
+        if (comp == comp[0]).all():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         same = rows["lo"][0] == rows["hi"][0]
-        left = np.flatnonzero(rows["block"] == rows["lo"])
-        right = left if same else np.flatnonzero(rows["block"] == rows["hi"])
-        for i in left:
-            j = right[right > i] if same else right
-            most = np.minimum(own[i], own[j])
-            j = j[(comp[j] != comp[i]) & (100 * most >= percent * (n[i] + n[j] - most))]
-            j = j[(rows["sig"][j] != rows["sig"][i]).sum(axis=1) <= MOST_DISTANCE]
-            found_a.append(np.minimum(node[i], node[j]))
-            found_b.append(np.maximum(node[i], node[j]))
+        words = np.array([len(b) for b in bits])
+        for w in np.unique(words):  # the shorter bitmap of a pair sets the length
+            there = np.flatnonzero(words >= w)
+            table = _folded([bits[x] for x in there], int(w))
+            for x in np.flatnonzero(words[there] == w):
+                i = there[x]
+                y = np.flatnonzero((comp[there] != comp[i]) & ((words[there] > w) | (there > i)) & (True if same else block[there] != block[i]))
+                j = there[y]
+                fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                y, j = y[fit], j[fit]
+                if not len(j):
+                    continue
+                fit = _may_link(np.bitwise_count(table[y] ^ table[x]).sum(axis=1, dtype=np.int64), n[i], n[j], percent)
+                found_a.append(np.minimum(node[i], node[j[fit]]))
+                found_b.append(np.maximum(node[i], node[j[fit]]))
+        if not found_a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(found_a), np.concatenate(found_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +217,8 @@ def _across(percent: int):
             cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
             done = cuts if batch is None else cuts[:-1]
             held = None if batch is None else table.slice(cuts[-2])
-            columns = {c: table.column(c).to_numpy() for c in ("n", "alone", "label", "node", "lo", "hi", "block")}
-            columns["sig"] = _matrix(table.column("sig").combine_chunks())
+            columns = {c: table.column(c).to_numpy() for c in ("n", "label", "node", "lo", "hi", "block")}
+            columns["bits"] = _words(table.column("bits"))
             for x, y in zip(done[:-1], done[1:], strict=True):
                 a, b = pairs({c: v[x:y] for c, v in columns.items()})
                 if len(a):
@@ -206,9 +240,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
-    sketches = stored(texts.mapInArrow(_sketch(k), "doc_id long, n_shingles long, digest binary, sig binary"), "sketches")
-    classes = stored(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig")), "classes")
-    nodes = classes.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max_by("sig", "n").alias("sig"))
+    sketches = stored(texts.mapInArrow(_sketch(k), "doc_id long, n_shingles long, digest binary, sig binary, bits binary"), "sketches")
+    classes = stored(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.min("bits").alias("bits")), "classes")
+    nodes = classes.where("node is not null").select("node", "n", "bits")
 
     index = classes.where("node is not null").select("node", "sig").mapInArrow(_index, "key long, node long")
     shared = index.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("key", "pivot")
@@ -223,21 +257,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return stored(with_a.join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
 
     first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    sized = first.join(nodes.toDF("a", "n_a", "sig_a"), "a").join(nodes.toDF("b", "n_b", "sig_b"), "b")
+    sized = first.join(nodes.toDF("a", "n_a", "bits_a"), "a").join(nodes.toDF("b", "n_b", "bits_b"), "b")
     sized = sized.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    links = confirmed(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a long, b long"))
+    links = confirmed(sized.mapInArrow(_close(percent), "a long, b long").distinct())
     labels = components(links, "a", "b")
 
     placed = stored(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("g")).where("l <> m").select("key", "g")
     rest = stored(placed.join(mixed, "key"), "rest")
-    open_nodes = rest.select("node").distinct()
-    alone = sets.join(open_nodes, "node", "left_semi").mapInArrow(_single, "h long, node long").groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    alone = alone.where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
-    about = nodes.join(open_nodes, "node", "left_semi").join(alone, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).cast("long").alias("alone"), "sig")
     blocks = F.ceil(F.col("g") / BLOCK)
-    dealt = rest.join(about, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", "node", "label", "n", "alone", "sig", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+    dealt = rest.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", "node", "label", "n", "bits", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
     dealt = dealt.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     late = dealt.mapInArrow(_across(percent), "a long, b long").distinct()
     more = confirmed(late)
