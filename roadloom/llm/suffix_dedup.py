@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import U64, mix, partitions, raw_text, steps
+from roadloom.llm.common import U64, buffers, mix, partitions, raw_text, steps
 from roadloom.llm.induced_sort import induced
 
 LENGTH = 100
@@ -32,8 +32,8 @@ GRAM = 24
 BUDGET = 192 << 20
 #: Symbols sorted together in a shard. Equal keys stay together, so a longer stretch of one key is one (external) sort.
 SHARD_SYMBOLS = 6 << 20
-#: Windows in one piece at most (16 bits of a packed span); a longer stretch of one key is several pieces.
-MOST_WINDOWS = 60_000
+#: Windows in one piece at most (15 bits of a packed span); a longer stretch of one key is several pieces.
+MOST_WINDOWS = 32_000
 FIRST_ID = -(1 << 63)
 
 
@@ -95,8 +95,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[at], at, size, inside
 
 
-def _pack(lo: np.ndarray, n: np.ndarray, ver: np.ndarray) -> np.ndarray:
-    return (lo << 32) | (n << 16) | ver
+def _pack(lo: np.ndarray, n: np.ndarray, inside: np.ndarray, ver: np.ndarray) -> np.ndarray:
+    """31 bits of the first window, 15 of their number, one for a repeat inside, 16 of the text's hash."""
+    return (lo << 32) | (n << 17) | (inside.astype(np.int64) << 16) | ver
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in steps(batch.column("raw")):
             key, at, n, inside = pieces(data, offsets)
             row = np.searchsorted(offsets, at, side="right") - 1
-            found.append((key, docs[i + row], _pack(at - offsets[row], n, vers[i + row]), inside))
+            found.append((key, docs[i + row], _pack(at - offsets[row], n, inside, vers[i + row]), inside))
         key, doc, span, known = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [], [])
         if not len(key):
             continue
@@ -127,40 +128,47 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = batch.column("spans")
         lists = spans.offsets.to_numpy()
         flat = spans.flatten()
-        key_of, span_of = flat.field("key").to_numpy(), flat.field("span").to_numpy()
+        keys, packed = flat.field("key").to_numpy(), flat.field("span").to_numpy()
         lists = lists - lists[0]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists))
+        doc, lo, n = docs[row], packed >> 32, (packed >> 17) & 0x7FFF
+        data, at = buffers(batch.column("raw"))
         first: dict[bytes, int] = {}
-        out_key, out_doc, out_ver, out_lo, out_n, out_piece = [], [], [], [], [], []
-        raw = batch.column("raw")
-        for r in np.argsort(docs, kind="stable").tolist():
-            text = raw[r].as_py()
-            a, b = int(lists[r]), int(lists[r + 1])
-            order = np.argsort(span_of[a:b], kind="stable") + a
-            lo = span_of[order] >> 32
-            n = (span_of[order] >> 16) & 0xFFFF
-            for k, x, m in zip(key_of[order].tolist(), lo.tolist(), n.tolist(), strict=True):
-                piece = text[x : x + m + LENGTH - 1]
-                place = (int(docs[r]), x)
-                if first.setdefault(piece, place) == place:
-                    out_piece.append(piece)
-                else:
-                    out_piece.append(None)
-                out_key.append(k)
-                out_lo.append(x)
-                out_n.append(m)
-            out_doc.append(np.full(b - a, docs[r]))
-            out_ver.append(np.full(b - a, vers[r]))
-        if out_key:
-            yield pa.record_batch(
-                {
-                    "key": pa.array(out_key, pa.int64()),
-                    "doc": pa.array(np.concatenate(out_doc)),
-                    "ver": pa.array(np.concatenate(out_ver)),
-                    "lo": pa.array(out_lo, pa.int64()),
-                    "n": pa.array(out_n, pa.int64()),
-                    "piece": pa.array(out_piece, pa.binary()),
-                }
-            )
+        out: list = [None] * len(keys)
+        for x in np.lexsort((lo, doc)).tolist():
+            begin = int(at[row[x]] + lo[x])
+            piece = data[begin : begin + int(n[x]) + LENGTH - 1].tobytes()
+            y = first.setdefault(piece, x)
+            if doc[y] == doc[x] and lo[y] == lo[x]:
+                out[x] = piece
+        yield pa.record_batch(
+            {
+                "key": pa.array(keys),
+                "doc": pa.array(doc),
+                "ver": pa.array(vers[row]),
+                "lo": pa.array(lo),
+                "n": pa.array(n),
+                "inside": pa.array((packed >> 16) & 1 > 0),
+                "piece": pa.array(out, pa.binary()),
+            }
+        )
+
+
+def contested(batch: pa.Table) -> tuple[np.ndarray, pa.Table]:
+    """Merges equal pieces into the earliest: rows of all windows of the others, and the pieces that still need sorting,
+    those whose key has several different pieces or whose own windows may repeat inside."""
+    key, doc, ver, lo, n = (batch.column(c).to_numpy() for c in ("key", "doc", "ver", "lo", "n"))
+    inside = batch.column("inside").to_numpy(zero_copy_only=False)
+    first: dict[bytes, int] = {}
+    pieces_ = batch.column("piece").to_pylist()
+    lead = np.empty(len(key), np.int64)
+    for x in np.lexsort((lo, doc)).tolist():
+        lead[x] = first.setdefault(pieces_[x], x)
+    late = (doc != doc[lead]) | (lo != lo[lead])
+    rest = np.flatnonzero(lead == np.arange(len(key)))
+    _, group, count = np.unique(key[rest], return_inverse=True, return_counts=True)
+    rest = rest[(count[group] > 1) | inside[rest]]
+    return np.stack([doc[late], ver[late], lo[late], n[late]]), batch.take(pa.array(rest))
 
 
 def repeated_windows(batch: pa.Table, budget: int = BUDGET) -> np.ndarray:
@@ -215,7 +223,8 @@ def _sort_shards(budget: int, symbols: int):
         held, size, last = [], 0, None
 
         def ready():
-            out = repeated_windows(pa.Table.from_batches(held), budget)
+            equal, rest = contested(pa.Table.from_batches(held))
+            out = np.concatenate([equal, repeated_windows(rest, budget)], axis=1) if rest.num_rows else equal
             return pa.record_batch({c: pa.array(v) for c, v in zip(("doc", "ver", "lo", "n"), out, strict=True)})
 
         for batch in batches:
@@ -289,18 +298,19 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, budget: int
     spark = docs.sparkSession
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), raw_text().alias("raw"))
-    base = base.select("doc_id", "row", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc"), F.pmod(F.xxhash64("raw"), F.lit(65536)).alias("ver"), "raw")
+    base = base.select("row", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc"), F.xxhash64("raw").bitwiseAND(F.lit(65535)).alias("ver"), "raw")
     found = base.select("doc", "ver", "raw").mapInArrow(_find, "slot long, key long, doc long, span long")
-    number = f"count(*) over (partition by slot)"
-    repeated = found.withColumn("c", F.expr(number)).where("c > 1 or key is not null").select(F.coalesce("key", "slot").alias("key"), "doc", F.pmod("span", F.lit(65536)).alias("ver"), "span")
+    number = "count(*) over (partition by slot)"
+    repeated = found.withColumn("c", F.expr(number)).where("c > 1 or key is not null").select(F.coalesce("key", "slot").alias("key"), "doc", F.col("span").bitwiseAND(F.lit(65535)).alias("ver"), "span")
     wanted = repeated.groupBy("doc", "ver").agg(F.collect_set(F.struct("key", "span")).alias("spans"))
-    cut = wanted.join(base.select("doc", "ver", "raw", "doc_id", "row"), ["doc", "ver"]).select("doc", "ver", "raw", "spans")
-    out = "key long, doc long, ver long, lo long, n long, piece binary"
+    # both joins take the same columns of the texts, so that these are shuffled once
+    cut = wanted.join(base, ["doc", "ver"]).select("doc", "ver", "raw", "row", "spans")
+    out = "key long, doc long, ver long, lo long, n long, inside boolean, piece binary"
     cut = cut.mapInArrow(_cut, out)
     route = F.when(F.col("piece").isNull(), F.xxhash64("doc", "lo")).otherwise(F.col("key"))
     shards = cut.withColumn("route", route).repartition(partitions(spark), "route").sortWithinPartitions("route").drop("route")
     late = shards.mapInArrow(_sort_shards(budget, symbols), "doc long, ver long, lo long, n long")
     windows = late.groupBy("doc", "ver").agg(F.collect_set(F.struct("lo", "n")).alias("windows"))
-    whole = base.join(windows, ["doc", "ver"], "left").select("doc_id", "row", F.length("raw").cast("long").alias("n_bytes"), "raw", "windows")
+    whole = base.join(windows, ["doc", "ver"], "left").select(F.nullif("doc", F.lit(FIRST_ID)).alias("doc_id"), "row", F.length("raw").cast("long").alias("n_bytes"), "raw", "windows")
     kind = base.schema["row"].dataType.simpleString()
     return whole.mapInArrow(_finish, f"doc_id long, row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
