@@ -3,8 +3,8 @@
 A document's word shingles get CHUNKS * SYMBOLS minimum hashes of 16 bits. Two signatures that differ in fewer than
 CHUNKS * (ERRORS + 1) symbols agree, in one chunk at least, on all but ERRORS symbols (pigeonhole); so each chunk is indexed
 once for every choice of ERRORS symbols to leave out, and equal keys give every pair under that distance. A pair at the
-similarity bound stays below it in the chance sense: with 7 chunks of 5 symbols, one error each, all chunks fail with
-probability 3e-6 at 0.85 and far less above. Pairs are then confirmed on the full shingle sets.
+similarity bound stays below it in the chance sense: with 9 chunks of 5 symbols, one error each, all chunks fail with
+probability 9e-8 at 0.85, 6e-6 at 0.8, and far less above. Pairs are then confirmed on the full shingle sets.
 
 Equal sets form one class first. Within a bucket, members are compared with the bucket's first member; whoever is in the same
 component already needs no further comparison. The rest are compared across components only, under an exact bound: each set
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from roadloom.llm.common import LOWER, SPACES, U64, components, mix, partitions, raw_text, steps, stored, word_hashes, word_spans
 
-CHUNKS, SYMBOLS, ERRORS = 7, 5, 1
+CHUNKS, SYMBOLS, ERRORS = 9, 5, 1
 WIDTH = CHUNKS * SYMBOLS
 #: Bits of a parity bitmap for each shingle, rounded up to a power of two.
 BITS_EACH = 4
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     k: words of a shingle; percent: link where 100 * intersection >= percent * union. The chance of a missed link is
-    given above for 85 percent; at 80 it is 1e-5 at the very bound.
+    given above.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))

@@ -4,24 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from roadloom.llm.common import load
+from roadloom.llm.decontaminate import decontaminate
 from roadloom.llm.near_dup import near_duplicates
+from roadloom.llm.packing import packed
 from roadloom.llm.suffix_dedup import remove_repeats
+from roadloom.llm.toxicity import toxicity
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(load(spark, sf_dir, "documents")).drop("row", "kept")
+    return remove_repeats(load(spark, sf_dir, "documents")).drop("row", "kept_text")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op3_toxicity": op3_toxicity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -276,7 +276,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(0)
                 spans.append(0)
             digest.append(hashlib.sha256(text).hexdigest())
-            kept.append(text)
+            kept.append(text.decode("utf-8", "ignore"))
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id"),
@@ -285,15 +285,15 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()),
                 "kept_sha256": pa.array(digest, pa.string()),
-                "kept": pa.array(kept, pa.binary()),
+                "kept_text": pa.array(kept, pa.string()),
             }
         )
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, budget: int = BUDGET, symbols: int = SHARD_SYMBOLS) -> DataFrame:
-    """(doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of docs(doc_id, text).
+    """(doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for every row of docs(doc_id, text).
 
-    kept: the remaining bytes; row: a struct of the columns named in carry (null for none).
+    kept_text: the remaining bytes as text, without what is left of a character that lost a byte; row: a struct of the columns named in carry (null for none).
     """
     spark = docs.sparkSession
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
@@ -313,4 +313,4 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, budget: int
     windows = late.groupBy("doc", "ver").agg(F.collect_set(F.struct("lo", "n")).alias("windows"))
     whole = base.join(windows, ["doc", "ver"], "left").select(F.nullif("doc", F.lit(FIRST_ID)).alias("doc_id"), "row", F.length("raw").cast("long").alias("n_bytes"), "raw", "windows")
     kind = base.schema["row"].dataType.simpleString()
-    return whole.mapInArrow(_finish, f"doc_id long, row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return whole.mapInArrow(_finish, f"doc_id long, row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

@@ -214,13 +214,14 @@ def _score(model_of):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, model: Model | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, training: DataFrame | None = None) -> DataFrame:
     """(doc_id, row, held_out, score, predicted, neighbours, cosines) for every row of docs(doc_id, text).
 
-    neighbours and cosines are the evidence; row: a struct of the columns named in carry (null for none).
+    neighbours and cosines are the evidence; row: a struct of the columns named in carry (null for none);
+    training: documents to take the labelled texts from, docs by default.
     """
     sc = docs.sparkSession.sparkContext
-    packed = pickle.dumps(model or train(docs, labels))
+    packed = pickle.dumps(train(docs if training is None else training, labels))
     if len(packed) > MOST_BYTES:
         raise ValueError(f"the model has {len(packed)} bytes, the bound is {MOST_BYTES}: lower most_examples or most_terms")
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
