@@ -12,6 +12,11 @@ from roadloom.llm.common import load
 from roadloom.llm.decontaminate import decontaminate
 from roadloom.llm.near_dup import near_duplicates
 from roadloom.llm.packing import packed
+from roadloom.llm.quality_rules import ORACLE as QUALITY_SQL
+from roadloom.llm.quality_rules import quality
+from roadloom.llm.sharding import shard
+from roadloom.llm.snapshots import ORACLE as SNAPSHOT_SQL
+from roadloom.llm.snapshots import collapse
 from roadloom.llm.suffix_dedup import remove_repeats
 from roadloom.llm.toxicity import toxicity
 
@@ -25,6 +30,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(load(spark, sf_dir, "documents"))
+
+
+def op5_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse(load(spark, sf_dir, "conversations"))
+
+
+def op6_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(load(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -40,10 +57,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_snapshot_collapse": op5_snapshot_collapse,
+    "op6_minimax_sharding": op6_minimax_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": QUALITY_SQL,
+    "op5_snapshot_collapse": SNAPSHOT_SQL,
+}
