@@ -34,11 +34,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings that start earlier; a character that lost a byte goes whole. Lengths follow."""
-    cut = remove_repeats(docs, carry=docs.columns)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
-    size = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("row.n_chars"))
-    new = {"text": text, "n_chars": size.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    return cut.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    cut = remove_repeats(docs, carry=[c for c in docs.columns if c != "text"])
+    size = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("kept_text"), "n_chars": size.cast(docs.schema["n_chars"].dataType) if size is not None else None}
+    return cut.select(*[(new[c] if c in new else F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

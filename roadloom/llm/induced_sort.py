@@ -240,23 +240,27 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
 def _seed_common(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Common prefix of each seed with the one before it; bytes are compared eight at a time."""
     a, b = order[:-1], order[1:]
-    if text.dtype != np.uint16 or len(text) < 16:
-        return np.concatenate([np.zeros(min(1, len(order)), np.uint8), _common(text, a, b, depth)])
-    view = np.lib.stride_tricks.as_strided(text[: len(text) - 3].view(np.uint16), (len(text) - 3, 4), (2, 2), writeable=False)
+    head = np.zeros(min(1, len(order)), np.uint8)
+    if text.dtype != np.uint8 or len(text) < 16:
+        return np.concatenate([head, _common(text, a, b, depth)])
+    words = np.ndarray(len(text) - 7, np.dtype("<u8"), text, strides=(1,))
     out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    while len(live):
-        x, y = a[live] + out[live], b[live] + out[live]
-        inside = (np.maximum(x, y) < len(view)) & (out[live] < depth)
-        live, x, y = live[inside], x[inside], y[inside]
-        same = view[x] == view[y]
-        step = np.where(same.all(axis=1), 4, np.argmin(same, axis=1))
-        out[live] += step
-        live = live[step == 4]
-    tail = (np.maximum(a, b) + out >= len(view)) & (out < depth)
-    if tail.any():
-        out[tail] += _common(text, a[tail] + out[tail], b[tail] + out[tail], depth)
-    return np.concatenate([np.zeros(min(1, len(order)), np.uint8), np.minimum(out, depth).astype(np.uint8)])
+    live, x, y = np.arange(len(a)), a, b
+    at = 0
+    while len(live) and at < depth:
+        inside = np.maximum(x, y) + at < len(words)
+        if not inside.all():
+            rest = ~inside
+            out[live[rest]] = at + _common(text, x[rest] + at, y[rest] + at, depth)
+            live, x, y = live[inside], x[inside], y[inside]
+        differ = words[x + at] ^ words[y + at]
+        last = differ != 0
+        low = differ[last]
+        out[live[last]] = at + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        live, x, y = live[~last], x[~last], y[~last]
+        at += 8
+    out[live] = depth
+    return np.concatenate([head, np.minimum(out, depth).astype(np.uint8)])
 
 
 def seed_order(code: np.ndarray, seeds: np.ndarray, depth: int, budget: int, level: int = 0) -> np.ndarray:
@@ -281,7 +285,7 @@ def induced(text: np.ndarray, depth: int, budget: int, level: int = 0):
         return
     is_s = _types(text)
     top = int(text.max()) + 1
-    code = text.astype(np.uint16 if top < 1 << 15 else np.int64) * 2 + is_s
+    code = (text.astype(np.uint16 if top < 1 << 15 else np.int64) << 1) | is_s
     seeds = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     del is_s
     order = seed_order(code, seeds, depth, budget, level) if len(seeds) else seeds

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import U64, buffers, mix, partitions, raw_text, steps
+from roadloom.llm.common import U64, mix, partitions, raw_text, steps
 from roadloom.llm.induced_sort import induced
 
 LENGTH = 100
@@ -35,6 +35,8 @@ SHARD_SYMBOLS = 6 << 20
 #: Windows in one piece at most (15 bits of a packed span); a longer stretch of one key is several pieces.
 MOST_WINDOWS = 32_000
 FIRST_ID = -(1 << 63)
+#: Bytes of text hashed in one step: its arrays stay in a core's cache.
+HASH_STEP = 1 << 16
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -105,7 +107,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, vers = batch.column("doc").to_numpy(), batch.column("ver").to_numpy()
         found = []
-        for i, j, data, offsets in steps(batch.column("raw")):
+        for i, j, data, offsets in steps(batch.column("raw"), HASH_STEP):
             key, at, n, inside = pieces(data, offsets)
             row = np.searchsorted(offsets, at, side="right") - 1
             found.append((key, docs[i + row], _pack(at - offsets[row], n, inside, vers[i + row]), inside))
@@ -132,26 +134,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = lists - lists[0]
         row = np.repeat(np.arange(batch.num_rows), np.diff(lists))
         doc, lo, n = docs[row], packed >> 32, (packed >> 17) & 0x7FFF
-        data, at = buffers(batch.column("raw"))
-        first: dict[bytes, int] = {}
+        texts = batch.column("raw").to_pylist()
+        first: dict[bytes, tuple[int, int]] = {}
         out: list = [None] * len(keys)
-        for x in np.lexsort((lo, doc)).tolist():
-            begin = int(at[row[x]] + lo[x])
-            piece = data[begin : begin + int(n[x]) + LENGTH - 1].tobytes()
-            y = first.setdefault(piece, x)
-            if doc[y] == doc[x] and lo[y] == lo[x]:
+        order = np.lexsort((lo, doc))
+        for x, r, d, a, m in zip(order.tolist(), row[order].tolist(), doc[order].tolist(), lo[order].tolist(), n[order].tolist(), strict=True):
+            piece = texts[r][a : a + m + LENGTH - 1]
+            if first.setdefault(piece, (d, a)) == (d, a):
                 out[x] = piece
-        yield pa.record_batch(
-            {
-                "key": pa.array(keys),
-                "doc": pa.array(doc),
-                "ver": pa.array(vers[row]),
-                "lo": pa.array(lo),
-                "n": pa.array(n),
-                "inside": pa.array((packed >> 16) & 1 > 0),
-                "piece": pa.array(out, pa.binary()),
-            }
-        )
+        whole = np.array([x is not None for x in out], bool)
+        yield pa.record_batch({c: pa.array(v[whole]) for c, v in (("key", keys), ("doc", doc), ("ver", vers[row]), ("lo", lo), ("n", n), ("inside", (packed >> 16) & 1 > 0))} | {"piece": pa.array([x for x in out if x is not None], pa.binary())})
+        late = order[~whole[order]]
+        if len(late):  # neighbouring pieces make one stretch of repeated windows
+            r, a, m = row[late], lo[late], n[late]
+            sort = np.lexsort((a, r))
+            late, r, a, m = late[sort], r[sort], a[sort], m[sort]
+            cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1] + m[:-1])]))
+            n_all = np.add.reduceat(m, cut)
+            none = len(cut)
+            yield pa.record_batch(
+                {
+                    "key": pa.nulls(none, pa.int64()),
+                    "doc": pa.array(docs[r[cut]]),
+                    "ver": pa.array(vers[r[cut]]),
+                    "lo": pa.array(a[cut]),
+                    "n": pa.array(n_all),
+                    "inside": pa.nulls(none, pa.bool_()),
+                    "piece": pa.nulls(none, pa.binary()),
+                }
+            )
 
 
 def contested(batch: pa.Table) -> tuple[np.ndarray, pa.Table]:
@@ -180,12 +191,17 @@ def repeated_windows(batch: pa.Table, budget: int = BUDGET) -> np.ndarray:
     data = np.frombuffer(piece.buffers()[2], np.uint8)
     offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + count + 1].astype(np.int64)
     size = np.diff(offsets)
-    text = np.zeros(int(size.sum()) + count, np.uint16)  # 0 ends a piece
+    data = data[offsets[0] : offsets[-1]]
     begin = np.concatenate([[0], np.cumsum(size + 1)])
-    body = np.ones(len(text), bool)
+    body = np.ones(int(begin[-1]), bool)
     body[begin[1:] - 1] = False
-    text[body] = data[offsets[0] : offsets[-1]]
-    text[body] += 1
+    if (data == 255).any():  # not UTF-8: a wider alphabet, in which 0 ends a piece
+        text = np.zeros(len(body), np.uint16)
+        text[body] = data
+        text[body] += 1
+    else:
+        text = np.full(len(body), 255, np.uint8)
+        text[body] = data
     doc, ver, lo = (batch.column(c).to_numpy() for c in ("doc", "ver", "lo"))
     out = []
     for _, pos, lcp in induced(text, LENGTH, budget):
@@ -255,33 +271,33 @@ def _sort_shards(budget: int, symbols: int):
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, spans, digest, kept = [], [], [], []
-        flat = batch.column("windows").flatten() if batch.num_rows else None
-        lists = batch.column("windows").offsets.to_numpy()
+        size, removed, spans, digest, kept = [], [], [], [], []
+        windows = batch.column("windows")
+        flat, lists = windows.flatten(), windows.offsets.to_numpy()
         lists = lists - lists[0]
         lo_all, n_all = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
-        null = batch.column("windows").is_null().to_pylist()
-        for r, raw in enumerate(batch.column("raw")):
-            text = raw.as_py()
-            lo, n = (lo_all[lists[r] : lists[r + 1]], n_all[lists[r] : lists[r + 1]]) if not null[r] else ((), ())
-            if len(lo):
+        null = windows.is_null().to_pylist()
+        for r, raw in enumerate(batch.column("raw").to_pylist()):
+            text = raw or b""
+            size.append(len(text))
+            n_removed = n_spans = 0
+            if not null[r] and lists[r + 1] > lists[r]:
+                lo, n = lo_all[lists[r] : lists[r + 1]], n_all[lists[r] : lists[r + 1]]
                 edge = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edge, lo, 1)
                 np.add.at(edge, lo + n + LENGTH - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                removed.append(int(gone.sum()))
-                spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            else:
-                removed.append(0)
-                spans.append(0)
+                n_removed, n_spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            removed.append(n_removed)
+            spans.append(n_spans)
             digest.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.decode("utf-8", "ignore"))
+            kept.append(text.decode("utf-8", "ignore") if raw is not None else None)
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id"),
                 "row": batch.column("row"),
-                "n_bytes": batch.column("n_bytes"),
+                "n_bytes": pa.array(size, pa.int64()),
                 "n_removed": pa.array(removed, pa.int64()),
                 "n_spans": pa.array(spans, pa.int64()),
                 "kept_sha256": pa.array(digest, pa.string()),
@@ -293,24 +309,29 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, budget: int = BUDGET, symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """(doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for every row of docs(doc_id, text).
 
-    kept_text: the remaining bytes as text, without what is left of a character that lost a byte; row: a struct of the columns named in carry (null for none).
+    kept_text: the remaining bytes as text, without what is left of a character that lost a byte, null for null; row: a struct of the columns named in carry (null for none).
     """
     spark = docs.sparkSession
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), raw_text().alias("raw"))
-    base = base.select("row", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("doc"), F.xxhash64("raw").bitwiseAND(F.lit(65535)).alias("ver"), "raw")
-    found = base.select("doc", "ver", "raw").mapInArrow(_find, "slot long, key long, doc long, span long")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))
+    # texts are told apart by a hash, too, where an id is not enough
+    shared_id = not docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    ver = F.xxhash64(raw_text()).bitwiseAND(F.lit(65535)) if shared_id else F.lit(0).cast("long")
+    base = docs.select(row.alias("row"), doc.alias("doc"), ver.alias("ver"), F.col("text").cast("binary").alias("raw"))
+    kind = base.schema["row"].dataType.simpleString()
+    texts = base.select("doc", "ver", F.coalesce("raw", F.lit(b"")).alias("raw"))
+    keys = ["doc", "ver"] if shared_id else ["doc"]
+    found = texts.mapInArrow(_find, "slot long, key long, doc long, span long")
     number = "count(*) over (partition by slot)"
     repeated = found.withColumn("c", F.expr(number)).where("c > 1 or key is not null").select(F.coalesce("key", "slot").alias("key"), "doc", F.col("span").bitwiseAND(F.lit(65535)).alias("ver"), "span")
-    wanted = repeated.groupBy("doc", "ver").agg(F.collect_set(F.struct("key", "span")).alias("spans"))
+    wanted = repeated.groupBy(*keys).agg(F.collect_set(F.struct("key", "span")).alias("spans"))
     # both joins take the same columns of the texts, so that these are shuffled once
-    cut = wanted.join(base, ["doc", "ver"]).select("doc", "ver", "raw", "row", "spans")
+    cut = wanted.join(base, keys).select("doc", "ver", "raw", "row", "spans")
     out = "key long, doc long, ver long, lo long, n long, inside boolean, piece binary"
     cut = cut.mapInArrow(_cut, out)
     route = F.when(F.col("piece").isNull(), F.xxhash64("doc", "lo")).otherwise(F.col("key"))
     shards = cut.withColumn("route", route).repartition(partitions(spark), "route").sortWithinPartitions("route").drop("route")
     late = shards.mapInArrow(_sort_shards(budget, symbols), "doc long, ver long, lo long, n long")
-    windows = late.groupBy("doc", "ver").agg(F.collect_set(F.struct("lo", "n")).alias("windows"))
-    whole = base.join(windows, ["doc", "ver"], "left").select(F.nullif("doc", F.lit(FIRST_ID)).alias("doc_id"), "row", F.length("raw").cast("long").alias("n_bytes"), "raw", "windows")
-    kind = base.schema["row"].dataType.simpleString()
+    windows = late.groupBy(*keys).agg(F.collect_set(F.struct("lo", "n")).alias("windows"))
+    whole = base.join(windows, keys, "left").select(F.nullif("doc", F.lit(FIRST_ID)).alias("doc_id"), "row", "raw", "windows")
     return whole.mapInArrow(_finish, f"doc_id long, row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
