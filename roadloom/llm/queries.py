@@ -18,13 +18,20 @@ from roadloom.llm.sharding import shard
 from roadloom.llm.snapshots import ORACLE as SNAPSHOT_SQL
 from roadloom.llm.snapshots import collapse
 from roadloom.llm.suffix_dedup import remove_repeats
+from roadloom.llm.token_counts import edited_counts, mask_edits
 from roadloom.llm.toxicity import toxicity
+from roadloom.llm.warc import ORACLE as WARC_SQL
+from roadloom.llm.warc import round_trip
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents")).drop("row", "kept_text")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(load(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -54,8 +61,15 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after masking digit runs and mail addresses."""
+    out = edited_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), mask_edits)
+    return out.drop("starts", "tree")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_snapshot_collapse": op5_snapshot_collapse,
@@ -63,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_token_counts": op10_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": WARC_SQL,
     "op4_quality_rules": QUALITY_SQL,
     "op5_snapshot_collapse": SNAPSHOT_SQL,
 }
