@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions import polyline as P
@@ -12,6 +12,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def micros(column: str) -> Column:
+    """Microseconds since 1970 of a timestamp without a zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node_id, x, y, ele)"""
     k = F.col("p_partkey")
@@ -59,7 +64,7 @@ def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track_id, pos, t, kind, v): events of a user in order; t in seconds"""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return load(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.row_number().over(w).alias("pos"), F.unix_micros("ts").alias("t"), F.col("event_type").alias("kind"), F.col("value").alias("v"), "event_id", "props")
+    return load(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.row_number().over(w).alias("pos"), micros("ts").alias("t"), F.col("event_type").alias("kind"), F.col("value").alias("v"), "event_id", "props")
 
 
 SQL = """
