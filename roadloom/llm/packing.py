@@ -13,23 +13,52 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import raw_text, stored
+from roadloom.llm.common import SPACES, raw_text, steps, stored, word_hashes, word_spans
 
 CAPACITY = 4096
 CLOSING = 1
 SLACK = 8
 FAN = 8
 #: Words whose ids a worker remembers at a time.
-MOST_WORDS = 400_000
+MOST_WORDS = 900_000
+#: Bytes of text whose words are looked up together.
+TEXT_STEP = 4 << 20
+
+
+# The normalizer and pre-tokenizer for which a word's pieces are found here instead of by the tokenizer.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: A run of these after letters is one piece.
+PUNCTUATION = "".join(c for c in string.punctuation if c != "'")
+#: Below it a character is its own normal form and its lower case doesn't depend on its neighbours, but for the one exception.
+SIMPLE, EXCEPTION = "\u0250", "\u0130"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in prints)
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordIds:
@@ -39,33 +68,59 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.simple = told["normalizer"] == NORMALIZER and told["pre_tokenizer"] == PRE_TOKENIZER
+        self.special = [t["content"] for t in told["added_tokens"]]
+        self.model, self.find, self.characters = self.tokenizer.model, regex.compile(PIECES).findall, _byte_characters()
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
+        self.pieces: dict[str, list[int]] = {}
+        self.starts, self.flat = array("q", [0]), array("I")
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            plain = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.characters)
+            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(plain)]
+        return ids
+
+    def word(self, word: bytes) -> list[int]:
+        """Ids of one word."""
+        text = word.decode("utf-8", "replace")
+        core = text.rstrip(PUNCTUATION)
+        if self.simple and core.isalpha() and (core.isascii() or (max(core) < SIMPLE and EXCEPTION not in core)):
+            ids = self._piece(core.lower())
+            return ids + self._piece(text[len(core) :]) if len(core) < len(text) else ids
+        if self.simple and (word.isascii() or (max(text) < SIMPLE and EXCEPTION not in text)) and not any(t in text for t in self.special):
+            return [i for p in self.find(text.lower()) for i in self._piece(p)]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _add(self, word: bytes) -> int:
+        self.flat.extend(self.word(word))
+        self.starts.append(len(self.flat))
+        k = self.index[word] = len(self.starts) - 2
+        return k
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and each text's first id; equal words (by a 64-bit hash and length) are looked up once."""
+        starts, stops, first = word_spans(data, offsets, SPACES)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.index) > MOST_WORDS:
             self.clear()
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(self.index))
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            first = len(self.starts) - 1
-            self.index.update(zip(new, range(first, first + len(new)), strict=True))
-            ends = self.starts[-1] + np.cumsum([len(f) for f in found])
-            self.starts = np.concatenate([self.starts, ends])
-            self.flat = np.concatenate([self.flat, np.concatenate([np.asarray(f, np.uint32) for f in found])])
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            begin = self.starts[at]
-            size = self.starts[at + 1] - begin
-            total = int(size.sum())
-            out.append(self.flat[np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)])
-        return out
+        _, lead, same = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
+        if ((stops - starts) != (stops - starts)[lead][same]).any():
+            raise ValueError("two words have one hash")
+        raw = data.tobytes()
+        get, add = self.index.get, self._add
+        unique = [raw[a:b] for a, b in zip(starts[lead].tolist(), stops[lead].tolist(), strict=True)]
+        place = np.array([k if (k := get(w)) is not None else add(w) for w in unique], np.int64)[same]
+        flat, heads = np.array(self.flat, np.uint32), np.array(self.starts, np.int64)
+        begin, n = heads[place], heads[place + 1] - heads[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)], ends[first]
 
 
 _words: dict[str, WordIds] = {}
@@ -75,13 +130,13 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _words:
             _words[path] = WordIds(path)
-        words = _words[path]
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i, j, data, offsets in steps(batch.column("raw"), TEXT_STEP):
+                all_ids, begin = _words[path].ids(data, offsets)
                 row, piece, start, length, crc, body = [], [], [], [], [], []
-                for r, ids in enumerate(words.ids(part.column("raw").to_pylist())):
-                    ids = np.append(ids, np.uint32(CLOSING)).astype("<u4")
+                closing = np.array([CLOSING], "<u4")
+                for r, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+                    ids = np.concatenate([all_ids[a:b], closing]).astype("<u4")
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         cut = ids[at : at + capacity].tobytes()
                         row.append(r)
@@ -89,9 +144,9 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                         start.append(at)
                         length.append(len(cut) // 4)
                         crc.append(zlib.crc32(cut))
-                        body.append(cut)
+                        body.append(cut if with_ids else None)
                 columns = {
-                    "doc_id": part.column("doc_id").take(pa.array(row, pa.int64())),
+                    "doc_id": batch.column("doc_id").slice(i, j - i).take(pa.array(row, pa.int64())),
                     "piece": pa.array(piece, pa.int32()),
                     "start": pa.array(start, pa.int64()),
                     "length": pa.array(length, pa.int64()),
