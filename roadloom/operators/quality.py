@@ -10,8 +10,8 @@ STATUSES = ["FAIL", "WARN", "REVIEW", "PASS", "SKIP", "UNKNOWN"]
 
 
 def rank(status: Column) -> Column:
-    """Place in STATUSES, 0 for the worst."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, STATUSES)), status) - 1, F.lit(len(STATUSES) - 1)).cast("int")
+    """Place in STATUSES, 0 for the worst; any other status is the last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STATUSES)), status), F.lit(0)) - 1, F.lit(len(STATUSES) - 1)).cast("int")
 
 
 def worst(status: Column) -> Column:
