@@ -161,7 +161,7 @@ def fit(rows: list[tuple[int, str, int]], share: float, most_terms: int = MOST_T
         if at:
             w = (1 + np.log(np.array([n for t, n in bag.items() if t in vocabulary], np.float64))) * idf[at]
             impacts[at, e] = w / np.sqrt((w * w).sum())
-    maxima = impacts.reshape(len(chosen), -1, BLOCK).max(axis=2)
+    maxima = impacts.reshape(len(chosen), width // BLOCK, BLOCK).max(axis=2)
     ids = np.array([r[0] for r in rows] + [-1] * (width - len(rows)), np.int64)
     model = Model(vocabulary, idf, impacts, maxima, np.append(labels, np.zeros(width - len(rows))), ids, share)
     if n1 and n0:
