@@ -99,7 +99,7 @@ def structure_checks(spark, sf):
     return c.withColumn("status", F.when((F.col("ways") == 0) | (F.col("flat") > 0), "FAIL").when(F.col("empty") + F.col("short") > 0, "WARN").otherwise("PASS"))
 
 
-@query(_CELLS + """, s AS (SELECT map_id, row, col + CASE WHEN row % 9 = 0 THEN 1 ELSE 0 END AS col FROM g), t AS (SELECT DISTINCT map_id, row, col FROM s),
+@query(_CELLS + """, moved AS (SELECT map_id, row, col + CASE WHEN row % 9 = 0 THEN 1 ELSE 0 END AS col FROM g), t AS (SELECT DISTINCT map_id, row, col FROM moved),
 u AS (SELECT map_id, count(*) AS shared FROM g JOIN t USING (map_id, row, col) GROUP BY map_id), n AS (SELECT map_id, count(*) AS a FROM g GROUP BY map_id), m AS (SELECT map_id, count(*) AS b FROM t GROUP BY map_id)
 SELECT map_id, round(coalesce(shared, 0) / (a + b - coalesce(shared, 0)), 6) AS iou, CASE WHEN coalesce(shared, 0) >= 0.95 * (a + b - coalesce(shared, 0)) THEN 'PASS' ELSE 'FAIL' END AS status FROM n JOIN m USING (map_id) LEFT JOIN u USING (map_id)""")
 def raster_iou(spark, sf):
