@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's shared checkpoint folder (a folder of its own where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadloom-"))
-    return df.checkpoint()
+from roadloom.operators.storage import written
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -21,13 +13,13 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
 
     Each round takes the least label among neighbours and then the label of that label, so paths shorten by half.
     """
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
-    labels = _cut(nodes.select("node", F.col("node").alias("component")).distinct())
+    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    labels = written(nodes.select("node", F.col("node").alias("component")).distinct())
     for _ in range(most_rounds):
         seen = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("least"))
         hooked = labels.join(seen, labels["node"] == seen["src"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
         jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        after = _cut(hooked.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "was"))
+        after = written(hooked.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "was"))
         if after.where("component <> was").isEmpty():
             return after.select("node", "component")
         labels = after.select("node", "component")
@@ -50,7 +42,7 @@ def chains(links: DataFrame, lengths: DataFrame, most_total: float, most_hops: i
     step = links.select(F.col("src").alias("last"), F.col("dst").alias("next"))
     for _ in range(most_hops):
         moved = now.join(step, "last").join(size.withColumnRenamed("last", "next"), "next").where((F.col("total") + F.col("length") <= most_total) & (F.col("next") != F.col("start")))
-        moved = _cut(moved.select("start", F.col("next").alias("last"), (F.col("hops") + 1).alias("hops"), (F.col("total") + F.col("length")).alias("total")))
+        moved = written(moved.select("start", F.col("next").alias("last"), (F.col("hops") + 1).alias("hops"), (F.col("total") + F.col("length")).alias("total")))
         stopped = now.join(moved.select("start"), "start", "left_anti")
         done = stopped if done is None else done.unionAll(stopped)
         now = moved
