@@ -33,9 +33,9 @@ CLOSING = 1
 SLACK = 8
 FAN = 8
 #: Words whose ids a worker remembers at a time.
-MOST_WORDS = 900_000
+MOST_WORDS = 400_000
 #: Bytes of text whose words are looked up together.
-TEXT_STEP = 4 << 20
+TEXT_STEP = 1 << 20
 
 
 # The normalizer and pre-tokenizer for which a word's pieces are found here instead of by the tokenizer.

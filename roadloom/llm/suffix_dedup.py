@@ -29,9 +29,9 @@ LENGTH = 100
 #: Bytes hashed together; a window's key is the least of its LENGTH - GRAM + 1 hashes.
 GRAM = 24
 #: Memory of one shard's runs and base case; what exceeds it is sorted through the disk.
-BUDGET = 192 << 20
+BUDGET = 128 << 20
 #: Symbols sorted together in a shard. Equal keys stay together, so a longer stretch of one key is one (external) sort.
-SHARD_SYMBOLS = 6 << 20
+SHARD_SYMBOLS = 4 << 20
 #: Windows in one piece at most (15 bits of a packed span); a longer stretch of one key is several pieces.
 MOST_WINDOWS = 32_000
 FIRST_ID = -(1 << 63)
