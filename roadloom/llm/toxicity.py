@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Examples are a bounded sample of the labelled rows (MOST_EXAMPLES of each class, by a hash of the id; only this fit is bounded).
+Examples are a bounded sample of the labelled rows (MOST_EXAMPLES of each class, by a hash of the id, less near copies of one
+another, whose words would count again; only this fit is bounded).
 Terms are words and the first PREFIX letters of longer words; the MOST_TERMS that tell the classes apart best (chi-square over
 the examples) make the vocabulary. The index keeps, for every term and block of BLOCK examples, the impacts and their maximum:
 a text visits blocks from the highest bound down and stops once the next bound is below its K-th best cosine, so its K
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import raw_text
+from roadloom.llm.near_dup import CHUNKS, SYMBOLS, shingle_hashes, signatures
 
 MOST_EXAMPLES = 2000
 MOST_TERMS = 3000
@@ -131,9 +133,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(0.05, float(beta[0])), float(beta[1])
 
 
+def one_of_copies(rows: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Examples without near copies of earlier ones (a chunk of minimum hashes agrees), which would count their words again."""
+    raw = [(r[1] or "").encode() for r in rows]
+    seen: set[bytes] = set()
+    kept = []
+    for r, text in zip(rows, raw, strict=True):
+        hashes, begin = shingle_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 3)
+        if not len(hashes):
+            kept.append(r)
+            continue
+        sig = signatures(hashes, begin)[0].reshape(CHUNKS, SYMBOLS)
+        keys = {bytes([k]) + part.tobytes() for k, part in enumerate(sig)}
+        if not keys & seen:
+            kept.append(r)
+        seen |= keys
+    return kept
+
+
 def fit(rows: list[tuple[int, str, int]], share: float, most_terms: int = MOST_TERMS) -> Model:
     """A model of examples (id, text, label); share: of label 1 among all training labels."""
-    rows = sorted(rows, key=lambda r: r[0])
+    rows = one_of_copies(sorted(rows, key=lambda r: r[0]))
     labels = np.array([r[2] for r in rows], np.float64)
     bags = [terms(r[1] or "") for r in rows]
     ones, zeros = Counter(), Counter()
