@@ -216,8 +216,10 @@ def _score(model_of):
         model = pickle.loads(model_of.value)  # noqa: S301  made by the driver
         for batch in batches:
             scores, ids, cosines = [], [], []
-            for raw in batch.column("raw"):
-                share, at, cosine = model.vote(raw.as_py().decode("utf-8", "replace"))
+            texts = batch.column("raw") if "raw" in batch.schema.names else batch.column("row").field("text")
+            for text in texts:
+                text = text.as_py() or ""
+                share, at, cosine = model.vote(text if isinstance(text, str) else text.decode("utf-8", "replace"))
                 scores.append(model.calibrated(share) if model.vocabulary else share)
                 ids.append(model.ids[at].tolist())
                 cosines.append(np.round(cosine, 6).tolist())
@@ -245,7 +247,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     if len(packed) > MOST_BYTES:
         raise ValueError(f"the model has {len(packed)} bytes, the bound is {MOST_BYTES}: lower most_examples or most_terms")
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), raw_text().alias("raw"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), *([] if carry and "text" in carry else [raw_text().alias("raw")]))
     kind = base.schema["row"].dataType.simpleString()
     out = base.mapInArrow(_score(sc.broadcast(packed)), f"doc_id long, row {kind}, score double, neighbours array<long>, cosines array<double>")
     held = F.coalesce(~_in_training(), F.lit(False))
