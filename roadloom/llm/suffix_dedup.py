@@ -86,13 +86,14 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         parts = -(-size // MOST_WINDOWS)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         at, size = np.repeat(at, parts) + step * MOST_WINDOWS, np.minimum(MOST_WINDOWS, np.repeat(size, parts) - step * MOST_WINDOWS)
-    # a window that occurs twice in a piece holds its key twice: neighbours of equal hash among all windows' least grams
+    # a window that occurs twice in a piece spans two neighbours of equal hash among all windows' least grams; neighbours width
+    # apart share no window, so the mark goes one window on, to the first that holds only the second
     wide = np.concatenate([np.zeros(width - 1, np.uint64), keys, np.zeros(width - 1, np.uint64)])
     least = np.flatnonzero(grams == _slide(wide, width, False))
     again = (grams[least[1:]] == grams[least[:-1]]) & (np.diff(least) <= width)
     mark = np.zeros(len(keys) + 1, np.int32)
     np.add.at(mark, np.clip(least[1:][again] - width + 1, 0, len(keys)), 1)
-    np.add.at(mark, np.clip(least[:-1][again] + 1, 0, len(keys)), -1)
+    np.add.at(mark, np.clip(least[:-1][again] + 2, 0, len(keys)), -1)
     inside = np.maximum.reduceat((np.cumsum(mark[:-1]) > 0).astype(np.int8), at) > 0 if len(at) else np.zeros(0, bool)
     return keys[at], at, size, inside
 

@@ -90,6 +90,20 @@ def test_repeats_are_those_of_brute_force(spark, budget, symbols):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_repeats(rows)
 
 
+def test_repeats_of_every_period_are_removed(spark):
+    """One stretch of each period from 1 to 200 bytes, alone and copied, so that a repeat may stand inside one piece only."""
+    rng = random.Random(77)
+    rows = []
+    for period in range(1, 201):
+        unit = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=period))
+        stretch = (unit * (3 + 400 // period))[: 2 * period + 250]
+        rows.append((period, stretch))
+        if period % 7 == 0:
+            rows.append((1000 + period, stretch))
+    got = suffix_dedup.remove_repeats(docs(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_repeats(rows)
+
+
 def test_repeats_of_shared_ids_and_null_ids(spark):
     a, b = "q" * 50 + "w" * 80, "r" * 120 + "t" * 30
     rows = [(1, a), (1, a), (1, b), (2, b), (None, a + "z"), (3, a)]
