@@ -135,9 +135,9 @@ def road_tag_synthesis(spark, sf):
 b AS (SELECT way_id, start_node, end_node, count(*) OVER (PARTITION BY way_id % 997) AS same FROM b_end)
 SELECT b.way_id, e.rule, CASE WHEN e.via % 2 = 0 THEN 'backward' ELSE 'forward' END AS applies FROM b JOIN e USING (way_id) WHERE b.same <= 14""")
 def restriction_mapping(spark, sf):
-    """Restrictions go to an end of their edge where few edges share its id."""
+    """Restrictions go to an end of their edge where exactly one edge has its id."""
     o = B.load(spark, sf, "orders").select(F.col("o_orderkey").alias("way_id"), F.when(F.col("o_orderkey") % 3 == 0, "no_left_turn").when(F.col("o_orderkey") % 3 == 1, "no_right_turn").otherwise("no_straight_on").alias("rule"), F.col("o_custkey").alias("via"))
-    b = B.ends(spark, sf).select("way_id").withColumn("same", F.count("*").over(Window.partitionBy(F.col("way_id") % 997))).where("same <= 14")
+    b = B.ends(spark, sf).select("way_id").withColumn("same", F.count("*").over(Window.partitionBy("way_id"))).where("same = 1")
     return b.join(o, "way_id").select("way_id", "rule", F.when(F.col("via") % 2 == 0, "backward").otherwise("forward").alias("applies"))
 
 
