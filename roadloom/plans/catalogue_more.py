@@ -270,7 +270,7 @@ g AS (SELECT map_id, row, col, bit_or(1 << (way_id // 20 % 8)::INT)::INT AS bits
 
 
 def cells(spark, sf) -> DataFrame:
-    pts = B.points(spark, sf).where("way_id % 20 = 0").join(B.ways(spark, sf).select("way_id", "map_id"), "way_id")
+    pts = B.points(spark, sf).join(B.ways(spark, sf).select("way_id", "map_id"), "way_id")
     s = pts.groupBy("map_id", "way_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     c = R.box_cells(s, "x0", "y0", "x1", "y1", 20.0)
     bit = F.pow(F.lit(2), F.expr("way_id div 20") % 8).cast("int")
@@ -294,7 +294,7 @@ SELECT map_id, CAST(total AS BIGINT) AS total, CAST(coalesce(related, 0) AS BIGI
 FROM t LEFT JOIN f USING (map_id) LEFT JOIN e USING (map_id)""")
 def raster_coverage(spark, sf):
     """How many shapes reach the raster, and how many keep a cell of their own."""
-    pts = B.points(spark, sf).where("way_id % 20 = 0").join(B.ways(spark, sf).select("way_id", "map_id"), "way_id")
+    pts = B.points(spark, sf).join(B.ways(spark, sf).select("way_id", "map_id"), "way_id")
     s = pts.groupBy("map_id", "way_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     c = R.box_cells(s, "x0", "y0", "x1", "y1", 20.0)
     total = s.groupBy("map_id").agg(F.count("*").alias("total"))

@@ -116,7 +116,7 @@ c AS (SELECT *, unnest(range(floor((x - 25) / 20)::BIGINT, ceil((x + 25) / 20)::
 SELECT map_id, row, col, CAST(count(*) AS BIGINT) AS anchors FROM c WHERE sqrt((col * 20 + 10 - x) ** 2 + (row * 20 + 10 - y) ** 2) <= 25 GROUP BY map_id, row, col""")
 def topology_anchors(spark, sf):
     """Cells whose centre lies within 25 m of a lane's end."""
-    e = B.ends(spark, sf).where("way_id % 20 = 0").select("way_id", "map_id", F.col("ex").alias("x"), F.col("ey").alias("y"))
+    e = B.ends(spark, sf).select("way_id", "map_id", F.col("ex").alias("x"), F.col("ey").alias("y"))
     span = lambda v: F.explode(F.sequence(F.floor((F.col(v) - 25) / 20), F.ceil((F.col(v) + 25) / 20)))
     c = e.withColumn("row", span("y")).withColumn("col", span("x"))
     return c.where(F.hypot(F.col("col") * 20 + 10 - F.col("x"), F.col("row") * 20 + 10 - F.col("y")) <= 25).groupBy("map_id", "row", "col").agg(F.count("*").alias("anchors"))
