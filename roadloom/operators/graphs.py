@@ -11,13 +11,16 @@ from roadloom.operators.storage import written
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): smallest node reachable over edges (src, dst) in either direction.
 
-    Each round takes the least label among neighbours and then the label of that label, so paths shorten by half.
+    Each round gives all nodes of a label the least label among the neighbours of any of them and then the label of that label,
+    so whole parts merge at once and paths shorten by half.
     """
     both = written(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
     labels = written(nodes.select("node", F.col("node").alias("component")).distinct())
     for _ in range(most_rounds):
         seen = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("least"))
         hooked = labels.join(seen, labels["node"] == seen["src"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"), F.col("component").alias("was"))
+        offers = hooked.groupBy("was").agg(F.min("component").alias("component"))
+        hooked = hooked.drop("component").join(offers, "was").select("node", "component", "was")
         jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("next"))
         after = written(hooked.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "was"))
         if after.where("component <> was").isEmpty():

@@ -67,10 +67,10 @@ def chain_walk(spark, sf):
 @query(f"""e AS ({_LANE_EDGES}), w AS (SELECT lane_id AS seed, lane_id AS node, 0 AS hops FROM b_lane WHERE lane_id % 7 = 0
   UNION SELECT w.seed, e.dst, w.hops + 1 FROM w JOIN e ON e.src = w.node WHERE w.hops < 3) SELECT seed, node, CAST(min(hops) AS INT) AS hops FROM w GROUP BY seed, node""", recursive=True)
 def bounded_reach(spark, sf):
-    """Lanes within three steps to the right of every seventh lane."""
+    """Lanes within three steps to the right of each lane."""
     lanes = B.lanes(spark, sf)
     edges = J.lateral_adjacency(lanes).where("role = 'right'").select("src", "dst")
-    return G.reach(lanes.where("lane_id % 7 = 0").select(F.col("lane_id").alias("node")), edges, 3)
+    return G.reach(lanes.select(F.col("lane_id").alias("node")), edges, 3)
 
 
 @query(f"""p AS ({_PAIRS}), o AS (SELECT src AS way_id, count(*) AS n FROM p GROUP BY src), i AS (SELECT dst AS way_id, count(*) AS n FROM p GROUP BY dst)

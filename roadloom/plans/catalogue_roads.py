@@ -36,7 +36,7 @@ w AS (SELECT chain AS node, chain AS component FROM c UNION SELECT e.b, w.compon
 SELECT component, CAST(count(*) AS BIGINT) AS chains FROM (SELECT node, min(component) AS component FROM w GROUP BY node) GROUP BY component""", recursive=True)
 def junction_clusters(spark, sf):
     """Connector chains that share an incoming or an outgoing road (never one's incoming with another's outgoing) make a junction."""
-    c = B.load(spark, sf, "lineitem").where("l_orderkey % 20 = 0").groupBy(F.col("l_orderkey").alias("node")).agg(F.min("l_partkey").alias("i"), F.max("l_partkey").alias("o"))
+    c = B.load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("node")).agg(F.min("l_partkey").alias("i"), F.max("l_partkey").alias("o"))
     # a chain is joined to the first chain of its roads, not to all: the same components from far fewer edges
     edges = None
     for end in ("i", "o"):
@@ -191,7 +191,7 @@ w AS (SELECT node_id AS node, node_id AS component FROM p UNION SELECT e.b, w.co
 SELECT component, CAST(count(*) AS BIGINT) AS merged, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM m JOIN p ON p.node_id = m.node GROUP BY component""", recursive=True)
 def close_intersections(spark, sf):
     """Intersections within 10 m of one another become one at their centre."""
-    used = B.ends(spark, sf).where("way_id % 10 = 0").select(F.col("end_node").alias("node_id")).distinct()
+    used = B.ends(spark, sf).select(F.col("end_node").alias("node_id")).distinct()
     p = B.nodes(spark, sf).join(used, "node_id", "left_semi").select(F.col("node_id").alias("src"), "x", "y")
     near = J.epsilon_join(p, p.toDF("dst", "bx", "by"), ("x", "y"), ("bx", "by"), 10.0).where("src < dst").select("src", "dst")
     c = G.components(p.select(F.col("src").alias("node")), near)
