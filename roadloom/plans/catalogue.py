@@ -181,14 +181,14 @@ def endpoint_successors(spark, sf):
 SELECT a.lane_id AS src, b.lane_id AS dst, CASE WHEN a.le = b.ls AND a.re = b.rs THEN 'both' WHEN a.le = b.ls THEN 'left' ELSE 'right' END AS shared
 FROM l a JOIN l b ON a.lane_id <> b.lane_id AND (a.le = b.ls OR a.re = b.rs) AND a.lane_id % 40 = b.lane_id % 40""")
 def endpoint_key_successors(spark, sf):
-    """Lanes whose left or right boundary goes on in another lane's (of the same group of 40): both ends, or one."""
+    """Lanes whose left or right boundary goes on in another lane's of the map: both ends, or one."""
     e = B.ends(spark, sf)
     lanes = B.lanes(spark, sf).join(e.select(F.col("way_id").alias("left_way"), F.col("start_node").alias("ls"), F.col("end_node").alias("le")), "left_way")
-    lanes = lanes.join(e.select(F.col("way_id").alias("right_way"), F.col("start_node").alias("rs"), F.col("end_node").alias("re")), "right_way").withColumn("g", F.col("lane_id") % 40)
-    a = lanes.select(F.col("lane_id").alias("src"), "g", "le", "re")
-    b = lanes.select(F.col("lane_id").alias("dst"), "g", "ls", "rs")
-    left = a.join(b, (a["g"] == b["g"]) & (a["le"] == b["ls"])).select("src", "dst", F.lit(1).alias("l"), F.lit(0).alias("r"))
-    right = a.join(b, (a["g"] == b["g"]) & (a["re"] == b["rs"])).select("src", "dst", F.lit(0).alias("l"), F.lit(1).alias("r"))
+    lanes = lanes.join(e.select(F.col("way_id").alias("right_way"), F.col("start_node").alias("rs"), F.col("end_node").alias("re")), "right_way")
+    a = lanes.select(F.col("lane_id").alias("src"), "map_id", "le", "re")
+    b = lanes.select(F.col("lane_id").alias("dst"), "map_id", "ls", "rs")
+    left = a.join(b, (a["map_id"] == b["map_id"]) & (a["le"] == b["ls"])).select("src", "dst", F.lit(1).alias("l"), F.lit(0).alias("r"))
+    right = a.join(b, (a["map_id"] == b["map_id"]) & (a["re"] == b["rs"])).select("src", "dst", F.lit(0).alias("l"), F.lit(1).alias("r"))
     both = left.unionAll(right).where("src <> dst").groupBy("src", "dst").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     return both.select("src", "dst", F.when(F.col("l") + F.col("r") == 2, "both").when(F.col("l") == 1, "left").otherwise("right").alias("shared"))
 
