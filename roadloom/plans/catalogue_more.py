@@ -312,7 +312,7 @@ SELECT component, CAST(count(*) AS BIGINT) AS cells FROM (SELECT node, min(compo
 def drivable_components(spark, sf):
     """Components of drivable cells that touch by an edge, on a fixed grid."""
     k = F.col("p_partkey")
-    o = B.load(spark, sf, "part").where((k % 3 > 0) & (F.col("p_size") % 5 > 0) & (k < 2000)).select(k.alias("node"), (k % 50).alias("col"), F.expr("p_partkey div 50").alias("row"))
+    o = B.load(spark, sf, "part").where((k % 3 > 0) & (F.col("p_size") % 5 > 0)).select(k.alias("node"), (k % 50).alias("col"), F.expr("p_partkey div 50").alias("row"))
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0))]))
     near = o.select(F.col("node").alias("src"), "row", "col", steps.alias("s")).select("src", (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"))
     edges = near.join(o.withColumnRenamed("node", "dst"), ["row", "col"]).select("src", "dst")
