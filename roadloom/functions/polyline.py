@@ -85,7 +85,11 @@ def turn_degrees(before: Column, after: Column) -> Column:
 
 
 def offset(line: Column, d: float) -> Column:
-    """The parallel line at distance d to the left; corners move along the mean of their segments' normals."""
+    """The parallel line at distance d to the left; corners move along the mean of their segments' normals.
+
+    A point that repeats the one before it is left out, as a step without length has no normal."""
+    whole = line
+    line = F.filter(whole, lambda p, i: (i == 0) | (p["x"] != F.get(whole, i - 1)["x"]) | (p["y"] != F.get(whole, i - 1)["y"]))
     segs = segments(line)
 
     def normal(e: Column) -> Column:

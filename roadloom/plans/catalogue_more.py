@@ -420,10 +420,11 @@ def rdp_simplify(spark, sf):
 @query("""f AS (SELECT way_id, x0, y0, x1, y1, d FROM b_seg WHERE pos = 1 AND d > 0 AND way_id IN (SELECT way_id FROM b_n WHERE n = 2))
 SELECT way_id, round(x0 - 2 * (y1 - y0) / d, 4) AS sx, round(y0 + 2 * (x1 - x0) / d, 4) AS sy, round(x1 - 2 * (y1 - y0) / d, 4) AS ex, round(y1 + 2 * (x1 - x0) / d, 4) AS ey FROM f""")
 def offset_polyline(spark, sf):
-    """Parallels, 2 m to the left, of ways of two points."""
-    two = B.lines(spark, sf).where((F.size("line") == 2) & ((F.col("line")[0]["x"] != F.col("line")[1]["x"]) | (F.col("line")[0]["y"] != F.col("line")[1]["y"])))
-    o = two.withColumn("o", P.offset(F.col("line"), 2.0))
-    return o.select("way_id", *[F.round(F.col("o")[i][c], 4).alias(n) for i, c, n in ((0, "x", "sx"), (0, "y", "sy"), (1, "x", "ex"), (1, "y", "ey"))])
+    """Parallels, 2 m to the left, of ways that have a length: their ends and all their points."""
+    o = B.lines(spark, sf).withColumn("o", P.offset(F.col("line"), 2.0)).where(F.size("o") > 1)
+    last = F.element_at("o", -1)
+    ends = [F.round(e[c], 4).alias(n) for e, c, n in ((F.col("o")[0], "x", "sx"), (F.col("o")[0], "y", "sy"), (last, "x", "ex"), (last, "y", "ey"))]
+    return o.select("way_id", *ends, F.transform("o", lambda q: F.struct(F.round(q["x"], 4).alias("x"), F.round(q["y"], 4).alias("y"))).alias("line"))
 
 
 @query("""g AS (SELECT node_id, 11.0::DOUBLE + x / 1000 AS lon, 48.0::DOUBLE + y / 10000 AS lat FROM b_node)
