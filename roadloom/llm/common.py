@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +18,22 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one vectorised step handles; a longer single document is one step.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker while a table is written; a longer row is one batch.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _paths: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new one where that is unset (tests)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir`` or the context's; a new one of this machine's in local mode only."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
-        made = spark.sparkContext.getCheckpointDir()
-        if not made:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roadloom-"))
-            made = spark.sparkContext.getCheckpointDir()
-        set_to = made
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roadloom-"))
+        set_to = spark.sparkContext.getCheckpointDir()
     return set_to.rstrip("/")
 
 
@@ -53,11 +59,64 @@ def _clean() -> None:
             continue
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Bounds the bytes of Arrow batches of what runs inside; the session's own setting holds again afterwards."""
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
+def stored(df: DataFrame, name: str, batch: int = BATCH_BYTES) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with small_batches(df.sparkSession, batch):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that stored() wrote and that nothing reads any more."""
+    drop_path(df.sparkSession, df.stored_at)
+
+
+_libc: list[Callable] = []
+
+
+def _settle() -> None:
+    """Arrow memory from the C library, so that what is freed can go back."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+def _release() -> None:
+    """Gives freed memory back to the machine, where the C library can."""
+    _powers.clear()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL(None).malloc_trim)
+        except (AttributeError, OSError):
+            _libc.append(int)
+    _libc[0](0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow whose worker keeps no freed memory between its tasks."""
+
+    @functools.wraps(run)
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _settle()
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return outer
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,12 +142,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets from 0) of runs of whole texts, about ``most`` bytes each."""
+def steps(column: pa.Array, most: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets from 0) of runs of whole texts, about ``most`` bytes and at most ``rows`` texts each."""
     data, at = buffers(column)
     i, n = 0, len(column)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1))
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
@@ -105,7 +164,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "plain"
     if key not in _powers or len(_powers[key]) < n:
-        size = max(n, STEP_BYTES * 2)
+        size = 1 << max(16, (n - 1).bit_length())
         out = np.full(size, BASE_INVERSE if inverse else BASE, dtype=np.uint64)
         out[0] = 1
         _powers[key] = np.multiply.accumulate(out)
@@ -129,6 +188,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes that end a word of ``[^\x20\x09-\x0D]+``.
 SPACES = _class(b" \t\n\x0b\x0c\r")
+#: Bytes that end a word of letters: all of ASCII but a-z (and A-Z, once in lower case).
+NOT_LETTER = _class(bytes([*range(0x61), *range(0x7B, 0x80)]))
 #: Bytes that end a word of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 NOT_ALNUM = _class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -164,6 +225,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     the table shrinks to stars, every round is written to the shared folder. A hub's edges are split by AQE.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    known = _fingerprint(now)
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u").toDF("u", "v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -172,9 +234,11 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         linked = large.join(down, "u")
         small = linked.select("u", F.col("m").alias("v")).union(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         after = stored(small, "edges")
-        if _fingerprint(after) == _fingerprint(now):
+        told = _fingerprint(after)
+        if told == known:
             break
-        now = after
+        forget(now)
+        now, known = after, told
     else:
         raise RuntimeError(f"components: no fixpoint after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

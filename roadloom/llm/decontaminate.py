@@ -1,22 +1,25 @@
 """Benchmark decontamination by a distributed positional inverted index over the training texts.
 
-The index is cut by document into shards of about SHARD_BYTES of text, so a frequent word or a hot source never gathers in one
-task: for each term of the test vocabulary a shard stores the ascending list of its token positions. It is written to the shared
-folder and read by every block of test items. A phrase is looked up from its rarest term (by the whole corpus): the list of that
-term, shifted to the phrase's start, is intersected with the shifted list of each next rarer term until one list is empty.
+The index holds every word of the training texts, whatever the benchmark asks. It is cut by document into shards of about SHARD_BYTES of
+text, so a frequent word or a hot source never gathers in one task: for each of its words a shard stores the ascending list of
+token positions. It is written once to the shared folder and searched with any number of blocks of test items.
 
-Test items reach executors as arrays of term numbers, in blocks of at most BLOCK_TERMS terms, each block one pass over the
-index; so what is sent is bounded however many items there are.
+A phrase is looked up from its rarest word (by the whole corpus): that word's positions, shifted to the phrase's start, are
+intersected with the shifted list of each next rarer word. All phrases of a block take each step together, as one search of
+(word, position) keys in the shard's sorted ones. Proximity matches are found from the rarest word, too: stretches of window + slop
+words that hold all the words of a window, in any order.
+
+Test items reach executors as arrays of word numbers, in blocks of at most BLOCK_WORDS words (some 35 MB), each one pass over the index;
+an item longer than a block is split between windows. So what is sent is bounded however many items there are.
 
 Rows: a null text has no words; items without words or with a null id match nothing; an item shorter than a window is one
 window; rows that repeat an item id are one item with the windows of all. Repeated document rows are reported each, a null doc_id
-is kept. Extra columns are ignored; empty tables give an empty result or clean documents.
+is kept. Extra columns are ignored; empty tables give an empty result or clean documents. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, NOT_ALNUM, buffers, raw_text, steps, stored, word_hashes, word_spans
+from roadloom.llm.common import LOWER, NOT_ALNUM, lean, raw_text, steps, stored, word_hashes, word_spans
 
 WINDOW = 10
+#: Words by which a stretch may be longer than a window in a proximity match.
+SLOP = 5
 SHARD_BYTES = 8 << 20
-#: Terms of test items that one pass takes; with positions and hashes at most some 100 MB on an executor.
-BLOCK_TERMS = 2_000_000
+#: Words of test items that one pass takes.
+BLOCK_WORDS = 500_000
+#: Places that one step of a search holds.
+PLACES = 1 << 20
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,228 +53,321 @@ def item_words(text: str | None) -> np.ndarray:
 
 
 class Phrases:
-    """Windows of test items as term numbers; equal windows are one phrase of several items."""
+    """Windows of test items as numbers of words; equal windows are one phrase of several items.
+
+    vocabulary: sorted hashes; terms: a row for each phrase, -1 after its last word; owners of phrase p: the items
+    owner[owned[p] : owned[p + 1]], numbers in names.
+    """
 
     def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
-        seen: dict[bytes, list[int]] = {}
         self.names = sorted({name for name, _ in items})
         number = {name: i for i, name in enumerate(self.names)}
+        self.vocabulary = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
+        rows, of = [], []
         for name, words in items:
-            for a in range(max(1, len(words) - window + 1)) if len(words) else ():
-                owners = seen.setdefault(words[a : a + window].tobytes(), [])
-                if number[name] not in owners:
-                    owners.append(number[name])
-        arrays = [np.frombuffer(w, np.uint64) for w in seen]
-        self.owners = list(seen.values())
-        self.vocabulary = np.unique(np.concatenate(arrays)) if arrays else np.zeros(0, np.uint64)
-        self.terms = [np.searchsorted(self.vocabulary, w) for w in arrays]
+            if not len(words):
+                continue
+            at = np.searchsorted(self.vocabulary, words).astype(np.int32)
+            if len(at) < window:
+                at = np.concatenate([at, np.full(window - len(at), -1, np.int32)])
+            rows.append(np.lib.stride_tricks.sliding_window_view(at, window))
+            of.append(np.full(len(rows[-1]), number[name], np.int64))
+        table = np.concatenate(rows) if rows else np.zeros((0, window), np.int32)
+        self.terms, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
+        pairs = np.unique(which.ravel() * max(1, len(self.names)) + (np.concatenate(of) if of else np.zeros(0, np.int64)))
+        self.owner = pairs % max(1, len(self.names))
+        self.owned = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(self.terms) + 1))
+        self.length = (self.terms >= 0).sum(axis=1)
+        self.by_rarity = np.tile(np.arange(window, dtype=np.int8), (len(self.terms), 1))
+
+    def rank(self, counts: np.ndarray) -> None:
+        """Orders each phrase's words by their occurrences in the corpus, rarest first."""
+        n = np.where(self.terms >= 0, counts[self.terms] if len(counts) else 0, np.iinfo(np.int64).max)
+        self.by_rarity = np.argsort(n, axis=1, kind="stable").astype(np.int8)
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard = (TaskContext.get().partitionId() << 32) - 1
+    for batch in batches:
+        for i, j, data, offsets in steps(batch.column("raw"), SHARD_BYTES):
+            found, counts = [], []
+            # words are found in smaller steps; positions run through the shard
+            for _, _, part, at in steps(pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])):
+                words, begin = _tokens(part, at)
+                found.append(words)
+                counts.append(np.diff(begin))
+            words = np.concatenate(found)
+            first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            order = np.argsort(words, kind="stable")
+            words = words[order]
+            head = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+            shard += 1
+            yield pa.record_batch(
+                {
+                    "shard": pa.array([shard]),
+                    "doc_ids": pa.array([batch.column("doc_id").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
+                    "first": pa.array([first.astype(np.int64).tobytes()], pa.binary()),
+                    "terms": pa.array([words[head].tobytes()], pa.binary()),
+                    "heads": pa.array([np.append(head, len(words)).astype(np.int32).tobytes()], pa.binary()),
+                    "positions": pa.array([order.astype(np.int32).tobytes()], pa.binary()),
+                }
+            )
 
 
-def _build(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        shard = (TaskContext.get().partitionId() << 32) - 1
-        for batch in batches:
-            for i, j, data, offsets in steps(batch.column("raw"), SHARD_BYTES):
-                found, counts, first = [], [], [0]
-                # words are found in smaller steps; positions run through the shard
-                for _, _, part, at in steps(pa.array([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.large_binary())):
-                    words, begin = _tokens(part, at)
-                    place = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-                    found.append(np.where(known[place] == words, place, -1) if len(known) else np.full(len(words), -1))
-                    counts.append(np.diff(begin))
-                terms, counts = np.concatenate(found), np.concatenate(counts)
-                first = np.concatenate([[0], np.cumsum(counts)])
-                at = np.flatnonzero(terms >= 0)
-                order = at[np.argsort(terms[at].astype(np.uint16) if len(known) < 1 << 16 else terms[at], kind="stable")]
-                used, size = np.unique(terms[order], return_counts=True)
-                shard += 1
-                yield pa.record_batch(
-                    {
-                        "shard": pa.array([shard]),
-                        "doc_ids": pa.array([batch.column("doc_id").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
-                        "first": pa.array([first.astype(np.int64).tobytes()], pa.binary()),
-                        "terms": pa.array([used.astype(np.int32).tobytes()], pa.binary()),
-                        "sizes": pa.array([size.astype(np.int32).tobytes()], pa.binary()),
-                        "positions": pa.array([order.astype(np.int32).tobytes()], pa.binary()),
-                    }
-                )
+_INDEX = "shard long, doc_ids array<long>, first binary, terms binary, heads binary, positions binary"
 
-    return run
 
+def build_index(docs: DataFrame) -> DataFrame:
+    """A stored index of docs(doc_id, text): a row for each shard with the positions of all its words."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
+    return stored(base.mapInArrow(lean(_build), _INDEX), "index", SHARD_BYTES)
 
-_INDEX = "shard long, doc_ids array<long>, first binary, terms binary, sizes binary, positions binary"
 
+def _array(batch: pa.RecordBatch, column: str, row: int, kind) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_buffer(), kind)
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """A stored index of docs(doc_id, text): a row per shard with the positions of every vocabulary term (sorted hashes)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
-    return stored(base.mapInArrow(_build(docs.sparkSession.sparkContext.broadcast(vocabulary)), _INDEX), "index")
 
+def _places(batch: pa.RecordBatch, row: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lists of the vocabulary's words begin and end among a shard's positions."""
+    terms, heads = _array(batch, "terms", row, np.uint64), _array(batch, "heads", row, np.int32)
+    if not len(terms) or not len(vocabulary):
+        return np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
+    at = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
+    there = terms[at] == vocabulary
+    return np.where(there, heads[at], 0).astype(np.int64), np.where(there, heads[at + 1], 0).astype(np.int64)
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for terms, sizes in zip(batch.column("terms").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
-            yield pa.record_batch({"term": pa.array(np.frombuffer(terms, np.int32)), "n": pa.array(np.frombuffer(sizes, np.int32).astype(np.int64))})
 
+def _counts(vocabulary_of):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                begin, end = _places(batch, r, vocabulary_of.value)
+                used = np.flatnonzero(end > begin)
+                yield pa.record_batch({"term": pa.array(used.astype(np.int32)), "n": pa.array((end - begin)[used])})
+
+    return run
 
-def document_counts(index: DataFrame, size: int) -> np.ndarray:
-    """Occurrences of each vocabulary term in the whole corpus; as many numbers as test terms."""
-    out = np.zeros(size, np.int64)
-    for r in index.select("terms", "sizes").mapInArrow(_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+
+def document_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Occurrences of each word of the vocabulary in the whole corpus; as many numbers as a block has words."""
+    out = np.zeros(len(vocabulary), np.int64)
+    told = index.sparkSession.sparkContext.broadcast(vocabulary)
+    for r in index.select("terms", "heads").mapInArrow(_counts(told), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.term] = r.n
+    told.unpersist()
     return out
 
 
-class _Lists:
-    """One shard's postings."""
-
-    def __init__(self, batch: pa.RecordBatch, r: int, vocabulary: int):
-        used, sizes = (np.frombuffer(batch.column(c)[r].as_py(), np.int32) for c in ("terms", "sizes"))
-        ends = np.cumsum(sizes)
-        self.begin, self.end = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.begin[used], self.end[used] = ends - sizes, ends
-        self.size = self.end - self.begin
-        self.positions = np.frombuffer(batch.column("positions")[r].as_py(), np.int32)
-        self.first = np.frombuffer(batch.column("first")[r].as_py(), np.int64)
-
-    def of(self, term: int) -> np.ndarray:
-        return self.positions[self.begin[term] : self.end[term]]
-
-    def phrase(self, terms: np.ndarray, by_rarity: np.ndarray) -> np.ndarray:
-        """Positions where the terms follow one another within a document."""
-        at = self.of(terms[by_rarity[0]]) - by_rarity[0]
-        for k in by_rarity[1:]:
-            if not len(at):
-                return at
-            postings, want = self.of(terms[k]), at + k
-            at = at[postings[np.minimum(np.searchsorted(postings, want), len(postings) - 1)] == want]
-        at = at[at >= 0]
-        doc = np.searchsorted(self.first, at, side="right")
-        return at[at + len(terms) <= self.first[np.minimum(doc, len(self.first) - 1)]]
-
-    def near(self, terms: np.ndarray, by_rarity: np.ndarray, span: int) -> np.ndarray:
-        """Starts of all stretches of ``span`` words within a document that hold every term, in any order."""
-        rare = self.of(terms[by_rarity[0]])
-        starts = np.unique((rare[:, None] - np.arange(span)[None, :]).ravel())
-        doc = np.searchsorted(self.first, starts, side="right") - 1
-        starts, doc = starts[starts >= 0], doc[starts >= 0]
-        stop = np.minimum(starts + span, self.first[np.minimum(doc + 1, len(self.first) - 1)])
-        for k in by_rarity:
-            postings = self.of(terms[k])
-            ok = np.searchsorted(postings, stop) > np.searchsorted(postings, starts)
-            starts, stop = starts[ok], stop[ok]
-        return starts
-
-
-def _search(of, slop: int | None):
+class Postings:
+    """What one shard has of a block's words: (word, position) keys in ascending order."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, vocabulary: np.ndarray):
+        begin, end = _places(batch, row, vocabulary)
+        self.size = end - begin
+        self.end = np.cumsum(self.size)
+        positions = _array(batch, "positions", row, np.int32)
+        word = np.repeat(np.arange(len(vocabulary)), self.size)
+        self.position = positions[np.arange(len(word)) - (self.end - self.size)[word] + begin[word]].astype(np.int64)
+        self.keys = (word << 32) | self.position
+        self.first = _array(batch, "first", row, np.int64)
+
+    def starts(self, phrases: Phrases, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(phrase, position of its rarest word), at most PLACES or one phrase's at a time."""
+        rare = phrases.terms[some, phrases.by_rarity[some, 0]]
+        total = np.cumsum(self.size[rare])
+        a = 0
+        while a < len(some):
+            done = total[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(total, done + PLACES, side="right")))
+            size = self.size[rare[a:b]]
+            which = np.repeat(np.arange(a, b), size)
+            stop = np.cumsum(size)
+            place = np.arange(len(which)) - np.repeat(stop - size, size) + np.repeat(self.end[rare[a:b]] - size, size)
+            yield some[which], self.position[place]
+            a = b
+
+    def _next(self, word: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Key of the word's first occurrence from a position on (of a later word, if it has none)."""
+        at = np.searchsorted(self.keys, (word.astype(np.int64) << 32) | position)
+        return np.where(at < len(self.keys), self.keys[np.minimum(at, len(self.keys) - 1)], np.iinfo(np.int64).max)
+
+    def present(self, phrases: Phrases) -> np.ndarray:
+        """Phrases all of whose words the shard has."""
+        some = np.flatnonzero(self.size[phrases.terms[np.arange(len(phrases.terms)), phrases.by_rarity[:, 0]]] > 0) if len(phrases.terms) else np.zeros(0, np.int64)
+        terms = phrases.terms[some]
+        return some[((self.size[terms] > 0) | (terms < 0)).all(axis=1)]
+
+    def exact(self, phrases: Phrases, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of all places where a phrase's words follow one another within a document."""
+        found = []
+        for phrase, place in self.starts(phrases, some):
+            start = place - phrases.by_rarity[phrase, 0]
+            for k in range(1, phrases.terms.shape[1]):
+                offset = phrases.by_rarity[phrase, k].astype(np.int64)
+                word = phrases.terms[phrase, offset]
+                want = (word.astype(np.int64) << 32) | (start + offset)
+                ok = (word < 0) | ((start >= 0) & (self._next(word, start + offset) == want))
+                phrase, start = phrase[ok], start[ok]
+            doc = np.searchsorted(self.first, start, side="right") - 1
+            ok = (start >= 0) & (start + phrases.length[phrase] <= self.first[np.minimum(doc + 1, len(self.first) - 1)])
+            found.append((phrase[ok], start[ok]))
+        return _joined(found)
+
+    def near(self, phrases: Phrases, some: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, start) of all stretches of its length + slop words, or fewer at a document's end, that hold all its words."""
+        found = []
+        for phrase, place in self.starts(phrases, some):
+            doc = np.searchsorted(self.first, place, side="right") - 1
+            span = phrases.length[phrase] + slop
+            for k in range(1, phrases.terms.shape[1]):
+                # an occurrence that could be in one stretch with the rarest word
+                word = phrases.terms[phrase, phrases.by_rarity[phrase, k]]
+                low = np.maximum(place - span + 1, self.first[doc])
+                high = np.minimum(place + span, self.first[doc + 1])
+                ok = (word < 0) | (self._next(word, low) < ((word.astype(np.int64) << 32) | high))
+                phrase, place, doc, span = phrase[ok], place[ok], doc[ok], span[ok]
+            if not len(phrase):
+                continue
+            widest = int(span.max())
+            start = (place[:, None] - np.arange(widest)[None, :]).ravel()
+            phrase, doc, span = (np.repeat(x, widest) for x in (phrase, doc, span))
+            ok = (start >= self.first[doc]) & (start > np.repeat(place, widest) - span)
+            pair = np.unique((phrase[ok] << 32) | start[ok])
+            phrase, start = pair >> 32, pair & 0xFFFFFFFF
+            doc = np.searchsorted(self.first, start, side="right") - 1
+            stop = np.minimum(start + phrases.length[phrase] + slop, self.first[doc + 1])
+            for k in range(phrases.terms.shape[1]):
+                word = phrases.terms[phrase, phrases.by_rarity[phrase, k]]
+                ok = (word < 0) | (self._next(word, start) < ((word.astype(np.int64) << 32) | stop))
+                phrase, start, stop = phrase[ok], start[ok], stop[ok]
+            found.append((phrase, start))
+        return _joined(found)
+
+
+def _joined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in (0, 1))
+
+
+def _spans(start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """For each document the first and last (exclusive) word, counted from its own first, of each maximal run of hit words."""
+    edge = np.zeros(int(first[-1]) + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, stop, -1)
+    hit = np.cumsum(edge[:-1]) > 0
+    border = np.zeros(len(hit) + 1, bool)
+    border[first] = True  # a run ends with its document
+    begins = np.flatnonzero(hit & (~np.concatenate([[False], hit[:-1]]) | border[:-1])) if len(hit) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(hit & (~np.append(hit[1:], False) | border[1:])) + 1 if len(hit) else begins
+    doc = np.searchsorted(first, begins, side="right") - 1
+    flat = np.stack([begins - first[doc], ends - first[doc]], axis=1).ravel()
+    return pa.ListArray.from_arrays(pa.array((2 * np.searchsorted(begins, first)).astype(np.int32)), pa.array(flat, pa.int64()))
+
+
+def _owners(phrase: np.ndarray, start: np.ndarray, first: np.ndarray, phrases: Phrases) -> pa.ListArray:
+    """For each document the numbers of the items whose phrases start in it."""
+    n_items, n_docs = max(1, len(phrases.names)), len(first) - 1
+    doc = np.searchsorted(first, start, side="right") - 1
+    pair = np.unique(doc * max(1, len(phrases.terms)) + phrase)
+    doc, phrase = pair // max(1, len(phrases.terms)), pair % max(1, len(phrases.terms))
+    size = phrases.owned[phrase + 1] - phrases.owned[phrase]
+    stop = np.cumsum(size)
+    at = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size) + np.repeat(phrases.owned[phrase], size)
+    both = np.unique(np.repeat(doc, size) * n_items + phrases.owner[at])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(both // n_items, np.arange(n_docs + 1)).astype(np.int32)), pa.array(both % n_items, pa.int64()))
+
+
+def _search(phrases_of, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, orders, owners, vocabulary = pickle.loads(of.value)  # noqa: S301  made by the driver
-        flat = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        heads = np.cumsum([0, *map(len, terms)])[:-1]
+        phrases = phrases_of.value
         for batch in batches:
             for r in range(batch.num_rows):
-                lists = _Lists(batch, r, vocabulary)
-                n_docs, n_tokens = len(lists.first) - 1, int(lists.first[-1])
-                edge = np.zeros(n_tokens + 1, np.int32)
-                items: list[set[int]] = [set() for _ in range(n_docs)]
-                there = np.flatnonzero(np.minimum.reduceat(lists.size[flat], heads) > 0) if len(heads) else []
-                for p in there:
-                    span = len(terms[p]) + (slop or 0)
-                    at = lists.phrase(terms[p], orders[p]) if slop is None else lists.near(terms[p], orders[p], span)
-                    if len(at):
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, np.minimum(at + span, n_tokens), -1)
-                        for d in np.unique(np.searchsorted(lists.first, at, side="right") - 1).tolist():
-                            items[d].update(owners[p])
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+                lists = Postings(batch, r, phrases.vocabulary)
+                first, n_docs = lists.first, len(lists.first) - 1
+                some = lists.present(phrases)
+                phrase, start = lists.exact(phrases, some)
+                near, near_start = lists.near(phrases, some, slop)
+                near_doc = np.searchsorted(first, near_start, side="right") - 1
                 yield pa.record_batch(
                     {
                         "shard": pa.array(np.full(n_docs, batch.column("shard")[r].as_py(), np.int64)),
                         "place": pa.array(np.arange(n_docs)),
                         "doc_id": pa.array(batch.column("doc_ids")[r].as_py(), pa.int64()),
-                        "n_words": pa.array(np.diff(lists.first)),
-                        "n_hit": pa.array(np.diff(hit[lists.first])),
-                        "spans": pa.array([_runs(edge, a, b) if items[d] else [] for d, (a, b) in enumerate(zip(lists.first[:-1], lists.first[1:], strict=True))], pa.list_(pa.int64())),
-                        "items": pa.array([sorted(x) for x in items], pa.list_(pa.int32())),
+                        "n_words": pa.array(np.diff(first)),
+                        "spans": _spans(start, start + phrases.length[phrase], first),
+                        "items": _owners(phrase, start, first, phrases),
+                        "near_spans": _spans(near_start, np.minimum(near_start + phrases.length[near] + slop, first[near_doc + 1]), first),
+                        "near_items": _owners(near, near_start, first, phrases),
                     }
                 )
 
     return run
 
 
-def _runs(edge: np.ndarray, a: int, b: int) -> list[int]:
-    """Start and stop word, in the document, of each maximal hit run: 2 numbers a run."""
-    before = int(edge[:a].sum()) if a else 0
-    inside = np.concatenate([[0], ((np.cumsum(edge[a:b]) + before) > 0).astype(np.int8), [0]])
-    return np.flatnonzero(np.diff(inside)).tolist()
+def _covered(lists: list[list[int]]) -> int:
+    """Words in the union of runs."""
+    total = reached = 0
+    for a, b in sorted(s for spans in lists for s in zip(spans[::2], spans[1::2], strict=True)):
+        total += max(0, b - max(a, reached))
+        reached = max(reached, b)
+    return total
+
 
+_OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long, n_near_items long, items array<string>, near_items array<string>"
 
-def _merge(names):
+
+def _merge(names_of):
     """One row per document from the rows of all blocks of items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pickle.loads(names.value)  # noqa: S301  made by the driver
+        known = names_of.value
+        nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            n_hit, n_items, digest, all_items = [], [], [], []
+            out: dict[str, list] = {c: [] for c in ("n_hit", "n_items", "items_sha256", "contaminated", "n_near", "n_near_items", "items", "near_items")}
             for found in batch.column("found").to_pylist():
-                spans = sorted(s for f in found for s in zip(f["spans"][::2], f["spans"][1::2], strict=True))
-                total, reached = 0, 0
-                for a, b in spans:
-                    total += max(0, b - max(a, reached))
-                    reached = max(reached, b)
-                ids = sorted({known[f["block"]][i] for f in found for i in f["items"]})
-                n_hit.append(total)
-                n_items.append(len(ids))
-                digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                all_items.append(ids)
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_words": batch.column("n_words"),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "n_items": pa.array(n_items, pa.int64()),
-                    "items_sha256": pa.array(digest),
-                    "contaminated": pa.array([x > 0 for x in n_hit]),
-                    "items": pa.array(all_items, pa.list_(pa.string())),
-                }
-            )
+                ids, near = (sorted({known[f["block"]][i] for f in found for i in f[c]}) for c in ("items", "near_items"))
+                n_hit = _covered([f["spans"] for f in found])
+                row = (n_hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest() if ids else nothing, n_hit > 0, _covered([f["near_spans"] for f in found]), len(near), ids, near)
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+            kinds = {"items_sha256": pa.string(), "contaminated": pa.bool_(), "items": pa.list_(pa.string()), "near_items": pa.list_(pa.string())}
+            yield pa.record_batch({c: batch.column(c) for c in ("doc_id", "n_words")} | {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
 
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple[str, np.ndarray]]]:
+    """Items in blocks of about BLOCK_WORDS words; longer ones in parts that overlap by a window less one word."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     for r in rows.toLocalIterator():
         words = item_words(r.text)
-        if size and size + len(words) > BLOCK_TERMS:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, words))
-        size += len(words)
+        for at in range(0, max(1, len(words) - window + 1), BLOCK_WORDS):
+            part = words[at : at + BLOCK_WORDS + window - 1]
+            if size and size + len(part) > BLOCK_WORDS:
+                yield block
+                block, size = [], 0
+            block.append((r.item_id, part))
+            size += len(part)
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) for every row of docs(doc_id, text).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """A row for every row of docs(doc_id, text), against benchmark(item_id, text).
 
-    slop None: exact phrases of ``window`` words of benchmark(item_id, text). A number: stretches of window + slop words that hold
-    all the words of a window in any order (proximity).
+    doc_id, n_words; n_hit, n_items, items_sha256, contaminated, items: exact phrases of ``window`` words; n_near, n_near_items, near_items:
+    the words inside stretches of window + slop words that hold all the words of a window in any order, and the items.
     """
     sc = docs.sparkSession.sparkContext
+    index = build_index(docs)
     parts, names = [], []
-    for b, items in enumerate(_blocks(benchmark)):
+    kind = "shard long, place long, doc_id long, n_words long, spans array<long>, items array<long>, near_spans array<long>, near_items array<long>"
+    for b, items in enumerate(_blocks(benchmark, window)):
         phrases = Phrases(items, window)
-        index = build_index(docs, phrases.vocabulary)
-        counts = document_counts(index, len(phrases.vocabulary))
-        orders = [np.argsort(counts[t], kind="stable") for t in phrases.terms]
-        query = sc.broadcast(pickle.dumps((phrases.terms, orders, phrases.owners, len(phrases.vocabulary))))
-        kind = "shard long, place long, doc_id long, n_words long, n_hit long, spans array<long>, items array<int>"
+        phrases.rank(document_counts(index, phrases.vocabulary))
         names.append(phrases.names)
-        parts.append(index.mapInArrow(_search(query, slop), kind).withColumn("block", F.lit(b)))
-    known = sc.broadcast(pickle.dumps(names))
-    found = F.struct("block", "spans", "items")
+        parts.append(index.mapInArrow(lean(_search(sc.broadcast(phrases), slop)), kind).withColumn("block", F.lit(b)))
+    known = sc.broadcast(names)
+    found = F.struct("block", "spans", "items", "near_spans", "near_items")
     if len(parts) == 1:
         rows = parts[0].select("doc_id", "n_words", F.array(found).alias("found"))
     else:
@@ -276,4 +376,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             rows = rows.unionByName(p)
         rows = rows.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list(found).alias("found"))
         rows = rows.select("doc_id", "n_words", "found")
-    return rows.mapInArrow(_merge(known), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    return rows.mapInArrow(_merge(known), _OUT)

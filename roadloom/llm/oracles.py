@@ -44,8 +44,26 @@ WITH d AS (
   SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS place FROM h) GROUP BY r
 ), f AS (
   SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r
+), v AS (
+  SELECT part, any_value(size) AS size, list_distinct(string_split(part, ' ')) AS need FROM iw GROUP BY part
+), vw AS (
+  SELECT part, size, len(need) AS needed, unnest(need) AS word FROM v
+), dt AS (
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos, len(words) AS n FROM d
+), c AS (
+  SELECT r, part, any_value(size) AS size, any_value(needed) AS needed FROM (SELECT DISTINCT r, word FROM dt) JOIN vw USING (word) GROUP BY r, part HAVING count(*) = any_value(needed)
+), st AS (
+  SELECT r, part, s, any_value(size) AS size, any_value(n) AS n FROM (
+    SELECT c.r, c.part, c.size, c.needed, dt.n, dt.word, unnest(range(greatest(1, pos - c.size - 4), pos + 1)) AS s
+    FROM c JOIN vw ON vw.part = c.part JOIN dt ON dt.r = c.r AND dt.word = vw.word)
+  GROUP BY r, part, s HAVING count(DISTINCT word) = any_value(needed)
+), np AS (
+  SELECT r, count(DISTINCT place) AS n_near FROM (SELECT r, unnest(range(s, least(s + size + 5, n + 1))) AS place FROM st) GROUP BY r
+), nf AS (
+  SELECT r, count(DISTINCT item) AS n_near_items FROM st JOIN iw USING (part) GROUP BY r
 )
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN p USING (r) LEFT JOIN f USING (r)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN p USING (r) LEFT JOIN f USING (r) LEFT JOIN np USING (r) LEFT JOIN nf USING (r)
 """

@@ -1,193 +1,284 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Examples are a bounded sample of the labelled rows (MOST_EXAMPLES of each class, by a hash of the id, less near copies of one
-another, whose words would count again; only this fit is bounded).
-Terms are words and the first PREFIX letters of longer words; the MOST_TERMS that tell the classes apart best (chi-square over
-the examples) make the vocabulary. The index keeps, for every term and block of BLOCK examples, the impacts and their maximum:
-a text visits blocks from the highest bound down and stops once the next bound is below its K-th best cosine, so its K
-neighbours are exact. Cosine-weighted votes, with a prior for texts that have no neighbour, are calibrated by a logistic fit on the
-examples themselves, each without itself, weighted to the classes' shares among all training labels.
+Examples are a bounded sample of the labelled rows: at most MOST_EXAMPLES of each class, of texts of at most EXAMPLE_BYTES bytes, by a
+hash of the id; of equal texts of a class one is drawn from, and of near copies of a class one stays, the next in the draw taking
+the place of the others. Only this fit is bounded.
 
-The index (a few MB, bounded by the sample and vocabulary, checked against MOST_BYTES) goes to the executors once; scoring is one
-pass without a shuffle.
+Terms are words (runs of letters, in lower case) and the first PREFIX bytes of longer ones; every term of the examples is in the index.
+A term weighs its TF-IDF times its association with the labels (chi-square over the examples): by IDF alone what a text
+is about decides its neighbours, and not how it speaks. The README has the figures of both.
+
+The index has a posting list for each term, cut by blocks of BLOCK examples, and the largest impact in each block. A text's bound in a
+block is the sum of those; blocks with the best bounds are read first, then those whose bound reaches the K-th best cosine, so
+the K neighbours are exact. Cosine-weighted votes, with a prior for texts that have no neighbour, are calibrated by a
+logistic fit on the examples themselves, each without itself, weighted to the classes' shares among all training labels.
+
+The index (some MB, bounded by the sample, checked against MOST_BYTES) goes to the executors once; scoring is one pass without a shuffle.
 
 Rows: a null text is empty and scores by the prior alone. Labels: rows with a null id or label are left out; of several labels
-of one id the largest counts. Only rows whose crc32(doc_id as text) mod FOLDS is not 0 are learned from. Without labels of both
-classes every score is the share of label 1 (0 without labels). Equal cosines go to the smaller example id. Extra columns are
-ignored, an empty table gives an empty result.
+of one id the largest counts, of several texts of one id the least. Only rows whose crc32(doc_id as text) mod FOLDS is not 0 are
+learned from. Without labels of both classes every score is the share of label 1 (0 without labels). Equal cosines go to the
+smaller example id. Extra columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import pickle
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import raw_text
-from roadloom.llm.near_dup import CHUNKS, SYMBOLS, shingle_hashes, signatures
+from roadloom.llm.common import LOWER, NOT_LETTER, U64, lean, mix, raw_text, steps, stored, word_hashes, word_spans
+from roadloom.llm.near_dup import CHUNKS, SYMBOLS, WIDTH, shingle_hashes, signatures
 
 MOST_EXAMPLES = 2000
-MOST_TERMS = 3000
+#: Examples that are drawn for each that is wanted, so that near copies can be replaced.
+DRAWN = 2
+EXAMPLE_BYTES = 32 << 10
 PREFIX = 5
 BLOCK = 64
 K = 15
 FOLDS = 5
-#: Bytes of a serialised model that may be sent to executors.
+#: Symbols of two signatures that agree in near copies: expected from a similarity of two thirds on.
+COPY = 30
+#: Bytes of a model that may be sent to executors.
 MOST_BYTES = 256 << 20
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def terms(text: str) -> Counter:
-    """Words in lower case, and the first letters of longer ones, with their counts."""
-    words = Counter(_WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) > PREFIX:
-            out["^" + w[:PREFIX]] += n
-    return out
+#: Bytes of text and texts scored together.
+STEP, ROWS = 1 << 17, 64
+_SALT = U64(0x5851F42D4C957F2D)
+
+
+def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash of a term, times it stands there), ascending, of whole texts."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low = LOWER[data]
+    starts, stops, first = word_spans(low, offsets, NOT_LETTER)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    long_ = stops - starts > PREFIX
+    heads = mix(word_hashes(low, starts[long_], starts[long_] + PREFIX) ^ _SALT)
+    owner, term = np.concatenate([owner, owner[long_]]), np.concatenate([word_hashes(low, starts, stops), heads])
+    if not len(term):
+        return owner, term, np.zeros(0, np.int64)
+    order = np.lexsort((term, owner))
+    owner, term = owner[order], term[order]
+    at = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))
+    return owner[at], term[at], np.diff(np.append(at, len(term)))
+
+
+def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range, number) for every number of all ranges begin to end."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    stop = np.cumsum(size)
+    return which, np.arange(stop[-1] if len(stop) else 0) - (stop - size)[which] + begin[which]
 
 
 @dataclass
 class Model:
-    """vocabulary, idf, impacts (term x example, normalised), their block maxima, labels and ids of examples, calibration."""
+    """Terms (sorted hashes) and their weights; cells: a term's postings within a block of examples; labels and ids of examples.
 
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    impacts: np.ndarray
-    maxima: np.ndarray
+    term_cells: each term's first cell; cell_block, cell_most: its block and largest impact; cell_posts: its first posting;
+    example, impact: the postings.
+    """
+
+    terms: np.ndarray
+    weight: np.ndarray
+    term_cells: np.ndarray
+    cell_block: np.ndarray
+    cell_most: np.ndarray
+    cell_posts: np.ndarray
+    example: np.ndarray
+    impact: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     prior: float
     slope: float = 1.0
     shift: float = 0.0
 
-    def weights(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary terms of a text and their normalised TF-IDF weights."""
-        counts = {}
-        vocabulary = self.vocabulary
-        for w in _WORD.findall(text.lower()):
-            t = vocabulary.get(w)
-            if t is not None:
-                counts[t] = counts.get(t, 0) + 1
-            if len(w) > PREFIX:
-                t = vocabulary.get("^" + w[:PREFIX])
-                if t is not None:
-                    counts[t] = counts.get(t, 0) + 1
-        at = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
-        length = np.sqrt((w * w).sum())
-        return at, w / length if length else w
-
-    def nearest(self, text: str, k: int = K, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0; ``but`` is left out."""
-        at, w = self.weights(text)
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.maxima[at]
-        order = np.argsort(-bound, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for i in range(0, len(order), step):
-            if len(best) == k and bound[order[i]] < best[-1] - 1e-9:
-                break
-            blocks = order[i : i + step]
-            examples = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cosines = w @ self.impacts[at[:, None], examples]
-            hit = (cosines > 0) & (examples != but)
-            best_at, best = np.concatenate([best_at, examples[hit]]), np.concatenate([best, cosines[hit]])
-            top = np.lexsort((best_at, -np.round(best, 9)))[:k]
-            best_at, best = best_at[top], best[top]
-        return best_at, best
-
-    def vote(self, text: str, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of label 1 among the neighbours, by squared cosine, with the prior counted as one distant neighbour."""
-        at, cosine = self.nearest(text, but=but)
-        weight = cosine * cosine
-        share = (float((weight * self.labels[at]).sum()) + 0.05 * self.prior) / (float(weight.sum()) + 0.05)
-        return share, at, cosine
-
-    def calibrated(self, share: float) -> float:
-        x = min(max(share, 1e-4), 1 - 1e-4)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(x / (1 - x)) + self.shift))))
+    @property
+    def size(self) -> int:
+        return sum(v.nbytes for v in vars(self).values() if isinstance(v, np.ndarray))
+
+    def weights(self, owner: np.ndarray, term: np.ndarray, times: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term number, normalised weight) of the terms that weigh anything."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        w = (1 + np.log(times)) * self.weight[at]
+        use = (self.terms[at] == term) & (w > 0)
+        owner, at, w = owner[use], at[use], w[use]
+        length = np.sqrt(np.bincount(owner, w * w, texts))
+        return owner, at, w / length[owner]
+
+    def nearest(self, owner: np.ndarray, at: np.ndarray, w: np.ndarray, texts: int, k: int = K, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the k nearest examples with a cosine over 0, best first; ``but``: one to leave out for each text."""
+        blocks, examples = -(-len(self.ids) // BLOCK), len(self.ids)
+        which, cell = _spread(self.term_cells[at], self.term_cells[at + 1])
+        place = owner[which] * blocks + self.cell_block[cell]  # text and block
+        bound = np.bincount(place, w[which] * self.cell_most[cell], texts * blocks)
+        cosine = np.zeros(texts * examples)
+
+        def read(wanted: np.ndarray) -> None:
+            use = np.flatnonzero(wanted[place])
+            c = cell[use]
+            one, post = _spread(self.cell_posts[c], self.cell_posts[c + 1])
+            pair = which[use[one]]
+            cosine[:] += np.bincount(owner[pair] * examples + self.example[post], w[pair] * self.impact[post], len(cosine))
+
+        # the best blocks of each text, then all whose bound reaches its k-th best cosine so far
+        ahead = min(blocks, 1 + k // BLOCK + 2)
+        by_text = bound.reshape(texts, blocks)
+        best = np.argpartition(-by_text, ahead - 1, axis=1)[:, :ahead]
+        chosen = np.zeros((texts, blocks), bool)
+        np.put_along_axis(chosen, best, True, axis=1)
+        chosen &= by_text > 0
+        read(chosen.ravel())
+        grid = cosine.reshape(texts, examples)
+        if but is not None:
+            grid[np.arange(texts), but] = 0
+        kth = np.maximum(0, np.partition(grid, examples - k, axis=1)[:, examples - k]) if examples > k else np.zeros(texts)
+        more = (by_text > 0) & (by_text >= kth[:, None] - 1e-9) & ~chosen
+        if more.any():
+            read(more.ravel())
+            if but is not None:
+                grid[np.arange(texts), but] = 0
+        # candidates: all that reach the k-th best, rounded so that equal cosines are equal
+        kth = np.partition(grid, examples - k, axis=1)[:, examples - k] if examples > k else np.zeros(texts)
+        text, example = np.nonzero((grid > 0) & (grid >= kth[:, None] - 1e-8))
+        value = grid[text, example]
+        order = np.lexsort((self.ids[example], -np.round(value, 9), text))  # ties by id, which does not depend on the label
+        text, example, value = text[order], example[order], value[order]
+        start = np.searchsorted(text, np.arange(texts))
+        top = np.arange(len(text)) - start[text] < k
+        return text[top], example[top], value[top]
+
+    def votes(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, texts: int) -> np.ndarray:
+        """Share of label 1 among each text's neighbours, by squared cosine, with the prior counted as one distant neighbour."""
+        square = cosine * cosine
+        return (np.bincount(text, square * self.labels[example], texts) + 0.05 * self.prior) / (np.bincount(text, square, texts) + 0.05)
+
+    def calibrated(self, share: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * _logit(share) + self.shift, -30, 30))) if len(self.terms) else share
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each text, then text, example and cosine of its neighbours)."""
+        texts = len(offsets) - 1
+        owner, at, w = self.weights(*term_counts(data, offsets), texts)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found = self.nearest(owner, at, w, texts) if len(at) else none
+        return self.calibrated(self.votes(*found, texts)), *found
+
+
+def _logit(share: np.ndarray) -> np.ndarray:
+    x = np.clip(share, 1e-4, 1 - 1e-4)
+    return np.log(x / (1 - x))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's method with a small ridge; the slope is never negative."""
-    beta = np.array([1.0, 0.0])
+    """Slope and shift by Newton's method with halved steps and a small ridge; the slope is never negative."""
+    start = np.array([1.0, 0.0])
     design = np.stack([x, np.ones_like(x)], axis=1)
+
+    def loss(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * ((beta - start) ** 2).sum())
+
+    beta = start
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (weight * (y - p)) - 1e-3 * (beta - [1.0, 0.0])
-        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        move = np.linalg.solve(curve, slope)
+        slope = design.T @ (weight * (y - p)) - (beta - start)
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + np.eye(2)
+        move, now = np.linalg.solve(curve, slope), loss(beta)
+        while loss(beta + move) > now and np.abs(move).max() > 1e-9:
+            move = move / 2
         beta = beta + move
         if np.abs(move).max() < 1e-8:
             break
     return max(0.05, float(beta[0])), float(beta[1])
 
 
-def one_of_copies(rows: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Examples without near copies of earlier ones (a chunk of minimum hashes agrees), which would count their words again."""
-    raw = [(r[1] or "").encode() for r in rows]
-    seen: set[bytes] = set()
-    kept = []
-    for r, text in zip(rows, raw, strict=True):
-        hashes, begin = shingle_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 3)
-        if not len(hashes):
-            kept.append(r)
+@dataclass
+class Example:
+    """A labelled text: its place in the draw, distinct terms (sorted hashes) and their counts, and its signature (empty without words)."""
+
+    id: int
+    label: int
+    place: int
+    terms: np.ndarray
+    times: np.ndarray
+    signature: np.ndarray
+
+
+def without_copies(examples: list[Example], most: int) -> list[Example]:
+    """The first ``most`` of each class in the order of the draw, without near copies of earlier ones of their class."""
+    seen: dict[bytes, list[np.ndarray]] = {}
+    kept: list[Example] = []
+    count = [0, 0]
+    for e in sorted(examples, key=lambda e: (e.place, e.id)):
+        if count[e.label] >= most:
+            continue
+        parts = e.signature.reshape(CHUNKS, SYMBOLS) if len(e.signature) else []
+        keys = [bytes([e.label, k]) + part.tobytes() for k, part in enumerate(parts)]
+        if any((e.signature == s).sum() >= COPY for key in keys for s in seen.get(key, ())):
             continue
-        sig = signatures(hashes, begin)[0].reshape(CHUNKS, SYMBOLS)
-        keys = {bytes([k]) + part.tobytes() for k, part in enumerate(sig)}
-        if not keys & seen:
-            kept.append(r)
-        seen |= keys
+        for key in keys:
+            seen.setdefault(key, []).append(e.signature)
+        count[e.label] += 1
+        kept.append(e)
     return kept
 
 
-def fit(rows: list[tuple[int, str, int]], share: float, most_terms: int = MOST_TERMS) -> Model:
-    """A model of examples (id, text, label); share: of label 1 among all training labels."""
-    rows = one_of_copies(sorted(rows, key=lambda r: r[0]))
-    labels = np.array([r[2] for r in rows], np.float64)
-    bags = [terms(r[1] or "") for r in rows]
-    ones, zeros = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (ones if y else zeros).update(bag.keys())
-    n1, n0 = int(labels.sum()), int(len(rows) - labels.sum())
-    scored = []
-    if n1 and n0:
-        for t in {*ones, *zeros}:
-            a, b = ones[t], zeros[t]
-            if a + b < 5:
-                continue
-            n, c, d = n1 + n0, n1 - a, n0 - b
-            chi = n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * n1 * n0)
-            if chi >= 15.14:  # 0.0001 of independent terms reach it
-                scored.append((-chi, t))
-    chosen = [t for _, t in sorted(scored)[:most_terms]]
-    vocabulary = {t: i for i, t in enumerate(chosen)}
-    df = np.array([ones[t] + zeros[t] for t in chosen], np.float64)
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    width = -(-max(1, len(rows)) // BLOCK) * BLOCK
-    impacts = np.zeros((len(chosen), width), np.float32)
-    for e, bag in enumerate(bags):
-        at = [vocabulary[t] for t in bag if t in vocabulary]
-        if at:
-            w = (1 + np.log(np.array([n for t, n in bag.items() if t in vocabulary], np.float64))) * idf[at]
-            impacts[at, e] = w / np.sqrt((w * w).sum())
-    maxima = impacts.reshape(len(chosen), width // BLOCK, BLOCK).max(axis=2)
-    ids = np.array([r[0] for r in rows] + [-1] * (width - len(rows)), np.int64)
-    model = Model(vocabulary, idf, impacts, maxima, np.append(labels, np.zeros(width - len(rows))), ids, share)
-    if n1 and n0:
-        x = np.array([model.vote(r[1] or "", but=e)[0] for e, r in enumerate(rows)])
-        x = np.log(np.clip(x, 1e-4, 1 - 1e-4) / np.clip(1 - x, 1e-4, 1 - 1e-4))
-        model.slope, model.shift = _logistic(x, labels, np.where(labels > 0, share / n1, (1 - share) / n0) * len(rows))
+def fit(examples: list[Example], share: float) -> Model:
+    """A model of the examples; share: of label 1 among all training labels."""
+    examples = sorted(examples, key=lambda e: e.id)
+    labels = np.array([e.label for e in examples], np.float64)
+    n, n1 = len(examples), int(labels.sum())
+    size = np.array([len(e.terms) for e in examples], np.int64)
+    owner = np.repeat(np.arange(n), size)
+    flat = np.concatenate([e.terms for e in examples]) if n else np.zeros(0, np.uint64)
+    times = np.concatenate([e.times for e in examples]) if n else np.zeros(0, np.int64)
+    terms, at = np.unique(flat, return_inverse=True)
+    if not n1 or n1 == n:
+        terms, at, owner, times = terms[:0], at[:0], owner[:0], times[:0]
+    df, ones = np.bincount(at, minlength=len(terms)), np.bincount(at, labels[owner], len(terms))
+    a, b = ones, df - ones
+    chi = n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / np.maximum(1, df * (n - df) * n1 * (n - n1))
+    weight = (np.log((1 + n) / (1 + df)) + 1) * chi
+    w = (1 + np.log(times)) * weight[at]
+    length = np.sqrt(np.bincount(owner, w * w, n))
+    impact = w / np.where(length > 0, length, 1)[owner]
+    # examples of one class whose weightiest terms are the same stand together, so that blocks differ
+    lead = np.zeros(n, np.int64)
+    by_impact = np.lexsort((impact, owner))
+    lead[owner[by_impact]] = at[by_impact]
+    place = np.empty(n, np.int64)
+    place[np.lexsort((np.arange(n), lead, labels))] = np.arange(n)
+    # postings by term and place; a cell is what one block has of a term
+    used = impact > 0
+    owner, at, impact = place[owner[used]], at[used], impact[used]
+    order = np.lexsort((owner, at))
+    owner, at, impact = owner[order], at[order], impact[order]
+    key = at * (n // BLOCK + 1) + owner // BLOCK
+    cells = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(impact, cells) if len(cells) else np.zeros(0)
+    back = np.argsort(place)
+    ids = np.array([e.id for e in examples], np.int64)[back]
+    by_cell = np.searchsorted(at[cells], np.arange(len(terms) + 1))
+    model = Model(terms, weight, by_cell.astype(np.int32), (owner[cells] // BLOCK).astype(np.int32), np.nextafter(most.astype(np.float32), np.float32(2)), np.append(cells, len(at)).astype(np.int32), owner.astype(np.int32), impact.astype(np.float32), labels[back], ids, share)
+    if len(terms):
+        shares = np.zeros(n)
+        for i in range(0, n, 64):
+            some = examples[i : i + 64]
+            m = len(some)
+            rows = np.repeat(np.arange(m), [len(e.terms) for e in some])
+            row, term, wt = model.weights(rows, np.concatenate([e.terms for e in some]), np.concatenate([e.times for e in some]), m)
+            shares[i : i + m] = model.votes(*model.nearest(row, term, wt, m, but=place[i : i + m]), m)
+        model.slope, model.shift = _logistic(_logit(shares), labels, np.where(labels > 0, share / n1, (1 - share) / (n - n1)) * n)
     return model
 
 
@@ -195,43 +286,67 @@ def _in_training(column: str = "doc_id"):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(FOLDS)) != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES) -> Model:
-    """Fits on at most most_examples labelled documents of each class, those of the smallest id hashes."""
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms, counts and signature of each text."""
+    for batch in batches:
+        for i, j, data, offsets in steps(batch.column("raw")):
+            owner, term, times = term_counts(data, offsets)
+            cut = np.searchsorted(owner, np.arange(j - i + 1))
+            hashes, begin = shingle_hashes(data, offsets, 3)
+            sig = signatures(hashes, begin)
+            own = {c: batch.column(c).slice(i, j - i) for c in ("doc_id", "toxic", "place")}
+            bodies = {
+                "terms": [term[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)],
+                "times": [times[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)],
+                "sig": [s.tobytes() if b > a else b"" for s, a, b in zip(sig, begin[:-1], begin[1:], strict=True)],
+            }
+            yield pa.record_batch(own | {c: pa.array(v, pa.binary()) for c, v in bodies.items()})
+
+
+def drawn(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[Example], float]:
+    """At most DRAWN * most training examples of each class, no two of a class with equal texts, and the share of label 1 among training labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    known = known.where(_in_training()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = stored(known.where(_in_training()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
     n, n1 = known.agg(F.count("*"), F.sum("toxic")).first()
-    share = (n1 or 0) / n if n else 0.0
+    if not n:
+        return [], 0.0
+    text = F.coalesce(F.col("text"), F.lit(""))
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length("text") <= EXAMPLE_BYTES)
     place = F.xxhash64("doc_id", F.lit(3))
-    sample = known.where("toxic = 1").orderBy(place).limit(most_examples).unionAll(known.where("toxic = 0").orderBy(place).limit(most_examples))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    taken: dict[int, tuple[int, str, int]] = {}
-    for r in texts.join(F.broadcast(sample), "doc_id").collect():  # at most 2 * most_examples ids
-        if r.doc_id not in taken or r.text < taken[r.doc_id][1]:
-            taken[r.doc_id] = (r.doc_id, r.text, r.toxic)
-    return fit(list(taken.values()), share)
+    # of a class's equal texts the first in the draw; only ids and hashes are shuffled
+    copies = short.select("doc_id", F.xxhash64(F.lower("text")).alias("same"), F.xxhash64(F.lit(1), F.lower("text")).alias("same2")).join(known, "doc_id")
+    distinct = copies.groupBy("toxic", "same", "same2").agg(F.min(F.struct(place.alias("place"), "doc_id")).alias("first")).select("toxic", "first.place", "first.doc_id").distinct()
+    ids = [distinct.where(F.col("toxic") == y).orderBy("place", "doc_id").limit(DRAWN * most) for y in (0, 1)]
+    sample = stored(ids[0].unionAll(ids[1]).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("place").alias("place")), "sample")
+    texts = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))  # 2 * DRAWN * most ids
+    rows = texts.select("doc_id", "toxic", "place", raw_text().alias("raw")).mapInArrow(lean(_vectors), "doc_id long, toxic int, place long, terms binary, times binary, sig binary")
+    out = [Example(r.doc_id, r.toxic, r.place, np.frombuffer(r.terms, np.uint64), np.frombuffer(r.times, np.int32).astype(np.int64), np.frombuffer(r.sig, np.uint16)) for r in rows.collect()]
+    return out, (n1 or 0) / n
+
+
+def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES) -> Model:
+    """Fits on at most most_examples labelled documents of each class, those of the smallest id hashes."""
+    examples, share = drawn(docs, labels, most_examples)
+    return fit(without_copies(examples, most_examples), share)
 
 
 def _score(model_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pickle.loads(model_of.value)  # noqa: S301  made by the driver
+        model = model_of.value
         for batch in batches:
-            scores, ids, cosines = [], [], []
-            texts = batch.column("raw") if "raw" in batch.schema.names else batch.column("row").field("text")
-            for text in texts:
-                text = text.as_py() or ""
-                share, at, cosine = model.vote(text if isinstance(text, str) else text.decode("utf-8", "replace"))
-                scores.append(model.calibrated(share) if model.vocabulary else share)
-                ids.append(model.ids[at].tolist())
-                cosines.append(np.round(cosine, 6).tolist())
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "row": batch.column("row"),
-                    "score": pa.array(scores, pa.float64()),
-                    "neighbours": pa.array(ids, pa.list_(pa.int64())),
-                    "cosines": pa.array(cosines, pa.list_(pa.float64())),
-                }
-            )
+            texts = batch.column("raw") if "raw" in batch.schema.names else pc.fill_null(batch.column("row").field("text"), "")
+            for i, j, data, offsets in steps(texts, STEP, ROWS):
+                score, text, example, cosine = model.score(data, offsets)
+                lists = pa.array(np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32))
+                yield pa.record_batch(
+                    {
+                        "doc_id": batch.column("doc_id").slice(i, j - i),
+                        "row": batch.column("row").slice(i, j - i),
+                        "score": pa.array(score, pa.float64()),
+                        "neighbours": pa.ListArray.from_arrays(lists, pa.array(model.ids[example], pa.int64())),
+                        "cosines": pa.ListArray.from_arrays(lists, pa.array(np.round(cosine, 6), pa.float64())),
+                    }
+                )
 
     return run
 
@@ -243,12 +358,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     training: documents to take the labelled texts from, docs by default.
     """
     sc = docs.sparkSession.sparkContext
-    packed = pickle.dumps(train(docs if training is None else training, labels))
-    if len(packed) > MOST_BYTES:
-        raise ValueError(f"the model has {len(packed)} bytes, the bound is {MOST_BYTES}: lower most_examples or most_terms")
+    model = train(docs if training is None else training, labels)
+    if model.size > MOST_BYTES:
+        raise ValueError(f"the model has {model.size} bytes, the bound is {MOST_BYTES}: lower most_examples")
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), *([] if carry and "text" in carry else [raw_text().alias("raw")]))
     kind = base.schema["row"].dataType.simpleString()
-    out = base.mapInArrow(_score(sc.broadcast(packed)), f"doc_id long, row {kind}, score double, neighbours array<long>, cosines array<double>")
+    out = stored(base.mapInArrow(lean(_score(sc.broadcast(model))), f"doc_id long, row {kind}, score double, neighbours array<long>, cosines array<double>"), "scored")
     held = F.coalesce(~_in_training(), F.lit(False))
     return out.select("doc_id", "row", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "neighbours", "cosines")

@@ -227,9 +227,10 @@ def benchmark(spark, items):
     return spark.createDataFrame([(i, t, 7, "z") for i, t in items], "item_id string, text string, doc_id long, shard string")
 
 
-@pytest.mark.parametrize("block", [D.BLOCK_TERMS, 60])
-def test_passages_are_those_of_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(D, "BLOCK_TERMS", block)
+@pytest.mark.parametrize(("block", "places"), [(D.BLOCK_WORDS, D.PLACES), (60, 5), (7, 100)])
+def test_passages_are_those_of_brute_force(spark, monkeypatch, block, places):
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
+    monkeypatch.setattr(D, "PLACES", places)
     rows, items = passages()
     got = D.decontaminate(docs(spark, rows).repartition(3), benchmark(spark, items)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=repr) == brute_hits(rows, items, 10)
@@ -241,8 +242,44 @@ def test_passages_of_empty_tables(spark):
     assert {r.contaminated for r in D.decontaminate(docs(spark, rows), benchmark(spark, [])).collect()} == {False}
 
 
+def brute_near(rows, items, n, slop):
+    windows = {}
+    for name, t in items:
+        w = words(t)
+        for a in range(max(1, len(w) - n + 1)) if w and name is not None else ():
+            windows.setdefault(tuple(w[a : a + n]), set()).add(str(name))
+    out = []
+    for i, t in rows:
+        w, hit, found = words(t), set(), set()
+        for window, owners in windows.items():
+            need, span = set(window), len(window) + slop
+            for a in range(len(w)) if need <= set(w) else ():
+                if need <= set(w[a : a + span]):
+                    hit |= set(range(a, min(len(w), a + span)))
+                    found |= owners
+        out.append((i, len(hit), sorted(found)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [D.BLOCK_WORDS, 40])
+def test_proximity_is_that_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
+    monkeypatch.setattr(D, "PLACES", 50)
+    rows, items = passages()
+    rng = random.Random(5)
+    near = []
+    for k in range(12):  # windows with words moved and others put between
+        w = items[k][1].split()[:10]
+        rng.shuffle(w)
+        near.append((200 + k, "zz " * 7 + " ".join(x + " yy" * (rng.random() < 0.3) for x in w) + " zz" * rng.randint(0, 9)))
+    rows = [r for r in rows if r[0] != 73] + near + [(73, "the " * 40)]
+    got = D.decontaminate(docs(spark, rows).repartition(3), benchmark(spark, items)).collect()
+    assert sorted(((r.doc_id, r.n_near, r.near_items) for r in got), key=repr) == brute_near(rows, items, 10, D.SLOP)
+    assert any(r.n_near and not r.n_hit for r in got)
+
+
 def test_proximity_finds_words_in_any_order(spark):
     item = [("p", "alpha beta gamma")]
     rows = [(1, "gamma then beta alpha"), (2, "alpha x x x beta gamma"), (3, "alpha beta"), (4, "beta gamma alpha")]
-    got = {r.doc_id: r.contaminated for r in D.decontaminate(docs(spark, rows), benchmark(spark, item), window=3, slop=1).collect()}
+    got = {r.doc_id: r.n_near > 0 for r in D.decontaminate(docs(spark, rows), benchmark(spark, item), window=3, slop=1).collect()}
     assert got == {1: True, 2: False, 3: False, 4: True}

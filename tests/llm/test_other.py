@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roadloom.llm import packing, quality_rules, queries, sharding, snapshots, token_counts, toxicity, warc
+from roadloom.llm import near_dup, packing, quality_rules, queries, sharding, snapshots, token_counts, toxicity, warc
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -111,15 +111,83 @@ def toxic_rows(n=400):
     return out
 
 
-def test_nearest_are_exact():
-    model = toxicity.fit(toxic_rows(300), 0.2)
-    full = model.impacts.astype(np.float64)
-    for _, text, _ in toxic_rows(360)[300:]:
-        at, w = model.weights(text)
-        cosines = w @ full[at] if len(at) else np.zeros(full.shape[1])
-        best = np.sort(cosines[cosines > 0])[::-1][: toxicity.K]
-        _, got = model.nearest(text)
-        assert np.allclose(np.sort(got)[::-1], best, atol=1e-6)
+def texts_of(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def examples_of(rows):
+    data, offsets = texts_of([t for _, t, _ in rows])
+    owner, term, times = toxicity.term_counts(data, offsets)
+    hashes, begin = near_dup.shingle_hashes(data, offsets, 3)
+    sig = near_dup.signatures(hashes, begin)
+    return [toxicity.Example(i, y, k, term[owner == k], times[owner == k], sig[k] if begin[k + 1] > begin[k] else sig[k][:0]) for k, (i, _, y) in enumerate(rows)]
+
+
+def dense(model):
+    """Impacts as a term x example matrix."""
+    out = np.zeros((len(model.terms), len(model.ids)))
+    for t in range(len(model.terms)):
+        a, b = model.cell_posts[model.term_cells[t]], model.cell_posts[model.term_cells[t + 1]]
+        out[t, model.example[a:b]] = model.impact[a:b]
+    return out
+
+
+def test_terms_are_words_and_their_heads():
+    text = "Über the Überlegen, THE-x2y naïve\n"
+    data, offsets = texts_of([text, "", text])
+    owner, term, times = toxicity.term_counts(data, offsets)
+    assert set(owner.tolist()) == {0, 2} and (term[owner == 0] == term[owner == 2]).all()
+    # the, x, y, Über, Überlegen, naïve and the heads of the longer two; "the" stands twice
+    assert sorted(times[owner == 0].tolist()) == [1] * 7 + [2]
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_nearest_are_exact(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    model = toxicity.fit(examples_of(toxic_rows(300)), 0.2)
+    full = dense(model)
+    assert len(model.terms) == len(np.unique(np.concatenate([e.terms for e in examples_of(toxic_rows(300))])))  # all terms of the examples
+    texts = [t for _, t, _ in toxic_rows(360)[300:]] + ["", "scummy", "nothing known here", toxic_rows(1)[0][1]]
+    owner, at, w = model.weights(*toxicity.term_counts(*texts_of(texts)), len(texts))
+    text, example, cosine = model.nearest(owner, at, w, len(texts))
+    for k in range(len(texts)):
+        cosines = w[owner == k] @ full[at[owner == k]] if (owner == k).any() else np.zeros(full.shape[1])
+        order = np.lexsort((model.ids, -np.round(cosines, 9)))
+        order = order[cosines[order] > 0][: toxicity.K]
+        assert example[text == k].tolist() == order.tolist() and np.allclose(cosine[text == k], cosines[order], atol=1e-6)
+
+
+def test_equal_cosines_go_to_the_smaller_id():
+    rows = [(i, "abcde" if i % 2 else "vwxyz", 1) for i in range(40)] + [(100 + i, "fine", 0) for i in range(40)]
+    model = toxicity.fit(examples_of(rows), 0.5)
+    found = model.score(*texts_of(["vwxyz", "vwxyz"]))
+    assert model.ids[found[2]].tolist() == [*range(0, 30, 2)] * 2 and (found[1] == np.repeat([0, 1], 15)).all()
+
+
+def test_copies_are_replaced_within_a_class():
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+    near = lambda: " ".join(w if rng.random() > 0.01 else "other" for w in base)
+    rows = [(i, near(), 1) for i in range(30)] + [(50 + i, " ".join(f"v{rng.randint(0, 400)}" for _ in range(60)), 1) for i in range(10)] + [(90, near(), 0), (91, "", 0)]
+    kept = toxicity.without_copies(examples_of(rows), 8)
+    assert [e.label for e in kept].count(1) == 8 and sum(e.id < 30 for e in kept) == 1  # the others' places are taken by the next in the draw
+    assert {e.id for e in kept if not e.label} == {90, 91}  # a copy of another class stays
+
+
+def test_scores_are_calibrated():
+    """Among texts of a score the share of label 1 is about that score, where labels are noisy."""
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(60)]
+    def row(i):
+        bad = rng.random()
+        t = rng.choices(words, k=20) + ["venom"] * (bad < 0.5)
+        return i, " ".join(t), int(rng.random() < (0.8 if bad < 0.5 else 0.1))
+    model = toxicity.fit(examples_of([row(i) for i in range(600)]), 0.45)
+    test = [row(i) for i in range(600)]
+    score = model.score(*texts_of([t for _, t, _ in test]))[0]
+    truth = np.array([y for _, _, y in test])
+    assert abs(score.mean() - truth.mean()) < 0.1 and score[truth == 1].mean() > score[truth == 0].mean() + 0.2
 
 
 def test_toxicity_of_held_out_rows(spark):
@@ -135,6 +203,8 @@ def test_toxicity_of_held_out_rows(spark):
     assert sum(r.predicted == want[r.doc_id] for r in held) >= 0.98 * len(held)
     assert by[5000].predicted == 1 and by[None].predicted == 1 and by[1000].predicted == by[1001].predicted == 0
     assert all(zlib.crc32(str(i).encode()) % 5 for r in got for i in r.neighbours)
+    assert all(len(r.neighbours) == len(r.cosines) <= toxicity.K and list(r.cosines) == sorted(r.cosines, reverse=True) for r in got)
+    assert {r.row.row for r in toxicity.toxicity(table, labels.limit(0), carry=["row", "text"]).collect()} == {"y"}
 
 
 def test_toxicity_without_labels(spark):
