@@ -1,9 +1,13 @@
 """Hierarchical residual best-fit packing of tokenised documents into fixed-length sequences.
 
-Texts are tokenised once into pieces, written to the shared folder. Each partition packs its pieces by best fit, longest first;
-bins with at most SLACK free tokens are final. The other bins become items of a tree: groups of FAN partitions best-fit theirs
-together, again and again up to one task. A bin that cannot take even the least filled open bin is final too, so what rises
-to the root does not follow the corpus: of a partition's bins one at most is half full or less.
+Texts are tokenised once into pieces, written to the shared folder and dealt out evenly, so that a sorted corpus packs like a mixed one
+(a row of a piece has no text). Each partition packs its pieces by best fit, longest first; bins with at most SLACK free
+tokens are final. The others are items of a tree: groups of FAN tasks best-fit theirs together, again and again up to one task.
+
+What a task hands up is bounded: its OPEN emptiest bins. That loses no merge: of two bins that fit together one is at most half
+full; best fit leaves a task one such bin at most, so a task of the tree gets FAN of them at most and makes fewer than FAN merges, and
+wherever a fuller bin could take part an emptier one could. A task and the levels above it use up FAN bins each, so OPEN = 64 holds
+for trees of seven levels, FAN ** 7 partitions. A root task gets FAN * OPEN bins, whatever the corpus has.
 
 A lost executor only repeats scans of written tables, and packing breaks ties by position in them, so it comes out the same.
 
@@ -23,17 +27,21 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import SPACES, raw_text, steps, stored, word_hashes, word_spans
+from roadloom.llm.common import SPACES, lean, partitions, raw_text, steps, stored, word_hashes, word_spans
 
 CAPACITY = 4096
 CLOSING = 1
 SLACK = 8
 FAN = 8
+#: Bins that a task hands up the tree at most.
+OPEN = 64
+#: Pieces that a task packs at most, about; there are as many tasks as shuffle partitions at least.
+TASK_PIECES = 500_000
 #: Words whose ids a worker remembers at a time.
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
 #: Bytes of text whose words are looked up together.
 TEXT_STEP = 1 << 20
 
@@ -111,28 +119,49 @@ class WordIds:
         if len(self.index) > MOST_WORDS:
             self.clear()
         _, lead, same = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        if ((stops - starts) != (stops - starts)[lead][same]).any():
-            raise ValueError("two words have one hash")
         raw = data.tobytes()
         get, add = self.index.get, self._add
         unique = [raw[a:b] for a, b in zip(starts[lead].tolist(), stops[lead].tolist(), strict=True)]
         place = np.array([k if (k := get(w)) is not None else add(w) for w in unique], np.int64)[same]
+        for other in np.flatnonzero(~_equal(data, starts, stops, lead[same])).tolist():  # words of one hash that differ
+            word = raw[starts[other] : stops[other]]
+            place[other] = k if (k := get(word)) is not None else add(word)
         flat, heads = np.array(self.flat, np.uint32), np.array(self.starts, np.int64)
         begin, n = heads[place], heads[place + 1] - heads[place]
         ends = np.concatenate([[0], np.cumsum(n)])
         return flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)], ends[first]
 
 
+def _equal(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of its lead, another word."""
+    size = stops - starts
+    same = size == size[lead]
+    some = np.flatnonzero(same & (lead != np.arange(len(lead))))
+    size = size[some]
+    stop = np.cumsum(size)
+    at = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size, size)
+    differ = data[at + np.repeat(starts[some], size)] != data[at + np.repeat(starts[lead[some]], size)]
+    if differ.any():
+        same[some[np.searchsorted(stop, np.flatnonzero(differ), side="right")]] = False
+    return same
+
+
 _words: dict[str, WordIds] = {}
 
 
+def _word_ids(path: str) -> WordIds:
+    """This worker's, made once."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _words:
-            _words[path] = WordIds(path)
+        words = _word_ids(path)
         for batch in batches:
             for i, j, data, offsets in steps(batch.column("raw"), TEXT_STEP):
-                all_ids, begin = _words[path].ids(data, offsets)
+                all_ids, begin = words.ids(data, offsets)
                 row, piece, start, length, crc, body = [], [], [], [], [], []
                 closing = np.array([CLOSING], "<u4")
                 for r, (a, b) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
@@ -153,6 +182,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                     "ids_crc32": pa.array(crc, pa.int64()),
                 }
                 yield pa.record_batch(columns | ({"ids": pa.array(body, pa.binary())} if with_ids else {}))
+        words.clear()
 
     return run
 
@@ -203,28 +233,32 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
     """(doc_id, piece, start, length, ids_crc32 and, if asked for, ids as little-endian 32-bit words) of docs(doc_id, text)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw_text().alias("raw"))
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return base.mapInArrow(_pieces(tokenizer, capacity, with_ids), kind)
+    return base.mapInArrow(lean(_pieces(tokenizer, capacity, with_ids)), kind)
+
+
+def _emptiest(bins: DataFrame, capacity: int) -> DataFrame:
+    """Of each group's (bin, size, group) that aren't nearly full the OPEN emptiest."""
+    first = Window.partitionBy("group").orderBy("size", "bin")
+    return bins.where(F.col("size") < capacity - SLACK).withColumn("n", F.row_number().over(first)).where(F.col("n") <= OPEN).drop("n")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces, a table of rows with a length of 1 to capacity."""
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    placed = stored(pieces.mapInArrow(_pack("length", capacity, ("bin", "offset", "fill")), f"{kind}, bin long, offset long, fill long"), "placed")
+    pieces = pieces.repartition(max(partitions(pieces.sparkSession), -(-pieces.count() // TASK_PIECES)))
+    placed = stored(pieces.mapInArrow(lean(_pack("length", capacity, ("bin", "offset", "fill"))), f"{kind}, bin long, offset long, fill long"), "placed")
     groups = (placed.agg(F.max(F.shiftright("bin", 40))).first()[0] or 0) + 1
-    level = placed.where((F.col("offset") == 0) & (F.col("fill") < capacity - SLACK)).select("bin", F.col("fill").alias("size"), F.shiftright("bin", 40).alias("group"))
+    heads = placed.where(F.col("offset") == 0).select("bin", F.col("fill").alias("size"), F.shiftright("bin", 40).alias("group"))
     moved = None  # bin of level 0 -> where it is now
     depth = 0
     while groups > 1:
-        least = level.agg(F.min("size")).first()[0]
-        if least is None:
-            break
         depth += 1
-        open_ = level.where(F.col("size") + F.lit(least) <= capacity).withColumn("group", F.floor(F.col("group") / FAN))
+        open_ = _emptiest(heads, capacity).withColumn("group", F.floor(F.col("group") / FAN))
         groups = -(-groups // FAN)
         # equal groups are in one partition; a partition of several groups only packs better
         kind = "bin long, size long, group long, to long, base long, fill long"
         dealt = open_.repartition(groups, "group").sortWithinPartitions("group", F.desc("size"), "bin")
-        step = stored(dealt.mapInArrow(_pack("size", capacity, ("to", "base", "fill")), kind).withColumn("to", F.col("to") + F.lit(depth).cast("long") * F.lit(1 << 58)), f"level{depth}")
+        step = stored(dealt.mapInArrow(lean(_pack("size", capacity, ("to", "base", "fill"))), kind).withColumn("to", F.col("to") + F.lit(depth).cast("long") * F.lit(1 << 58)), f"level{depth}")
         at = step.select(F.col("bin").alias("was"), "to", F.col("base").alias("more"))
         if moved is None:
             moved = at.select(F.col("was").alias("bin"), F.col("to").alias("now"), F.col("more").alias("base"))
@@ -232,7 +266,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             joined = moved.join(at, moved["now"] == at["was"], "full")
             moved = joined.select(F.coalesce("bin", "was").alias("bin"), F.coalesce("to", "now").alias("now"), (F.coalesce("base", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("base"))
         moved = stored(moved, f"moved{depth}")
-        level = step.where((F.col("base") == 0) & (F.col("fill") < capacity - SLACK)).select(F.col("to").alias("bin"), F.col("fill").alias("size"), "group")
+        heads = step.where(F.col("base") == 0).select(F.col("to").alias("bin"), F.col("fill").alias("size"), "group")
     own = [f.name for f in pieces.schema]
     if moved is None:
         return placed.select(*own, F.col("bin").alias("sequence_id"), "offset")

@@ -65,7 +65,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after masking digit runs and mail addresses."""
     out = edited_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), mask_edits)
-    return out.drop("starts", "tree")
+    return out.drop("starts", "leaves", "tree")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

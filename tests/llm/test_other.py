@@ -6,6 +6,7 @@ import os
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 
@@ -366,6 +367,37 @@ def test_tree_merges_what_partitions_leave(spark):
     assert len(got) == 64 and max(fill.values()) <= 100 and len(fill) < 32  # fewer than one a partition
 
 
+def test_the_root_gets_few_bins(spark, monkeypatch):
+    """Many bins over half full and one residual that could go into any of them; then a corpus sorted by length."""
+    seen, stored = [], packing.stored
+
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        if name.startswith("level"):
+            seen.extend(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        return out
+
+    monkeypatch.setattr(packing, "stored", counted)
+    rows = spark.range(6401).select(F.col("id").alias("k"), F.when(F.col("id") == 0, 500).otherwise(3000).cast("long").alias("length"))
+    got = packing.pack(rows, 4096).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert len(got) == 6400 and all(r.n == r.end <= 4096 for r in got)
+    assert max(seen) <= packing.FAN * packing.OPEN
+    lengths = spark.range(3000, numPartitions=40).select(F.col("id").alias("k"), F.when(F.col("id") < 1500, 30 + F.col("id") % 20).otherwise(50 + F.col("id") % 20).alias("length"))
+    fills = packing.pack(lengths, 100).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    total = sum(r.n for r in fills)
+    assert len(fills) <= 1.05 * total / 100 and max(r.n for r in fills) <= 100
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packing, "word_hashes", lambda data, starts, stops: (data[starts] % 2).astype(np.uint64))
+    words = packing.WordIds(WORD_BPE)
+    texts = ["one two three one six", "seven one", "", "two"]
+    raw = [t.encode() for t in texts]
+    ids, begin = words.ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    tokenizer = tokenizers.Tokenizer.from_file(WORD_BPE)
+    assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_ids_come_whole(spark):
     got = packing.tokenised(docs(spark, [(1, "one two three " * 30)]), WORD_BPE, 64, with_ids=True).orderBy("piece").collect()
     ids = np.frombuffer(b"".join(bytes(r.ids) for r in got), "<u4").tolist()
@@ -375,20 +407,29 @@ def test_ids_come_whole(spark):
 # --- token counts ---------------------------------------------------------------------------------
 
 
-def test_counts_follow_edits():
+@pytest.mark.parametrize("chunk", [1, 2, 32])
+def test_counts_follow_edits(monkeypatch, chunk):
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
     count = token_counts.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    rng = random.Random(3)
-    for trial in range(40):
-        text = "".join(rng.choices(["word", " ", "  ", "\n", "é", "9", "'s", " the", ".", "😀"], k=rng.randint(0, 200)))
-        counted = token_counts.CountedText(text, count, 20)
+    rng = random.Random(3 + chunk)
+    some = ["word", " ", "  ", "\n", "é", "9", "'s", "'", " the", ".", "😀", "中文", "。", "e\u0301", "²", "\u00a0", "12", "ll"]
+    for trial in range(60):
+        text = "".join(rng.choices(some, k=rng.randint(0, 200)))
+        counted = token_counts.CountedText(text, count, rng.choice([1, 20]))
         for _ in range(6):
-            now = counted.text
-            a = rng.randint(0, len(now))
-            b = min(len(now), a + rng.choice([0, 1, 3, 30]))
-            counted.edit([(a, b, rng.choice(["", " ", "x", " y z ", "\n\n"]))])
-            assert counted.tree.total == count(counted.text), trial
-            parts = [counted.text[p:q] for p, q in zip(counted.starts, [*counted.starts[1:], len(counted.text)], strict=True)]
-            assert counted.tree.leaves() == [count(p) for p in parts] and "".join(parts) == counted.text
+            now, edits, at = counted.text, [], 0
+            while at <= len(now) and rng.random() < 0.7:
+                a = rng.randint(at, min(len(now), at + 40))
+                at = min(len(now), a + rng.choice([0, 1, 3, 30]))
+                edits.append((a, at, "".join(rng.choices([*some, ""], k=rng.randint(0, 3)))))
+            want, at = "", 0
+            for a, b, new in edits:
+                want, at = want + now[at:a] + new, b
+            want += now[at:]
+            counted.edit(edits)
+            assert counted.text == want and counted.tree.total == count(want) and len(counted) == len(want), trial
+            parts = [want[p:q] for p, q in zip(counted.starts, [*counted.starts[1:], len(want)], strict=True)]
+            assert counted.leaves() == [count(p) for p in parts] and "".join(parts) == want
 
 
 def test_an_edit_encodes_little():
@@ -397,6 +438,28 @@ def test_an_edit_encodes_little():
     seen.clear()
     counted.edit([(5000, 5005, "other")])
     assert sum(seen) < 400 and counted.tree.total == len(counted.text.split())
+    chinese = token_counts.CountedText("没有空格的文字，" * 2000, lambda t: seen.append(len(t)) or len(t), 100)
+    seen.clear()
+    chinese.edit([(5000, 5001, "字")])
+    assert sum(seen) < 400
+
+
+def test_many_edits_take_little_time():
+    text = "word " * 40_000
+    counted = token_counts.CountedText(text, lambda t: len(t.split()))
+    began = time.time()
+    counted.edit([(k, k + 4, "other") for k in range(0, 100_000, 5)])
+    assert time.time() - began < 2 and counted.tree.total == 40_000 and counted.encoded < 3 * len(text)
+    began = time.time()
+    for k in range(3000):  # one by one, all over the text
+        counted.edit([(k * 61 % 180_000, k * 61 % 180_000 + 1, "x y")])
+    assert time.time() - began < 3 and len(counted) == len(counted.text)
+
+
+def test_overlapping_edits_are_refused():
+    for edits in ([(0, 3, "a"), (2, 4, "b")], [(3, 2, "")], [(0, 99, "")], [(5, 6, "x"), (1, 2, "y")]):
+        with pytest.raises(ValueError, match="overlaps"):
+            token_counts.CountedText("one two three", len).edit(edits)
 
 
 def test_counts_of_a_table(spark):
