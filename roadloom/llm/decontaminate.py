@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, NOT_ALNUM, lean, raw_text, steps, stored, word_hashes, word_spans
+from roadloom.llm.common import LOWER, NOT_ALNUM, forget, lean, raw_text, steps, stored, word_hashes, word_spans
 
 WINDOW = 10
 #: Words by which a stretch may be longer than a window in a proximity match.
@@ -152,7 +152,7 @@ def document_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Occurrences of each word of the vocabulary in the whole corpus; as many numbers as a block has words."""
     out = np.zeros(len(vocabulary), np.int64)
     told = index.sparkSession.sparkContext.broadcast(vocabulary)
-    for r in index.select("terms", "heads").mapInArrow(_counts(told), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in index.select("terms", "heads").mapInArrow(lean(_counts(told)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.term] = r.n
     told.unpersist()
     return out
@@ -376,4 +376,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             rows = rows.unionByName(p)
         rows = rows.groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list(found).alias("found"))
         rows = rows.select("doc_id", "n_words", "found")
-    return rows.mapInArrow(_merge(known), _OUT)
+    out = stored(rows.mapInArrow(lean(_merge(known)), _OUT), "hits")
+    forget(index)
+    return out

@@ -1,11 +1,18 @@
 """External induced sorting of suffixes to a bounded depth, with common-prefix values.
 
 Suffixes are of type L (greater than their successor suffix) or S; an S suffix after an L suffix is a seed. Substrings between
-seeds are sorted and named, the string of names is sorted recursively (its base case, a string that fits the memory budget, by
-prefix doubling), which orders the seeds. Then all L suffixes are induced from left to right and all S suffixes from right to
-left: each extracted suffix i pushes i - 1, with the common-prefix value of its neighbours plus one. Within a symbol pushes
-come in rank order, so the priority queue is one first-in first-out run per symbol; runs beyond the memory budget lie on disk
-in an unlinked scratch file of the task, like Spark's own spills, and are gone with the task.
+seeds are sorted and named, and the string of names is sorted by recursion, which orders the seeds. Then all L suffixes are
+induced in ascending order and all S suffixes in descending order: each extracted suffix i pushes i - 1 into a priority queue, a tuple of
+(symbol, position, common prefix with the one before it in that symbol: that of the two extracted suffixes, plus one).
+
+The queue is disk-backed: tuples lie in runs sorted by symbol, in the order of arrival within a symbol; beyond the memory budget runs
+go to an unlinked scratch file of the task, like Spark's own spills, and are gone with the task. Strings, types, seeds and sorted L
+suffixes beyond a part of the budget lie in such files, too, and are mapped; what is computed on them is computed in steps. So a
+string may be far longer than the budget. Names carry the common prefixes through the recursion: at the level above, two seeds that share so
+many names are compared from there on.
+
+Symbols are taken in buckets: a frequent symbol is one, rarer ones share one with about the root of the string's length in suffixes. Within
+a bucket of several symbols, suffixes are extracted together up to the first one that has to wait for a push.
 
 Order and common prefixes are exact up to ``depth`` symbols; suffixes equal that far are in any order with the value ``depth``.
 """
@@ -13,123 +20,175 @@ Order and common prefixes are exact up to ``depth`` symbols; suffixes equal that
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
 #: Suffixes handled in one vectorised step.
 STEP = 1 << 16
+#: Names that are sorted directly, by prefix doubling.
+BASE = 1 << 14
+#: Tuples of the queue that wait unsorted, and runs that are merged into one.
+WAITING, MOST_RUNS = 1 << 13, 48
 
 
-class Runs:
-    """One first-in first-out run of (position, common prefix) for each symbol; the largest runs spill to disk."""
+@dataclass
+class Counters:
+    """What a sort did: levels of recursion, runs written to disk and arrays that lay in files."""
 
-    def __init__(self, budget: int):
-        self.parts: dict[int, list] = {}
-        self.held, self.budget, self.file = 0, budget, None
-        self.spilled = 0
+    levels: int = 0
+    spilled: int = 0
+    mapped: int = 0
 
-    def push(self, symbol: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.parts.setdefault(symbol, []).append((pos, lcp))
-        self.held += pos.nbytes + lcp.nbytes
-        if self.held > self.budget:
-            self._spill()
-
-    def _spill(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115  lives as long as the runs
-        self.file.seek(0, 2)
-        sizes = {s: sum(p[0].nbytes + p[1].nbytes for p in parts if not isinstance(p[0], int)) for s, parts in self.parts.items()}
-        for symbol in sorted(sizes, key=sizes.get, reverse=True):
-            if self.held <= self.budget // 2:
-                break
-            kept = []
-            for pos, lcp in self.parts[symbol]:
-                if isinstance(pos, int):
-                    kept.append((pos, lcp))
-                    continue
-                kept.append((self.file.tell(), len(pos)))
-                self.file.write(pos.tobytes())
-                self.file.write(lcp.tobytes())
-                self.held -= pos.nbytes + lcp.nbytes
-                self.spilled += 1
-            self.parts[symbol] = kept
-
-    def _read(self, part: tuple) -> tuple[np.ndarray, np.ndarray]:
-        if not isinstance(part[0], int):
-            self.held -= part[0].nbytes + part[1].nbytes
-            return part
-        at, n = part
-        self.file.seek(at)
-        return np.frombuffer(self.file.read(8 * n), np.int64), np.frombuffer(self.file.read(n), np.uint8)
-
-    def pop(self, symbol: int, backwards: bool = False):
-        """The parts of a run, first to last (or last to first), removed as they are read."""
-        parts = self.parts.pop(symbol, [])
-        for part in reversed(parts) if backwards else parts:
-            yield self._read(part)
-
-
-def _types(t: np.ndarray) -> np.ndarray:
-    """True for S. The last suffix is L; a run of equal symbols has the type of its last one."""
-    n = len(t)
-    s = np.zeros(n, bool)
-    if n > 1:
-        turn = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)
-        kind = np.append(t[turn[:-1]] < t[turn[:-1] + 1], False)
-        s = np.repeat(kind, np.diff(np.concatenate([[-1], turn])))
-    return s
 
+class Space:
+    """Arrays in memory, or in unlinked files where they are longer than a part of the budget."""
 
-def _repeat_ends(t: np.ndarray) -> np.ndarray:
-    """Ends (exclusive) of the runs of equal symbols, ascending."""
-    return np.append(np.flatnonzero(t[1:] != t[:-1]) + 1, len(t))
+    def __init__(self, budget: int, counters: Counters | None = None):
+        self.budget, self.counters = budget, counters or Counters()
 
+    def array(self, n: int, kind) -> np.ndarray:
+        if n * np.dtype(kind).itemsize <= self.budget // 8:
+            return np.empty(n, kind)
+        self.counters.mapped += 1
+        with tempfile.TemporaryFile() as f:  # the mapping keeps the file
+            return np.memmap(f, kind, "w+", shape=(n,))
 
-def _doubling(names: np.ndarray, most: int) -> np.ndarray:
-    """Order of the suffixes of names by their first ``most`` symbols at least, by prefix doubling."""
-    n = len(names)
-    rank, width = names.astype(np.int64) + 1, 1
-    while True:
-        order = np.argsort(rank)
-        sorted_rank = rank[order]
-        new = np.empty(n, np.int64)
-        steps = np.concatenate([[1], (sorted_rank[1:] != sorted_rank[:-1]).astype(np.int64)])
-        new[order] = np.cumsum(steps)
-        if new[order[-1]] == n or width >= most:
-            return order
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - width)] = new[width:] if width < n else 0
-        rank = new * (n + 1) + second
-        width *= 2
 
+def _chunks(n: int, step: int = STEP * 4) -> Iterator[tuple[int, int]]:
+    for a in range(0, n, step):
+        yield a, min(n, a + step)
 
-def _names(code: np.ndarray, seeds: np.ndarray, bits: int) -> np.ndarray:
-    """Rank of each seed's substring, up to and with the next seed; code: 2 * symbol + type, so none is a prefix of another."""
-    ends = np.append(seeds[1:] + 1, len(code))
-    per = max(1, 62 // (bits + 1))
-    group = np.zeros(len(seeds), np.int64)
-    open_ = np.arange(len(seeds))
-    at = 0
-    while len(open_):
-        word = np.zeros(len(open_), np.int64)
-        for j in range(per):
-            p = seeds[open_] + at + j
-            inside = p < ends[open_]
-            word = word << (bits + 1)
-            word[inside] += code[p[inside]].astype(np.int64) + 1
-        order = np.lexsort((word, group[open_]))
-        o = open_[order]
-        g, w = group[o], word[order]
-        fresh = np.concatenate([[True], g[1:] != g[:-1]])
-        differ = fresh | np.concatenate([[True], w[1:] != w[:-1]])
-        index = np.arange(len(o))
-        # a group keeps the number of seeds before it, so groups split without renaming the others
-        group[o] = g + np.maximum.accumulate(np.where(differ, index, 0)) - np.maximum.accumulate(np.where(fresh, index, 0))
-        at += per
-        heads = np.flatnonzero(differ)
-        size = np.diff(np.append(heads, len(o)))
-        goes_on = np.maximum.reduceat((seeds[o] + at < ends[o]).astype(np.int8), heads) > 0
-        open_ = o[np.repeat((size > 1) & goes_on, size)]
-    return np.unique(group, return_inverse=True)[1]
+
+class Queue:
+    """A priority queue of (symbol, position, common prefix): least symbol first, then in the order of arrival."""
+
+    def __init__(self, budget: int, kind, counters: Counters):
+        self.budget, self.kind, self.counters = budget, kind, counters
+        self.runs: list[list] = []  # [symbols, positions, prefixes, next, in memory]
+        self.held, self.now = 0, 0  # bytes of runs in memory; symbols below were taken
+        self.wait = (np.empty(WAITING, np.int32), np.empty(WAITING, kind), np.empty(WAITING, np.uint8))
+        self.n = self.taken = 0
+
+    def push(self, symbol: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
+        """Tuples in ascending order of symbols, none below those taken."""
+        n = len(symbol)
+        if self.n + n > WAITING or n > WAITING // 2:
+            self._flush()
+        if n > WAITING // 2:
+            self._add(symbol.astype(np.int32), pos.astype(self.kind), lcp)
+            return
+        for to, values in zip(self.wait, (symbol, pos, lcp), strict=True):
+            to[self.n : self.n + n] = values
+        self.n += n
+
+    def _flush(self) -> None:
+        """Makes a run of the tuples that wait."""
+        symbol, pos, lcp = (w[: self.n] for w in self.wait)
+        left = symbol >= self.now
+        left[: self.taken] &= symbol[: self.taken] > self.now
+        order = np.flatnonzero(left)
+        order = order[np.argsort(symbol[order], kind="stable")]
+        if len(order):
+            self._add(symbol[order], pos[order], lcp[order])
+        self.n = self.taken = 0
+
+    def _add(self, symbol: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
+        self.runs.append([symbol, pos, lcp, 0, True])
+        self.held += symbol.nbytes + pos.nbytes + lcp.nbytes
+        if self.held > self.budget:
+            for run in self.runs:
+                if run[4]:
+                    self._spill(run)
+            self.held = 0
+
+    def _spill(self, run: list) -> None:
+        rest = [x[run[3] :] for x in run[:3]]
+        if len(rest[0]):
+            with tempfile.TemporaryFile() as f:
+                for x in rest:
+                    f.write(x.tobytes())
+                f.flush()
+                at = 0
+                for k, x in enumerate(rest):
+                    run[k] = np.memmap(f, x.dtype, "r", offset=at, shape=x.shape)
+                    at += x.nbytes
+            self.counters.spilled += 1
+        else:
+            run[:3] = rest
+        run[3], run[4] = 0, False
+
+    def settle(self) -> None:
+        """Between buckets: drops empty runs, and merges many into one on disk, a part of the symbols at a time."""
+        self.runs = [r for r in self.runs if r[3] < len(r[0])]
+        if len(self.runs) <= MOST_RUNS:
+            return
+        self._flush()
+        symbol, pos, lcp = (x for x in zip(*[(r[0][r[3] :], r[1][r[3] :], r[2][r[3] :]) for r in self.runs], strict=True))
+        total = sum(map(len, symbol))
+        with tempfile.TemporaryFile() as s, tempfile.TemporaryFile() as p, tempfile.TemporaryFile() as c:
+            at = [0] * len(symbol)
+            while any(a < len(x) for a, x in zip(at, symbol, strict=True)):
+                # up to the least last symbol among the next parts of the runs
+                part = max(1, STEP // len(symbol))
+                last = min(int(x[min(len(x), a + part) - 1]) for a, x in zip(at, symbol, strict=True) if a < len(x))
+                upto = [a + int(np.searchsorted(x[a:], last, side="right")) for a, x in zip(at, symbol, strict=True)]
+                pieces = [np.concatenate([x[a:b] for a, b, x in zip(at, upto, xs, strict=True)]) for xs in (symbol, pos, lcp)]
+                order = np.argsort(pieces[0], kind="stable")
+                for f, x in zip((s, p, c), pieces, strict=True):
+                    f.write(x[order].tobytes())
+                at = upto
+            for f in (s, p, c):
+                f.flush()
+            self.runs = [[np.memmap(s, np.int32, "r", shape=(total,)), np.memmap(p, self.kind, "r", shape=(total,)), np.memmap(c, np.uint8, "r", shape=(total,)), 0, False]]
+        self.held = 0
+        self.counters.spilled += 1
+
+    def stream(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, common prefixes) of a symbol in order of arrival, those pushed meanwhile included."""
+        self.now, self.taken = symbol, 0
+        k = 0
+        while True:
+            if k < len(self.runs):
+                run = self.runs[k]
+                end = run[3] + int(np.searchsorted(run[0][run[3] :], symbol, side="right"))
+                while run[3] < end:
+                    a, b = run[3], min(end, run[3] + STEP)
+                    run[3] = b
+                    out = np.array(run[1][a:b]), np.array(run[2][a:b])
+                    moved = run[4]
+                    yield out
+                    if moved and not run[4]:  # it went to disk meanwhile, without what had been taken
+                        end -= b
+                k += 1
+            else:
+                new = self.taken + np.flatnonzero(self.wait[0][self.taken : self.n] == symbol)
+                if not len(new):
+                    return
+                self.taken = self.n
+                runs = len(self.runs)
+                yield self.wait[1][new], self.wait[2][new]
+                k = runs
+
+    def take(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tuples with a symbol from low to high (exclusive), by symbol and arrival."""
+        self.now = high
+        parts = []
+        for run in self.runs:
+            end = run[3] + int(np.searchsorted(run[0][run[3] :], high, side="left"))
+            if end > run[3]:
+                parts.append([x[run[3] : end] for x in run[:3]])
+                run[3] = end
+        new = np.flatnonzero((self.wait[0][: self.n] >= low) & (self.wait[0][: self.n] < high))
+        self.taken = 0  # nothing that waits has a symbol of ``now``
+        if len(new):
+            parts.append([w[new] for w in self.wait])
+        if not parts:
+            return np.empty(0, np.int32), np.empty(0, self.kind), np.empty(0, np.uint8)
+        symbol, pos, lcp = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(symbol, kind="stable")
+        return symbol[order], pos[order], lcp[order]
 
 
 class _LeastBetween:
@@ -143,192 +202,394 @@ class _LeastBetween:
             width *= 2
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        size = b - a
-        level = np.frexp(size.astype(np.float64))[1] - 1
+        level = np.frexp((b - a).astype(np.float64))[1] - 1
         out = np.empty(len(a), np.uint8)
-        for k in np.unique(level):
+        for k in np.flatnonzero(np.bincount(level)).tolist() if len(level) else ():
             m = level == k
             top = self.levels[k]
-            out[m] = np.minimum(top[a[m]], top[b[m] - (1 << int(k))])
+            out[m] = np.minimum(top[a[m]], top[b[m] - (1 << k)])
         return out
 
 
-class _Inducer:
-    """One direction of induction over a string: extracts symbols in order and pushes predecessors of one type."""
+class _Pass:
+    """One direction of induction: extracts suffixes in order, pushes predecessors of one type.
 
-    def __init__(self, code: np.ndarray, symbols: int, kind: int, depth: int, budget: int):
-        self.code, self.kind, self.depth = code, kind, depth
-        self.least = np.full(symbols if depth else 0, depth, np.uint8)  # least common prefix since the last push to a symbol
-        self.seen = np.zeros(symbols, bool)
-        self.runs = Runs(budget)
+    In the descending one symbols are counted from the top, so both take the least first.
+    """
 
-    def extract(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        """Takes suffixes that come next in rank, with the common prefix with the one before, and pushes predecessors."""
-        for i in range(0, len(pos), STEP):
-            self._step(pos[i : i + STEP], lcp[i : i + STEP])
+    def __init__(self, code: np.ndarray, top: int, kind: int, depth: int, space: Space, down: bool):
+        self.code, self.top, self.kind, self.depth, self.down = code, top, kind, depth, down
+        self.least = np.full(top, depth, np.uint8)  # least common prefix since the last push to a symbol
+        self.seen = np.zeros(top, bool)
+        self.queue = Queue(space.budget, np.int32 if len(code) < 1 << 31 else np.int64, space.counters)
+        self.last = (-1, 1, -1)  # symbol, class and position of the suffix extracted last
 
-    def _step(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+    def before(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the source, predecessor, its symbol) of the predecessors of this pass's type."""
         source = np.flatnonzero(pos > 0)
         before = pos[source] - 1
         code = self.code[before]
         fits = (code & 1) == self.kind
-        source, before, symbol = source[fits], before[fits], code[fits] >> 1
+        symbol = (code[fits] >> 1).astype(np.int64)
+        return source[fits], before[fits], self.top - 1 - symbol if self.down else symbol
+
+    def extract(self, lcp: np.ndarray, source: np.ndarray, before: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tuples that suffixes push, which come next with the common prefixes with the one before, by symbol."""
         if not len(source):
-            if self.depth:
-                np.minimum(self.least, lcp.min(), out=self.least)
-            return
+            np.minimum(self.least, lcp.min(), out=self.least)
+            return symbol, before, np.zeros(0, np.uint8)
         order = np.argsort(symbol, kind="stable")
         source, before, symbol = source[order], before[order], symbol[order]
         first = np.concatenate([[True], symbol[1:] != symbol[:-1]])
         heads = np.flatnonzero(first)
         targets = symbol[heads]
         tails = np.append(heads[1:], len(symbol)) - 1
-        if self.depth:
-            between = _LeastBetween(lcp)
-            new = between(np.where(first, 0, np.concatenate([[0], source[:-1] + 1])), source + 1)
-            new[heads] = np.minimum(new[heads], self.least[targets])
-            new = np.minimum(new.astype(np.int64) + 1, self.depth).astype(np.uint8)
-            new[heads[~self.seen[targets]]] = 0  # the first suffix of its symbol and type
-            self.seen[targets] = True
-            np.minimum(self.least, lcp.min(), out=self.least)
-            left = source[tails] + 1
-            some = left < len(lcp)
-            rest = np.full(len(targets), self.depth, np.uint8)
-            rest[some] = between(left[some], np.full(int(some.sum()), len(lcp)))
-            self.least[targets] = rest
-        else:
-            new = np.zeros(len(symbol), np.uint8)
-        for s, i, j in zip(targets.tolist(), heads.tolist(), (tails + 1).tolist(), strict=True):
-            self.runs.push(s, before[i:j].astype(np.int64), new[i:j])
-
-    def drain(self, symbol: int):
-        """The parts of a symbol's run in rank order; what they push to the symbol itself comes after them."""
-        while symbol in self.runs.parts:
-            for pos, lcp in _joined(self.runs.pop(symbol)):
-                self.extract(pos, lcp)
-                yield pos, lcp
+        between = _LeastBetween(lcp)
+        new = between(np.where(first, 0, np.concatenate([[0], source[:-1] + 1])), source + 1)
+        new[heads] = np.minimum(new[heads], self.least[targets])
+        new = np.minimum(new.astype(np.int64) + 1, self.depth).astype(np.uint8)
+        new[heads[~self.seen[targets]]] = 0  # the first suffix of its symbol and type
+        self.seen[targets] = True
+        np.minimum(self.least, lcp.min(), out=self.least)
+        left = source[tails] + 1
+        some = left < len(lcp)
+        rest = np.full(len(targets), self.depth, np.uint8)
+        rest[some] = between(left[some], np.full(int(some.sum()), len(lcp)))
+        self.least[targets] = rest
+        return symbol, before, new
+
+    def borders(self, symbol: np.ndarray, second: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+        """Sets the common prefix where a symbol's second type begins after its first: the repeats of the symbol at the start of either."""
+        was = [np.concatenate([[x], y[:-1]]) for x, y in zip(self.last, (symbol, second, pos), strict=True)]
+        at = np.flatnonzero((second == 1) & (was[1] == 0) & (symbol == was[0]))
+        if len(at):
+            lcp = lcp.copy()
+            a, b = was[2][at].astype(np.int64), pos[at].astype(np.int64)
+            lcp[at] = np.minimum(_repeats(self.code, a, self.depth), _repeats(self.code, b, self.depth))
+        self.last = (int(symbol[-1]), int(second[-1]), int(pos[-1]))
+        return lcp
+
+    def one(self, symbol: int, others: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(class, positions, common prefixes) of a symbol's suffixes: the queue's, then the others'."""
+        for second, parts in ((0, self.queue.stream(symbol)), (1, others)):
+            for pos, lcp in parts:
+                same = np.full(len(pos), symbol)
+                lcp = self.borders(same, np.full(len(pos), second), pos, lcp)
+                self.queue.push(*self.extract(lcp, *self.before(pos)))
+                yield second, pos, lcp
+
+    def several(self, low: int, high: int, symbol: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(class, positions, common prefixes) of a bucket of symbols: the queue's, and the given others, sorted by symbol."""
+        q = self.queue.take(low, high)
+        second = np.repeat([0, 1], [len(q[0]), len(symbol)])
+        symbol, pos, lcp = (np.concatenate([x, y]) for x, y in zip(q, (symbol, pos, lcp), strict=True))
+        order = np.argsort(2 * symbol.astype(np.int64) + second, kind="stable")
+        symbol, second, pos, lcp = symbol[order], second[order], pos[order], lcp[order]
+        while len(pos):
+            source, before, target = self.before(pos)
+            within = target < high
+            n = len(pos)
+            if within.any():  # up to the first that comes after a suffix pushed here
+                first = np.full(n + 1, high)
+                first[source[within] + 1] = target[within]
+                wait = np.flatnonzero(2 * symbol.astype(np.int64) + second > 2 * np.minimum.accumulate(first)[:-1])
+                n = int(wait[0]) if len(wait) else n
+            now = source < n
+            done = self.borders(symbol[:n], second[:n], pos[:n], lcp[:n])
+            new = self.extract(done, source[now], before[now], target[now])
+            yield second[:n], pos[:n], done
+            own = int(np.searchsorted(new[0], high))
+            self.queue.push(*(x[own:] for x in new))
+            if own:
+                symbol, pos, lcp = (np.concatenate([x[n:], y[:own]]) for x, y in zip((symbol, pos, lcp), new, strict=True))
+                second = np.concatenate([second[n:], np.zeros(own, second.dtype)])
+                order = np.argsort(2 * symbol.astype(np.int64) + second, kind="stable")
+                symbol, second, pos, lcp = symbol[order], second[order], pos[order], lcp[order]
+            else:
+                symbol, second, pos, lcp = symbol[n:], second[n:], pos[n:], lcp[n:]
+
+
+def _repeats(code: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
+    """How often the symbol at each place stands there in a row, up to most."""
+    symbol = code[at] >> 1
+    out = np.ones(len(at), np.int64)
+    live = np.arange(len(at))
+    while len(live):
+        next_ = at[live] + out[live]
+        live = live[(next_ < len(code)) & (out[live] < most)]
+        live = live[(code[at[live] + out[live]] >> 1) == symbol[live]]
+        out[live] += 1
+    return out.astype(np.uint8)
+
+
+def _coded(text: np.ndarray, top: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """(2 * symbol + 1 for S or 0 for L, seeds). The last suffix is L; a run of equal symbols has the type of its last one."""
+    n = len(text)
+    code = space.array(n, np.uint16 if top < 1 << 15 else np.int32 if top < 1 << 30 else np.int64)
+    is_s, after = False, -1  # type and symbol of the suffix after the chunk
+    for a, b in reversed(list(_chunks(n))):
+        t = text[a:b].astype(np.int64)
+        turn = np.append(np.flatnonzero(t[1:] != t[:-1]), len(t) - 1)
+        kind = np.append(t[turn[:-1]] < t[turn[:-1] + 1], is_s if t[-1] == after else t[-1] < after)
+        s = np.repeat(kind, np.diff(np.concatenate([[-1], turn])))
+        code[a:b] = 2 * t + s
+        is_s, after = bool(s[0]), int(t[0])
+    count = sum(int(((code[a + 1 : b + 1] & 1) > (code[a : min(b, n - 1)] & 1)).sum()) for a, b in _chunks(n))
+    seeds, k = space.array(count, np.int64), 0
+    for a, b in _chunks(n):
+        found = np.flatnonzero((code[a + 1 : b + 1] & 1) > (code[a : min(b, n - 1)] & 1)) + a + 1
+        seeds[k : k + len(found)] = found
+        k += len(found)
+    return code, seeds
+
+
+def _words(code: np.ndarray, begin: np.ndarray, end: np.ndarray, at: int, per: int, bits: int) -> np.ndarray:
+    """Symbols at to at + per of each substring as one number; a substring's end is below any symbol."""
+    word = np.zeros(len(begin), np.int64)
+    for j in range(per):
+        p = begin + at + j
+        inside = p < end
+        word <<= bits
+        word[inside] += code[p[inside]].astype(np.int64) + 1
+    return word
+
+
+def _named(code: np.ndarray, begin: np.ndarray, end: np.ndarray, at: int, per: int, bits: int) -> np.ndarray:
+    """Dense ranks of substrings that agree up to at, in memory."""
+    group = np.zeros(len(begin), np.int64)
+    open_ = np.arange(len(begin))
+    while len(open_):
+        word = _words(code, begin[open_], end[open_], at, per, bits)
+        order = np.lexsort((word, group[open_]))
+        o = open_[order]
+        g, w = group[o], word[order]
+        fresh = np.concatenate([[True], g[1:] != g[:-1]])
+        differ = fresh | np.concatenate([[True], w[1:] != w[:-1]])
+        index = np.arange(len(o))
+        # a group keeps the number of substrings before it, so groups split without renaming the others
+        group[o] = g + np.maximum.accumulate(np.where(differ, index, 0)) - np.maximum.accumulate(np.where(fresh, index, 0))
+        at += per
+        heads = np.flatnonzero(differ)
+        size = np.diff(np.append(heads, len(o)))
+        goes_on = np.maximum.reduceat((begin[o] + at < end[o]).astype(np.int8), heads) > 0
+        open_ = o[np.repeat((size > 1) & goes_on, size)]
+    return np.unique(group, return_inverse=True)[1]
+
 
+def _names(code: np.ndarray, seeds: np.ndarray, bits: int, space: Space) -> tuple[np.ndarray, int]:
+    """(rank of each seed's substring, up to and with the next seed; number of ranks). 2 * symbol + type: so none is a prefix of another.
 
-def _joined(parts):
-    """Small parts put together, in order."""
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += len(part[0])
-        if n >= STEP:
-            yield tuple(map(np.concatenate, zip(*held, strict=True)))
-            held, n = [], 0
-    if held:
-        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+    More substrings than the budget holds are split by their first symbols, and so on.
+    """
+    per = max(1, 62 // bits)
+    n = len(seeds)
+    names, known = space.array(n, np.int64), 0
+    fits = max(1024, space.budget // 96)
+
+    def name(some: np.ndarray | None, at: int) -> None:
+        nonlocal known
+        count = n if some is None else len(some)
+        pick = (lambda a, b: np.arange(a, b)) if some is None else (lambda a, b: np.asarray(some[a:b]))
+
+        def ends(i: np.ndarray) -> np.ndarray:
+            return np.where(i + 1 < n, seeds[np.minimum(i + 1, n - 1)] + 1, len(code))
+
+        if count <= fits:
+            i = pick(0, count)
+            rank = _named(code, seeds[i], ends(i), at, per, bits)
+            names[i] = rank + known
+            known += int(rank.max()) + 1
+            return
+        word = space.array(count, np.int64)
+        goes_on = False
+        for a, b in _chunks(count):
+            i = pick(a, b)
+            word[a:b] = _words(code, seeds[i], ends(i), at, per, bits)
+            goes_on |= bool((seeds[i] + at + per < ends(i)).any())
+        pivots = np.unique(np.asarray(word[:: max(1, count // 4096)]))
+        pivots = pivots[:: max(1, len(pivots) // (2 * (count // fits + 1)))]
+        if len(pivots) == 1 and all((word[a:b] == pivots[0]).all() for a, b in _chunks(count)):
+            if goes_on:
+                name(some, at + per)
+            else:
+                for a, b in _chunks(count):
+                    names[pick(a, b)] = known
+                known += 1
+            return
+        # parts: below the first pivot, a pivot itself, between it and the next, and so on
+        for k in range(2 * len(pivots) + 1):
+            low, high = pivots[k // 2 - 1] if k > 1 or k == 1 else None, pivots[k // 2] if k // 2 < len(pivots) else None
+            if k % 2:  # the pivot number k // 2
+                chosen = [pick(a, b)[np.asarray(word[a:b]) == pivots[k // 2]] for a, b in _chunks(count)]
+            else:
+                low = pivots[k // 2 - 1] if k else np.iinfo(np.int64).min
+                high = pivots[k // 2] if k // 2 < len(pivots) else np.iinfo(np.int64).max
+                chosen = [pick(a, b)[(np.asarray(word[a:b]) > low) & (np.asarray(word[a:b]) < high)] for a, b in _chunks(count)]
+            size = sum(map(len, chosen))
+            if size:
+                part = space.array(size, np.int64)
+                part[:] = np.concatenate(chosen)
+                name(part, at)
+
+    if n:
+        name(None, 0)
+    return names, known
 
 
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of suffix pairs, up to depth."""
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    n = len(text)
+def _doubling(names: np.ndarray, most: int) -> np.ndarray:
+    """Order of the suffixes of names by their first ``most`` symbols at least, by prefix doubling."""
+    n = len(names)
+    rank, width = np.unique(names, return_inverse=True)[1].astype(np.int64) + 1, 1
+    while True:
+        order = np.argsort(rank)
+        sorted_rank = rank[order]
+        new = np.empty(n, np.int64)
+        new[order] = np.cumsum(np.concatenate([[1], (sorted_rank[1:] != sorted_rank[:-1]).astype(np.int64)]))
+        if new[order[-1]] == n or width >= most:
+            return order
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - width)] = new[width:] if width < n else 0
+        rank = new * (n + 1) + second
+        width *= 2
+
+
+def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes of suffix pairs that are known to share so much, up to depth."""
+    out = known.copy()
+    live, n = np.arange(len(a)), len(text)
+    if text.dtype == np.uint8 and n >= 16:  # bytes are compared eight at a time
+        words = np.ndarray(n - 7, np.dtype("<u8"), text, strides=(1,))
+        while len(live):
+            x, y = a[live] + out[live], b[live] + out[live]
+            inside = (np.maximum(x, y) < len(words)) & (out[live] < depth)
+            live, x, y = live[inside], x[inside], y[inside]
+            differ = words[x] ^ words[y]
+            same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
+            out[live] += same
+            live = live[differ == 0]
+        live = np.flatnonzero(np.maximum(a, b) + out >= n - 7)
     while len(live):
         x, y = a[live] + out[live], b[live] + out[live]
         inside = (x < n) & (y < n) & (out[live] < depth)
         live, x, y = live[inside], x[inside], y[inside]
-        same = text[x] == text[y]
-        live = live[same]
+        live = live[text[x] == text[y]]
         out[live] += 1
-    return out.astype(np.uint8)
+    return np.minimum(out, depth)
 
 
-def _seed_common(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of each seed with the one before it; bytes are compared eight at a time."""
-    a, b = order[:-1], order[1:]
-    head = np.zeros(min(1, len(order)), np.uint8)
-    if text.dtype != np.uint8 or len(text) < 16:
-        return np.concatenate([head, _common(text, a, b, depth)])
-    words = np.ndarray(len(text) - 7, np.dtype("<u8"), text, strides=(1,))
-    out = np.zeros(len(a), np.int64)
-    live, x, y = np.arange(len(a)), a, b
-    at = 0
-    while len(live) and at < depth:
-        inside = np.maximum(x, y) + at < len(words)
-        if not inside.all():
-            rest = ~inside
-            out[live[rest]] = at + _common(text, x[rest] + at, y[rest] + at, depth)
-            live, x, y = live[inside], x[inside], y[inside]
-        differ = words[x + at] ^ words[y + at]
-        last = differ != 0
-        low = differ[last]
-        out[live[last]] = at + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
-        live, x, y = live[~last], x[~last], y[~last]
-        at += 8
-    out[live] = depth
-    return np.concatenate([head, np.minimum(out, depth).astype(np.uint8)])
-
-
-def seed_order(code: np.ndarray, seeds: np.ndarray, depth: int, budget: int, level: int = 0) -> np.ndarray:
-    """Seeds in the order of their suffixes. Two seeds are two symbols apart at least, so half as many names cover depth."""
-    names = _names(code, seeds, int(code.max()).bit_length())
-    if int(names.max()) + 1 == len(names):
-        return seeds[np.argsort(names)]
-    if len(names) * 40 <= budget:
-        return seeds[_doubling(names, depth // 2 + 1)]
-    parts = [pos for _, pos, _ in induced(names, depth // 2 + 1, budget, level + 1)]
-    return seeds[np.concatenate(parts[::-1])]
-
-
-def induced(text: np.ndarray, depth: int, budget: int, level: int = 0):
-    """Yields (symbol, positions in suffix order, common prefixes with the one before), symbols from the greatest down.
-
-    text: non-negative integers; depth: at most 255; budget: bytes of memory for runs and for the base case. At recursive
-    levels the common prefixes are not carried (all 0): those of the seeds are compared once, at the top.
+def _seeds_in_order(text: np.ndarray, code: np.ndarray, seeds: np.ndarray, depth: int, space: Space, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seeds by their suffixes, common prefix of each with the one before). Two seeds are two symbols apart at least, so half as many names cover depth."""
+    n = len(seeds)
+    order, lcp = space.array(n, np.int64), space.array(n, np.uint8)
+    if not n:
+        return order, lcp
+    names, known = _names(code, seeds, (2 * (int(code.max()) // 2) + 3).bit_length(), space)
+    shared = None  # names that neighbours share, where the recursion tells
+    if known == n:
+        for a, b in _chunks(n):
+            order[names[a:b]] = np.arange(a, b)
+    elif n <= BASE:
+        order[:] = _doubling(np.asarray(names), depth // 2 + 1)
+    else:
+        shared = space.array(n, np.uint8)
+        at = n
+        for pos, above in induced(names, depth // 2 + 1, space.budget, space.counters, level + 1):
+            order[at - len(pos) : at] = pos[::-1]
+            # from "with the one above" to "with the one before": a value belongs to the one above
+            stop = min(n, at + 1)
+            shared[at - len(pos) + 1 : stop] = above[::-1][: stop - (at - len(pos) + 1)]
+            at -= len(pos)
+    for a, b in _chunks(n):
+        i, j = order[max(0, a - 1) : b - 1], order[max(a, 1) : b]
+        x, y = seeds[i], seeds[j]
+        start = np.zeros(len(x), np.int64)
+        if shared is not None:
+            m = shared[max(a, 1) : b].astype(np.int64)
+            most = np.minimum(m, np.minimum(n - 1 - i, n - 1 - j))  # the last name ends with the string
+            start = np.minimum(seeds[j + most] - y, depth)
+        lcp[max(a, 1) : b] = _common(text, x, y, start, depth)
+    lcp[0] = 0
+    for a, b in _chunks(n):
+        order[a:b] = seeds[order[a:b]]
+    return order, lcp
+
+
+def _buckets(count: np.ndarray) -> list[tuple[int, int]]:
+    """Symbols (first, end) that are taken together: a frequent one alone, rarer ones with about the root of all in suffixes."""
+    size = max(1, int(np.sqrt(count.sum())))
+    before = np.cumsum(count) - count
+    alone = count > size
+    cut = np.ones(len(count), bool)
+    cut[1:] = (before[1:] // size != before[:-1] // size) | alone[1:] | alone[:-1]
+    at = np.flatnonzero(cut)
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(count)], strict=True))
+
+
+def induced(text: np.ndarray, depth: int, budget: int, counters: Counters | None = None, level: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yields (positions, common prefixes with the suffix above), from the greatest suffix down, in chunks.
+
+    text: non-negative integers; depth: at most 255; budget: bytes of memory of a queue, and eight times that of an array.
     """
     n = len(text)
     if not n:
         return
-    is_s = _types(text)
-    top = int(text.max()) + 1
-    code = (text.astype(np.uint16 if top < 1 << 15 else np.int64) << 1) | is_s
-    seeds = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    del is_s
-    order = seed_order(code, seeds, depth, budget, level) if len(seeds) else seeds
-    carried = 0 if level else depth
-    seed_lcp = _seed_common(text, order, depth) if carried else np.zeros(len(order), np.uint8)
-    used = np.unique(text)
-    first_seed, last_seed = (np.searchsorted(text[order], used, side=x) for x in ("left", "right"))
-    ends = _repeat_ends(text)
-
-    def border(a: int, b: int) -> int:
-        """Common prefix of an L and an S suffix of one symbol: its repeats at the start of either."""
-        return min([carried, *(int(ends[np.searchsorted(ends, p, side="right")]) - p for p in (a, b))])
-
-    up, lower = _Inducer(code, top, 0, carried, budget), Runs(budget)
-    up.runs.push(int(text[-1]), np.array([n - 1], np.int64), np.zeros(1, np.uint8))
+    space = Space(budget, counters)
+    space.counters.levels = max(space.counters.levels, level)
+    top = max(int(text[a:b].max()) for a, b in _chunks(n)) + 1
+    code, seeds = _coded(text, top, space)
+    count = np.zeros(2 * top, np.int64)
+    for a, b in _chunks(n):
+        count += np.bincount(code[a:b], minlength=2 * top)
+    order, seed_lcp = _seeds_in_order(text, code, seeds, depth, space, level)
+    del seeds
+    seed_count = np.zeros(top, np.int64)
+    for a, b in _chunks(len(order)):
+        seed_count += np.bincount(text[order[a:b]], minlength=top)
+    seed_end = np.cumsum(seed_count)
+    lower_end = np.cumsum(count[::2])
+    buckets = _buckets(count[::2] + count[1::2])
+    lower_pos, lower_lcp, done = space.array(int(lower_end[-1]), np.int32 if n < 1 << 31 else np.int64), space.array(int(lower_end[-1]), np.uint8), 0
+
+    def parts(pos: np.ndarray, lcp: np.ndarray, a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x in range(a, b, STEP):
+            yield np.asarray(pos[x : min(b, x + STEP)]), np.asarray(lcp[x : min(b, x + STEP)])
+
+    up = _Pass(code, top, 0, depth, space, False)
+    up.queue.push(np.array([int(text[-1])]), np.array([n - 1]), np.zeros(1, np.uint8))
     up.seen[int(text[-1])] = True
-    for k, c in enumerate(used.tolist()):
-        last = -1
-        for pos, lcp in up.drain(c):
-            lower.push(c, pos, lcp)
-            last = int(pos[-1])
-        a, b = first_seed[k], last_seed[k]
-        if a < b:
-            lcp = seed_lcp[a:b].copy()
-            lcp[0] = border(last, int(order[a])) if last >= 0 else 0
-            up.extract(order[a:b], lcp)
+    for low, high in buckets:
+        a, b = int(seed_end[low] - seed_count[low]), int(seed_end[high - 1])
+        if high - low == 1:
+            for second, pos, lcp in up.one(low, parts(order, seed_lcp, a, b)):
+                if not second:
+                    lower_pos[done : done + len(pos)], lower_lcp[done : done + len(pos)] = pos, lcp
+                    done += len(pos)
+        else:
+            some = np.asarray(order[a:b])
+            for second, pos, lcp in up.several(low, high, text[some].astype(np.int32), some, np.asarray(seed_lcp[a:b])):
+                pos, lcp = pos[second == 0], lcp[second == 0]
+                lower_pos[done : done + len(pos)], lower_lcp[done : done + len(pos)] = pos, lcp
+                done += len(pos)
+        up.queue.settle()
     del up, order, seed_lcp
 
-    down = _Inducer(code, top, 1, carried, budget)
-    for c in reversed(used.tolist()):
-        s_parts = list(down.drain(c))
-        l_parts = list(lower.pop(c, backwards=True))
-        at_border = np.zeros(1, np.uint8)
-        if l_parts:
-            if s_parts:
-                at_border[0] = border(int(s_parts[-1][0][-1]), int(l_parts[0][0][-1]))
-            carry = at_border
-            for pos, lcp in l_parts:  # downwards, each with the one above it
-                turned = lcp[::-1]
-                down.extract(pos[::-1], np.concatenate([carry, turned[:-1]]))
-                carry = turned[-1:]
-        pos, lcp = [p for p, _ in reversed(l_parts)], [v for _, v in reversed(l_parts)]
-        if s_parts:
-            pos += [p[::-1] for p, _ in reversed(s_parts)]
-            lcp += [at_border, np.concatenate([v for _, v in s_parts])[:0:-1]]  # from "with the one above" to "with the one before"
-        yield c, np.concatenate(pos), np.concatenate(lcp)
+    def lower(a: int, b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """L suffixes b to a, downwards, each with the common prefix with the one above."""
+        for x in range(b, a, -STEP):
+            y = max(a, x - STEP)
+            above = np.append(lower_lcp[y + 1 : x], lower_lcp[x] if x < len(lower_lcp) else 0).astype(np.uint8)
+            yield np.asarray(lower_pos[y:x])[::-1], above[::-1]
+
+    down = _Pass(code, top, 1, depth, space, True)
+    for low, high in reversed(buckets):
+        a, b = int(lower_end[low] - count[2 * low]), int(lower_end[high - 1])
+        if high - low == 1:
+            for _, pos, lcp in down.one(top - 1 - low, lower(a, b)):
+                yield pos, lcp
+        else:
+            found = list(lower(a, b))
+            pos, lcp = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            symbol = top - 1 - text[pos.astype(np.int64)].astype(np.int32)
+            for _, pos, lcp in down.several(top - high, top - low, symbol, pos, lcp.astype(np.uint8)):
+                yield pos, lcp
+        down.queue.settle()

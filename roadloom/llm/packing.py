@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import SPACES, lean, partitions, raw_text, steps, stored, word_hashes, word_spans
+from roadloom.llm.common import SPACES, forget, lean, partitions, raw_text, steps, stored, word_hashes, word_spans
 
 CAPACITY = 4096
 CLOSING = 1
@@ -250,7 +250,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     groups = (placed.agg(F.max(F.shiftright("bin", 40))).first()[0] or 0) + 1
     heads = placed.where(F.col("offset") == 0).select("bin", F.col("fill").alias("size"), F.shiftright("bin", 40).alias("group"))
     moved = None  # bin of level 0 -> where it is now
-    depth = 0
+    depth, done = 0, []
     while groups > 1:
         depth += 1
         open_ = _emptiest(heads, capacity).withColumn("group", F.floor(F.col("group") / FAN))
@@ -266,6 +266,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             joined = moved.join(at, moved["now"] == at["was"], "full")
             moved = joined.select(F.coalesce("bin", "was").alias("bin"), F.coalesce("to", "now").alias("now"), (F.coalesce("base", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("base"))
         moved = stored(moved, f"moved{depth}")
+        for table in done:
+            forget(table)
+        done = [step, moved]
         heads = step.where(F.col("base") == 0).select(F.col("to").alias("bin"), F.col("fill").alias("size"), "group")
     own = [f.name for f in pieces.schema]
     if moved is None:
@@ -276,4 +279,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row of docs, in its place."""
-    return pack(stored(tokenised(docs, tokenizer, capacity), "pieces"), capacity)
+    pieces = stored(tokenised(docs, tokenizer, capacity), "pieces")
+    out = pack(pieces, capacity)
+    forget(pieces)
+    return out

@@ -1,10 +1,11 @@
 """Minimax contiguous sharding: the smallest shard capacity at which a greedy walk over ordered groups needs no more shards.
 
-Equal texts are one atomic group, ordered by its smallest doc_id. Groups are range-partitioned in that order and cut into at most
-BLOCKS blocks of consecutive groups, of which the driver sees sums only. With whole blocks kept or cut anywhere, the driver
-brackets the best capacity, and each cut's place; only blocks where a cut may fall are split again, into at most BLOCKS parts,
-until those are single groups. Then the binary search is exact; cuts are placed at that capacity, as evenly as it allows. Rounds grow with the logarithm of the corpus, what the
-driver holds does not grow.
+Equal texts are one atomic group, ordered by its smallest doc_id. Groups are range-partitioned in that order and numbered within their
+partition; a block is a partition's groups of one number divided by a power of two, so that blocks are found by arithmetic and joined by
+equality. The driver sees sums of at most BLOCKS blocks (one for each partition at least). With whole blocks kept or cut anywhere, it
+brackets the best capacity, and each cut's place; only blocks where a cut may fall are split again, until those are single groups. Then
+the binary search is exact. Cuts are placed at that capacity, as evenly as it allows: the walk that checks a capacity fills shards
+one after another, which would leave the last ones small. Rounds grow with the logarithm of the corpus, what the driver holds does not.
 
 Rows: a null text has 0 bytes and is grouped with empty texts. Repeated rows are placed each; null ids come first. Extra columns
 are ignored; an empty table gives an empty result. More shards than groups leave the last ones empty. A group is never split, so
@@ -19,10 +20,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import partitions, stored
+from roadloom.llm.common import forget, partitions, stored
 
 SHARDS = 24
-#: Blocks of groups that the driver sees at a time.
+#: Blocks of groups that the driver sees at a time, or one for each partition, and twice as many after a split.
 BLOCKS = 20_000
 
 
@@ -71,12 +72,17 @@ def balanced(sizes: np.ndarray, capacity: int, shards: int) -> list[int]:
 
 @dataclass
 class _Blocks:
-    """Consecutive groups: place of the first group, groups, their bytes and the largest."""
+    """Consecutive groups: place of the first group, groups, their bytes and the largest; shift: of the block's number."""
 
     first: np.ndarray
     count: np.ndarray
     total: np.ndarray
     largest: np.ndarray
+    shift: np.ndarray
+
+
+#: Bits of a group's number within its partition, as Spark's row ids have them.
+ROW_BITS = 33
 
 
 def _open_blocks(b: _Blocks, shards: int) -> np.ndarray:
@@ -106,38 +112,43 @@ def shard(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFr
     base = stored(base, "sizes")
     groups = base.groupBy("same").agg(F.min("doc_id").alias("lead"), F.sum("size").alias("total"), F.count("*").alias("members"))
     ordered = stored(groups.repartitionByRange(partitions(spark), F.col("lead").asc_nulls_first(), "same").sortWithinPartitions(F.col("lead").asc_nulls_first(), "same").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "groups")
-    # place: partition in the upper bits, row in the lower; ascending in group order, gaps only between partitions
+    # place: partition in the upper bits, row in the lower ROW_BITS; ascending in group order
 
-    limits = ordered.groupBy("part").agg(F.min("place").alias("a"), F.max("place").alias("z")).orderBy("part").collect()
-    ranges = [(r.a, r.z + 1) for r in limits]
-    if not ranges:
+    row = F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    sums = (F.min("place").alias("first"), F.count("*").alias("count"), F.sum("total").alias("total"), F.max("total").alias("largest"))
+    sizes = np.array([r["count"] for r in ordered.groupBy("part").count().collect()], np.int64)
+    if not len(sizes):
         kind = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
         return spark.createDataFrame([], kind)
 
-    def summed(parts: list[tuple[int, int]], step: int) -> _Blocks:
-        """Blocks of ``step`` places over the given ranges of places."""
-        starts = spark.createDataFrame([(a, z) for a, z in parts], "a long, z long")
-        cut = ordered.join(F.broadcast(starts), (F.col("place") >= F.col("a")) & (F.col("place") < F.col("z")))
-        rows = cut.groupBy("a", F.floor((F.col("place") - F.col("a")) / step).alias("n")).agg(F.min("place").alias("first"), F.count("*").alias("count"), F.sum("total").alias("total"), F.max("total").alias("largest")).orderBy("first").collect()
-        return _Blocks(*(np.array([r[c] for r in rows], np.int64) for c in ("first", "count", "total", "largest")))
+    def taken(rows: list, shift: int) -> _Blocks:
+        return _Blocks(*(np.array([r[c] for r in rows], np.int64) for c in ("first", "count", "total", "largest")), np.full(len(rows), shift))
 
-    total_groups = sum(z - a for a, z in ranges)
-    step = max(1, -(-total_groups // blocks))
-    now = summed(ranges, step)
-    while (open_ := _open_blocks(now, shards)).any():
-        which = np.flatnonzero(open_)
-        spans = [(int(now.first[i]), int(now.first[i] + now.count[i])) for i in which]
-        joined = [spans[0]]
-        for a, z in spans[1:]:
-            joined[-1:] = [(joined[-1][0], z)] if a == joined[-1][1] else [joined[-1], (a, z)]
-        step = max(1, min(step // 2, -(-sum(z - a for a, z in joined) // blocks)))
-        fine = summed(joined, step)
-        keep = ~open_
-        merged = [np.concatenate([getattr(now, c)[keep], getattr(fine, c)]) for c in ("first", "count", "total", "largest")]
+    def joined(parts: list[_Blocks]) -> _Blocks:
+        merged = [np.concatenate([getattr(p, c) for p in parts]) for c in ("first", "count", "total", "largest", "shift")]
         order = np.argsort(merged[0])
-        now = _Blocks(*(m[order] for m in merged))
+        return _Blocks(*(m[order] for m in merged))
+
+    def finest(counts: np.ndarray, shift: int) -> int:
+        """The least shift below the given one with which groups so many together make at most BLOCKS blocks."""
+        while shift and (-(-counts >> (shift - 1))).sum() <= blocks:
+            shift -= 1
+        return shift
+
+    shift = finest(sizes, ROW_BITS)
+    now = joined([taken(ordered.groupBy("part", F.shiftright(row, shift).alias("n")).agg(*sums).collect(), shift)])
+    while (open_ := _open_blocks(now, shards)).any():
+        parts = [_Blocks(*(getattr(now, c)[~open_] for c in ("first", "count", "total", "largest", "shift")))]
+        for shift in np.unique(now.shift[open_]).tolist():
+            which = open_ & (now.shift == shift)
+            first = now.first[which]
+            wanted = spark.createDataFrame([(int(p), int(n)) for p, n in zip(first >> ROW_BITS, (first & ((1 << ROW_BITS) - 1)) >> shift, strict=True)], "part int, n long")
+            finer = min(shift - 1, finest(now.count[which], shift))
+            chosen = ordered.withColumn("n", F.shiftright(row, shift)).join(F.broadcast(wanted), ["part", "n"])  # at most BLOCKS rows
+            parts.append(taken(chosen.groupBy("part", F.shiftright(row, finer).alias("n")).agg(*sums).collect(), finer))
+        now = joined(parts)
     capacity = smallest_capacity(now.total, shards)
-    first = [*now.first.tolist(), ranges[-1][1]]
+    first = [*now.first.tolist(), 1 << 62]
     starts = [first[i] for i in balanced(now.total, capacity, shards)]
 
     number = F.lit(0)
@@ -146,6 +157,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFr
     named = ordered.select("same", "place", number.alias("shard"))
     rows = base.join(named, "same").repartitionByRange(partitions(spark), "place", F.col("doc_id").asc_nulls_first(), F.xxhash64("doc_id")).sortWithinPartitions("place", F.col("doc_id").asc_nulls_first())
     rows = stored(rows.select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("at"), F.spark_partition_id().alias("part")), "rows")
+    forget(base)
+    forget(ordered)
     # rows of a shard stand together over consecutive partitions: a slot is the row's number in its partition and shard, plus the rows before
     heads = rows.groupBy("part", "shard").agg(F.min("at").alias("head"), F.count("*").alias("n"))
     before = heads.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, NOT_LETTER, U64, lean, mix, raw_text, steps, stored, word_hashes, word_spans
+from roadloom.llm.common import LOWER, NOT_LETTER, U64, forget, lean, mix, raw_text, steps, stored, word_hashes, word_spans
 from roadloom.llm.near_dup import CHUNKS, SYMBOLS, WIDTH, shingle_hashes, signatures
 
 MOST_EXAMPLES = 2000
@@ -321,6 +321,8 @@ def drawn(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[Example],
     texts = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))  # 2 * DRAWN * most ids
     rows = texts.select("doc_id", "toxic", "place", raw_text().alias("raw")).mapInArrow(lean(_vectors), "doc_id long, toxic int, place long, terms binary, times binary, sig binary")
     out = [Example(r.doc_id, r.toxic, r.place, np.frombuffer(r.terms, np.uint64), np.frombuffer(r.times, np.int32).astype(np.int64), np.frombuffer(r.sig, np.uint16)) for r in rows.collect()]
+    forget(known)
+    forget(sample)
     return out, (n1 or 0) / n
 
 

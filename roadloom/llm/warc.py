@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import new_path, partitions, stored
+from roadloom.llm.common import lean, new_path, partitions, stored
 
 REVISIT_BYTES = 100
 #: Payload bytes after which a task begins its next archive.
@@ -277,13 +277,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     named = base.join(lead, "digest", "left")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("lead")), None).otherwise(F.col("lead"))
     rows = named.select("page_id", "url", "raw", "digest", refers.alias("refers_to"))
-    return stored(rows.mapInArrow(_write(folder), "path string, n_records long"), "manifest")
+    return stored(rows.mapInArrow(lean(_write(folder)), "path string, n_records long"), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of all records of archives (path)."""
     kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return manifest.select("path").repartition(partitions(manifest.sparkSession), "path").mapInArrow(_read, kind)
+    return manifest.select("path").repartition(partitions(manifest.sparkSession), "path").mapInArrow(lean(_read), kind)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -21,31 +21,55 @@ def docs(spark, rows):
 # --- external induced sorting ---------------------------------------------------------------------
 
 
+@pytest.mark.parametrize(("waiting", "step", "base", "runs"), [(1 << 13, 1 << 16, 1 << 14, 48), (8, 16, 2, 3), (4, 5, 1, 2)])
 @pytest.mark.parametrize("budget", [40, 300, 10**7])
 @pytest.mark.parametrize("dtype", [np.uint8, np.uint16])
-def test_induced_sort_is_the_suffix_order(budget, dtype):
+def test_induced_sort_is_the_suffix_order(monkeypatch, budget, dtype, waiting, step, base, runs):
+    for name, value in (("WAITING", waiting), ("STEP", step), ("BASE", base), ("MOST_RUNS", runs)):
+        monkeypatch.setattr(induced_sort, name, value)
+    monkeypatch.setattr(induced_sort._chunks, "__defaults__", (step * 4,))
     rng = np.random.default_rng(budget)
-    for _ in range(150):
-        n, k, depth = int(rng.integers(1, 70)), int(rng.integers(1, 5)), int(rng.choice([3, 9, 100]))
+    for _ in range(80):
+        n, k, depth = int(rng.integers(1, 100)), int(rng.integers(1, 8)), int(rng.choice([3, 9, 100]))
         t = rng.integers(0, k, n).astype(dtype)
         t = np.tile(t, 3) if rng.random() < 0.3 else t
-        parts = list(induced_sort.induced(t, depth, budget))[::-1]
-        pos, lcp = np.concatenate([p for _, p, _ in parts]), np.concatenate([c for _, _, c in parts])
+        parts = list(induced_sort.induced(t, depth, budget))
+        pos, above = np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
         assert sorted(pos.tolist()) == list(range(len(t)))
         cut = [tuple(t[i : i + depth].tolist()) for i in pos.tolist()]
-        for a, b, c in zip(cut[:-1], cut[1:], lcp[1:].tolist(), strict=True):
+        for a, b, c in zip(cut[:-1], cut[1:], above[1:].tolist(), strict=True):
             same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            assert a <= b and c == same
-
-
-def test_runs_spill_and_come_back_in_order():
-    runs = induced_sort.Runs(2000)
-    for i in range(50):
-        runs.push(i % 3, np.arange(i * 10, i * 10 + 10), np.full(10, i % 7, np.uint8))
-    assert runs.spilled
-    for s in range(3):
-        got = np.concatenate([p for p, _ in runs.pop(s)])
-        assert got.tolist() == [x for i in range(50) if i % 3 == s for x in range(i * 10, i * 10 + 10)]
+            assert a >= b and c == same
+
+
+def test_a_usual_shard_spills_and_recurses():
+    """At the shipped settings, on a shard of the usual size with many repeats: order checked on a sample of neighbours."""
+    rng = np.random.default_rng(5)
+    t = rng.integers(97, 110, suffix_dedup.SHARD_SYMBOLS // 2).astype(np.uint8)
+    t = np.concatenate([t, *[t[k : k + 200] for k in rng.integers(0, len(t) - 200, len(t) // 200)]])
+    counters, n, last = induced_sort.Counters(), 0, None
+    for pos, above in induced_sort.induced(t, suffix_dedup.LENGTH, suffix_dedup.BUDGET, counters):
+        n += len(pos)
+        for k in range(1, len(pos), 1009):
+            a, b = (t[p : p + suffix_dedup.LENGTH].tobytes() for p in pos[k - 1 : k + 1])
+            assert a >= b and a[: above[k]] == b[: above[k]] and (above[k] == suffix_dedup.LENGTH or a[: above[k] + 1] != b[: above[k] + 1])
+        if last is not None and len(pos):
+            assert t[last : last + 100].tobytes() >= t[pos[0] : pos[0] + 100].tobytes()
+        last = pos[-1] if len(pos) else last
+    assert n == len(t) and counters.levels >= 2 and counters.spilled > 0 and counters.mapped > 0
+
+
+def test_queue_keeps_the_order_of_arrival(monkeypatch):
+    monkeypatch.setattr(induced_sort, "WAITING", 64)
+    counters = induced_sort.Counters()
+    queue = induced_sort.Queue(2000, np.int64, counters)
+    for i in range(200):
+        queue.push(np.repeat([0, 1, 2], [0, 10, 5]) if i % 2 else np.repeat([0, 2], 5), np.arange(i * 20, i * 20 + (15 if i % 2 else 10)), np.full(15 if i % 2 else 10, i % 7, np.uint8))
+        if i == 100:
+            queue.settle()
+    assert counters.spilled
+    got = [np.concatenate([p for p, _ in queue.stream(s)]).tolist() if s != 1 else queue.take(1, 2)[1].tolist() for s in range(3)]
+    assert all(g == sorted(g) for g in got) and [len(g) for g in got] == [500, 1000, 1000]
 
 
 # --- repeated substrings --------------------------------------------------------------------------
@@ -83,7 +107,7 @@ def repeat_rows():
     return rows + [(60, edited), (61, edited), (53, rows[49][1] if rows[49][1] else "")]
 
 
-@pytest.mark.parametrize(("budget", "symbols"), [(suffix_dedup.BUDGET, suffix_dedup.SHARD_SYMBOLS), (3000, 500)])
+@pytest.mark.parametrize(("budget", "symbols"), [(suffix_dedup.BUDGET, suffix_dedup.SHARD_SYMBOLS), (3000, 500), (200, 10**6)])
 def test_repeats_are_those_of_brute_force(spark, budget, symbols):
     rows = repeat_rows()
     got = suffix_dedup.remove_repeats(docs(spark, rows).repartition(3), budget=budget, symbols=symbols).collect()
@@ -113,6 +137,20 @@ def test_repeats_of_shared_ids_and_null_ids(spark):
     assert len(got) == 6 and removed == {(1, 130): 130, (1, 150): 119, (2, 150): 150, (None, 131): 0, (3, 130): 130}
 
 
+def test_repeats_of_many_null_ids(spark):
+    """All rows are one id: texts are told apart by their full hash."""
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    shared = " ".join(rng.choices(words, k=25))
+    rows = []
+    for k in range(3000):
+        own = " ".join(rng.choices(words, k=rng.randint(0, 30)))
+        rows.append((None if k % 10 else 7, own[: rng.randint(0, 80)] + shared + own if k % 3 == 0 else own))
+    rows += rows[:50]
+    got = suffix_dedup.remove_repeats(docs(spark, rows).repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_repeats(rows)
+
+
 def test_repeats_keep_whole_characters_and_nulls(spark):
     a = "ä" * 80
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, [(1, "x" + a), (2, a + "yé"), (3, None)])).collect()}
@@ -167,6 +205,43 @@ def test_near_duplicates_are_those_of_brute_force(spark, k, percent):
     assert all(g[2] == (i == g[1]) for i, g in got.items())
 
 
+@pytest.mark.parametrize("ids", [near_dup.BROADCAST_IDS, 0])
+def test_near_duplicates_in_small_blocks_and_by_a_shuffled_join(spark, monkeypatch, ids):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", ids)
+    rng = random.Random(19)
+    words = [f"w{n}" for n in range(300)]
+    rows = []
+    for family in range(3):
+        base = rng.choices(words, k=90)
+        for n in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 9)):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((100 * family + n, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs(spark, rows).repartition(3), 3, 85).collect()}
+    assert got == brute_classes(rows, 3, 85)
+
+
+@pytest.mark.parametrize("similarity", [0.85, 0.9])
+def test_recall_of_planted_links(similarity):
+    """Pairs of sets of a given similarity: each is a candidate, that is, a chunk agrees in all symbols but one."""
+    rng = np.random.default_rng(int(100 * similarity))
+    found = pairs = 0
+    for _ in range(40):
+        sets = []
+        for _ in range(100):
+            n = int(rng.integers(40, 400))
+            both = round(2 * n * similarity / (1 + similarity))
+            common, own = rng.integers(0, 1 << 63, both, dtype=np.uint64), rng.integers(0, 1 << 63, 2 * (n - both), dtype=np.uint64)
+            sets += [np.concatenate([common, own[: n - both]]), np.concatenate([common, own[n - both :]])]
+        begin = np.cumsum([0, *map(len, sets)])
+        sig = near_dup.signatures(np.concatenate(sets), begin).reshape(100, 2, near_dup.CHUNKS, near_dup.SYMBOLS)
+        found += int(((sig[:, 0] != sig[:, 1]).sum(axis=2) <= near_dup.ERRORS).any(axis=1).sum())
+        pairs += 100
+    assert found == pairs
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "z y x w"), (2, "a b c d"), (None, None)]
     got = sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id), r.kept) for r in near_dup.near_duplicates(docs(spark, rows), 3, 85).collect())

@@ -500,6 +500,59 @@ def test_pipeline_stages(spark):
     assert len(corpus_pipeline.run(spark, sf).collect()) == len(last)
 
 
+def brute_pipeline(kept, column, items):
+    """Texts after the stages that follow toxicity, by id, from plain Python; kept: (id, text) after toxicity."""
+    from test_dedup import brute_classes, brute_hits
+
+    classes = brute_classes(kept, 5, 80)
+    alone = [(i, t) for i, t in kept if classes[i][1] == i]
+    first = {}
+    for i, t in alone:
+        b = t.encode()
+        for p in range(len(b) - 99):
+            first[b[p : p + 100]] = min(first.get(b[p : p + 100], (i, p)), (i, p))
+    cut = []
+    for i, t in alone:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if first[b[p : p + 100]] != (i, p):
+                gone[p : p + 100] = True
+        cut.append((i, np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
+    hit = {i for i, *_, bad in brute_hits(cut, items, 10) if bad}
+    clean = [(i, t) for i, t in cut if i not in hit]
+    return [alone, cut, clean]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_pipeline_is_that_of_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    scored = {r.doc_id: r.predicted for r in queries.QUERIES["op3_toxicity"](spark, sf).collect()}
+    want = [sorted((r.doc_id, r.text) for r in table.collect() if not scored[r.doc_id])]
+    want += brute_pipeline(want[0], None, items)
+    for (name, stage), rows in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        table = spark.createDataFrame(stage(spark, table, sf).collect(), table.schema)
+        assert sorted((r.doc_id, r.text) for r in table.collect()) == rows, name
+    tokenizer = tokenizers.Tokenizer.from_file(WORD_BPE)
+    lengths = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in want[-1]}
+    got = corpus_pipeline.STAGES[-1][1](spark, table, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == lengths
+
+
+def test_pipeline_of_empty_and_odd_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, raw string, node long, key long, bin long, text_ string"
+    rows = [(None, None, None, None, None, "r", "x", 1, 2, 3, "t"), (None, "", None, "s", 0, "r", "x", 1, 2, 3, "t"), (5, "few words here", "en", "s", 14, "r", "x", 1, 2, 3, "t"), (None, "word " * 300, "en", "s", 1500, "r", "x", 1, 2, 3, "t")]
+    for data in ([], rows):
+        table = spark.createDataFrame(data, kind)
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, table, sf)
+            assert got.count() == len(data), name
+            assert name == "packing" or got.dtypes == table.dtypes, name
+
+
 def test_pipeline_keeps_nulls(spark):
     table = docs(spark, [(1, None), (2, ""), (None, "a few words"), (3, " ".join(f"word{k}" for k in range(90)))]).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES[1:3]:
