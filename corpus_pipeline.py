@@ -18,34 +18,22 @@ from roadloom.llm.toxicity import toxicity
 
 #: Near duplicates: words of a shingle and percent of similarity.
 SHINGLE, SIMILAR = 5, 80
-#: Rows of an Arrow batch. Whole documents pass through the first stages' Python workers, so theirs are small; repeated pieces
-#: are merged within a batch before they are shuffled, so that stage's are larger,
-#: and so are those that make the shards of the benchmark index.
-FEW_ROWS, MANY_ROWS = 1000, 10_000
-
-
-def _batches(spark: SparkSession, rows: int) -> None:
-    """Holds when the stage's result is written, until the next stage sets its own."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic."""
-    _batches(spark, FEW_ROWS)
     scored = toxicity(docs, load(spark, sf_dir, "labels"), carry=docs.columns, training=load(spark, sf_dir, "documents"))
     return scored.where("predicted = 0").select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates; documents without an id or words stay."""
-    _batches(spark, FEW_ROWS)
     gone = near_duplicates(docs, k=SHINGLE, percent=SIMILAR).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings that start earlier; a character that lost a byte goes whole. Lengths follow."""
-    _batches(spark, MANY_ROWS)
     cut = remove_repeats(docs, carry=[c for c in docs.columns if c != "text"])
     size = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
     new = {"text": F.col("kept_text"), "n_chars": size.cast(docs.schema["n_chars"].dataType) if size is not None else None}
@@ -54,14 +42,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    _batches(spark, MANY_ROWS)
     hit = decontaminate(docs, load(spark, sf_dir, "benchmark")).where("contaminated and doc_id is not null").select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 4096."""
-    _batches(spark, FEW_ROWS)
     return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -73,7 +59,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages' models, sorts and packing have no SQL form; tests hold each stage against a brute-force version.
+#: The stages' models, sorts and packing have no SQL form; test_pipeline_is_that_of_brute_force holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
