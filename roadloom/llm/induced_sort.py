@@ -11,7 +11,7 @@ suffixes beyond a part of the budget lie in such files, too, and are mapped; wha
 string may be far longer than the budget. Names carry the common prefixes through the recursion: at the level above, two seeds that share so
 many names are compared from there on.
 
-Symbols are taken in buckets: a frequent symbol is one, rarer ones share one with about the root of the string's length in suffixes. Within
+Symbols are taken in buckets: a frequent symbol is one, rarer ones share one with some times the root of the string's length in suffixes. Within
 a bucket of several symbols, suffixes are extracted together up to the first one that has to wait for a push.
 
 Order and common prefixes are exact up to ``depth`` symbols; suffixes equal that far are in any order with the value ``depth``.
@@ -28,7 +28,7 @@ import numpy as np
 #: Suffixes handled in one vectorised step.
 STEP = 1 << 16
 #: Names that are sorted directly, by prefix doubling.
-BASE = 1 << 14
+BASE = 1 << 18
 #: Tuples of the queue that wait unsorted, and runs that are merged into one.
 WAITING, MOST_RUNS = 1 << 13, 48
 
@@ -53,7 +53,7 @@ class Space:
             return np.empty(n, kind)
         self.counters.mapped += 1
         with tempfile.TemporaryFile() as f:  # the mapping keeps the file
-            return np.memmap(f, kind, "w+", shape=(n,))
+            return np.asarray(np.memmap(f, kind, "w+", shape=(n,)))
 
 
 def _chunks(n: int, step: int = STEP * 4) -> Iterator[tuple[int, int]]:
@@ -112,7 +112,7 @@ class Queue:
                 f.flush()
                 at = 0
                 for k, x in enumerate(rest):
-                    run[k] = np.memmap(f, x.dtype, "r", offset=at, shape=x.shape)
+                    run[k] = np.asarray(np.memmap(f, x.dtype, "r", offset=at, shape=x.shape))
                     at += x.nbytes
             self.counters.spilled += 1
         else:
@@ -141,7 +141,7 @@ class Queue:
                 at = upto
             for f in (s, p, c):
                 f.flush()
-            self.runs = [[np.memmap(s, np.int32, "r", shape=(total,)), np.memmap(p, self.kind, "r", shape=(total,)), np.memmap(c, np.uint8, "r", shape=(total,)), 0, False]]
+            self.runs = [[*(np.asarray(np.memmap(f, kind, "r", shape=(total,))) for f, kind in ((s, np.int32), (p, self.kind), (c, np.uint8))), 0, False]]
         self.held = 0
         self.counters.spilled += 1
 
@@ -219,94 +219,108 @@ class _Pass:
 
     def __init__(self, code: np.ndarray, top: int, kind: int, depth: int, space: Space, down: bool):
         self.code, self.top, self.kind, self.depth, self.down = code, top, kind, depth, down
-        self.least = np.full(top, depth, np.uint8)  # least common prefix since the last push to a symbol
-        self.seen = np.zeros(top, bool)
+        self.rest = np.full(top, depth, np.uint8)  # least common prefix since a symbol's last push, in the step of that
+        self.step = np.full(top, -1, np.int32)  # the step of that, -1 before the first
+        self.now = 0
+        self.low = np.full(depth + 1, -1, np.int64)  # the last step in which a common prefix was so short
         self.queue = Queue(space.budget, np.int32 if len(code) < 1 << 31 else np.int64, space.counters)
-        self.last = (-1, 1, -1)  # symbol, class and position of the suffix extracted last
+        self.last = (-1, -1)  # twice the symbol (plus 1 for the second type) and position of the suffix extracted last
 
     def before(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the source, predecessor, its symbol) of the predecessors of this pass's type."""
-        source = np.flatnonzero(pos > 0)
-        before = pos[source] - 1
-        code = self.code[before]
-        fits = (code & 1) == self.kind
-        symbol = (code[fits] >> 1).astype(np.int64)
-        return source[fits], before[fits], self.top - 1 - symbol if self.down else symbol
+        before = pos - 1
+        code = self.code[before]  # that of the last suffix, for the first
+        source = (((code & 1) == self.kind) & (pos > 0)).nonzero()[0]
+        symbol = (code[source] >> 1).astype(np.int64)
+        return source, before[source], self.top - 1 - symbol if self.down else symbol
 
     def extract(self, lcp: np.ndarray, source: np.ndarray, before: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The tuples that suffixes push, which come next with the common prefixes with the one before, by symbol."""
+        self.now += 1
+        ahead = np.minimum.accumulate(lcp)
+        shortest = int(ahead[-1])
         if not len(source):
-            np.minimum(self.least, lcp.min(), out=self.least)
-            return symbol, before, np.zeros(0, np.uint8)
-        order = np.argsort(symbol, kind="stable")
+            self.low[shortest] = self.now
+            return symbol, before, lcp[:0]
+        order = symbol.argsort(kind="stable")
         source, before, symbol = source[order], before[order], symbol[order]
-        first = np.concatenate([[True], symbol[1:] != symbol[:-1]])
-        heads = np.flatnonzero(first)
+        first = np.empty(len(symbol) + 1, bool)
+        first[0] = first[-1] = True
+        np.not_equal(symbol[1:], symbol[:-1], out=first[1:-1])
+        heads, tails = first[:-1].nonzero()[0], first[1:].nonzero()[0]
         targets = symbol[heads]
-        tails = np.append(heads[1:], len(symbol)) - 1
-        between = _LeastBetween(lcp)
-        new = between(np.where(first, 0, np.concatenate([[0], source[:-1] + 1])), source + 1)
-        new[heads] = np.minimum(new[heads], self.least[targets])
-        new = np.minimum(new.astype(np.int64) + 1, self.depth).astype(np.uint8)
-        new[heads[~self.seen[targets]]] = 0  # the first suffix of its symbol and type
-        self.seen[targets] = True
-        np.minimum(self.least, lcp.min(), out=self.least)
-        left = source[tails] + 1
-        some = left < len(lcp)
-        rest = np.full(len(targets), self.depth, np.uint8)
-        rest[some] = between(left[some], np.full(int(some.sum()), len(lcp)))
-        self.least[targets] = rest
+        new = ahead[source]
+        if len(heads) < len(symbol):
+            more = (~first[:-1]).nonzero()[0]
+            new[more] = _LeastBetween(lcp)(source[more - 1] + 1, source[more] + 1)
+        # since the last push to a symbol: the rest of its step, and the steps after that
+        was = self.step[targets]
+        since = np.maximum.accumulate(self.low).searchsorted(was, side="right")
+        new[heads] = np.minimum(new[heads], np.minimum(self.rest[targets], since))
+        new = np.minimum(new, self.depth - 1) + np.uint8(1)
+        new[heads[was < 0]] = 0  # the first suffix of its symbol and type
+        self.step[targets] = self.now
+        self.low[shortest] = self.now
+        behind = np.empty(len(lcp) + 1, np.uint8)
+        behind[-1] = self.depth
+        np.minimum.accumulate(lcp[::-1], out=behind[-2::-1])
+        self.rest[targets] = behind[source[tails] + 1]
         return symbol, before, new
 
-    def borders(self, symbol: np.ndarray, second: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-        """Sets the common prefix where a symbol's second type begins after its first: the repeats of the symbol at the start of either."""
-        was = [np.concatenate([[x], y[:-1]]) for x, y in zip(self.last, (symbol, second, pos), strict=True)]
-        at = np.flatnonzero((second == 1) & (was[1] == 0) & (symbol == was[0]))
+    def borders(self, key: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+        """Sets the common prefix where a symbol's second type begins after its first: the repeats of the symbol at the start of either.
+
+        key: 2 * symbol, plus 1 for the second type.
+        """
+        at = (((key[1:] & 1) == 1) & (key[1:] == key[:-1] + 1)).nonzero()[0] + 1
+        left = pos[at - 1]
+        if key[0] & 1 and self.last[0] == key[0] - 1:
+            at, left = np.append(0, at), np.append(self.last[1], left)
         if len(at):
             lcp = lcp.copy()
-            a, b = was[2][at].astype(np.int64), pos[at].astype(np.int64)
-            lcp[at] = np.minimum(_repeats(self.code, a, self.depth), _repeats(self.code, b, self.depth))
-        self.last = (int(symbol[-1]), int(second[-1]), int(pos[-1]))
+            lcp[at] = np.minimum(_repeats(self.code, left.astype(np.int64), self.depth), _repeats(self.code, pos[at].astype(np.int64), self.depth))
+        self.last = (int(key[-1]), int(pos[-1]))
         return lcp
 
     def one(self, symbol: int, others: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(class, positions, common prefixes) of a symbol's suffixes: the queue's, then the others'."""
         for second, parts in ((0, self.queue.stream(symbol)), (1, others)):
             for pos, lcp in parts:
-                same = np.full(len(pos), symbol)
-                lcp = self.borders(same, np.full(len(pos), second), pos, lcp)
+                lcp = self.borders(np.full(len(pos), 2 * symbol + second), pos, lcp)
                 self.queue.push(*self.extract(lcp, *self.before(pos)))
                 yield second, pos, lcp
 
     def several(self, low: int, high: int, symbol: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(class, positions, common prefixes) of a bucket of symbols: the queue's, and the given others, sorted by symbol."""
         q = self.queue.take(low, high)
-        second = np.repeat([0, 1], [len(q[0]), len(symbol)])
-        symbol, pos, lcp = (np.concatenate([x, y]) for x, y in zip(q, (symbol, pos, lcp), strict=True))
-        order = np.argsort(2 * symbol.astype(np.int64) + second, kind="stable")
-        symbol, second, pos, lcp = symbol[order], second[order], pos[order], lcp[order]
+        key = np.concatenate([2 * q[0].astype(np.int64), 2 * symbol.astype(np.int64) + 1])
+        pos, lcp = np.concatenate([q[1], pos]), np.concatenate([q[2], lcp])
+        order = key.argsort(kind="stable")
+        key, pos, lcp = key[order], pos[order], lcp[order]
         while len(pos):
             source, before, target = self.before(pos)
-            within = target < high
             n = len(pos)
+            within = target < high
             if within.any():  # up to the first that comes after a suffix pushed here
-                first = np.full(n + 1, high)
-                first[source[within] + 1] = target[within]
-                wait = np.flatnonzero(2 * symbol.astype(np.int64) + second > 2 * np.minimum.accumulate(first)[:-1])
-                n = int(wait[0]) if len(wait) else n
-            now = source < n
-            done = self.borders(symbol[:n], second[:n], pos[:n], lcp[:n])
-            new = self.extract(done, source[now], before[now], target[now])
-            yield second[:n], pos[:n], done
-            own = int(np.searchsorted(new[0], high))
-            self.queue.push(*(x[own:] for x in new))
+                first = np.full(n + 1, 2 * high)
+                first[source[within] + 1] = 2 * target[within]
+                wait = (key > np.minimum.accumulate(first)[:-1]).nonzero()[0]
+                if len(wait):
+                    n = int(wait[0])
+                    now = int(source.searchsorted(n))
+                    source, before, target = source[:now], before[:now], target[:now]
+            done = self.borders(key[:n], pos[:n], lcp[:n])
+            new = self.extract(done, source, before, target)
+            yield key[:n] & 1, pos[:n], done
+            own = int(new[0].searchsorted(high))
+            if own < len(new[0]):
+                self.queue.push(*(x[own:] for x in new))
             if own:
-                symbol, pos, lcp = (np.concatenate([x[n:], y[:own]]) for x, y in zip((symbol, pos, lcp), new, strict=True))
-                second = np.concatenate([second[n:], np.zeros(own, second.dtype)])
-                order = np.argsort(2 * symbol.astype(np.int64) + second, kind="stable")
-                symbol, second, pos, lcp = symbol[order], second[order], pos[order], lcp[order]
+                key = np.concatenate([key[n:], 2 * new[0][:own]])
+                order = key.argsort(kind="stable")
+                key, pos, lcp = key[order], np.concatenate([pos[n:], new[1][:own]])[order], np.concatenate([lcp[n:], new[2][:own]])[order]
             else:
-                symbol, second, pos, lcp = symbol[n:], second[n:], pos[n:], lcp[n:]
+                key, pos, lcp = key[n:], pos[n:], lcp[n:]
 
 
 def _repeats(code: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
@@ -516,7 +530,7 @@ def _seeds_in_order(text: np.ndarray, code: np.ndarray, seeds: np.ndarray, depth
 
 def _buckets(count: np.ndarray) -> list[tuple[int, int]]:
     """Symbols (first, end) that are taken together: a frequent one alone, rarer ones with about the root of all in suffixes."""
-    size = max(1, int(np.sqrt(count.sum())))
+    size = max(1, 3 * int(np.sqrt(count.sum())))
     before = np.cumsum(count) - count
     alone = count > size
     cut = np.ones(len(count), bool)
@@ -556,7 +570,7 @@ def induced(text: np.ndarray, depth: int, budget: int, counters: Counters | None
 
     up = _Pass(code, top, 0, depth, space, False)
     up.queue.push(np.array([int(text[-1])]), np.array([n - 1]), np.zeros(1, np.uint8))
-    up.seen[int(text[-1])] = True
+    up.step[int(text[-1])] = 0
     for low, high in buckets:
         a, b = int(seed_end[low] - seed_count[low]), int(seed_end[high - 1])
         if high - low == 1:

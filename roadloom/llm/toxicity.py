@@ -8,9 +8,11 @@ Terms are words (runs of letters, in lower case) and the first PREFIX bytes of l
 A term weighs its TF-IDF times its association with the labels (chi-square over the examples): by IDF alone what a text
 is about decides its neighbours, and not how it speaks. The README has the figures of both.
 
-The index has a posting list for each term, cut by blocks of BLOCK examples, and the largest impact in each block. A text's bound in a
-block is the sum of those; blocks with the best bounds are read first, then those whose bound reaches the K-th best cosine, so
-the K neighbours are exact. Cosine-weighted votes, with a prior for texts that have no neighbour, are calibrated by a
+The index has a posting list for each term, cut by blocks of BLOCK examples, and the largest impact in each block. Lists that hold over one
+in SPARSE of all examples are stored as rows of impacts, zeros included, and taken by one matrix product for many texts; its single
+precision only ranks. A text's bound in a block is the most that those give there plus the sum of the other lists' largest
+impacts; blocks with the best bounds are read first, then those whose bound reaches the K-th best cosine; cosines near the K-th best are
+taken again in double precision. So the K neighbours are exact. Cosine-weighted votes, with a prior for texts that have no neighbour, are calibrated by a
 logistic fit on the examples themselves, each without itself, weighted to the classes' shares among all training labels.
 
 The index (some MB, bounded by the sample, checked against MOST_BYTES) goes to the executors once; scoring is one pass without a shuffle.
@@ -41,6 +43,7 @@ DRAWN = 2
 EXAMPLE_BYTES = 32 << 10
 PREFIX = 5
 BLOCK = 64
+SPARSE = 16
 K = 15
 FOLDS = 5
 #: Symbols of two signatures that agree in near copies: expected from a similarity of two thirds on.
@@ -49,6 +52,8 @@ COPY = 30
 MOST_BYTES = 256 << 20
 #: Bytes of text and texts scored together.
 STEP, ROWS = 1 << 17, 64
+#: More than single precision may be wrong by.
+NEAR = 1e-5
 _SALT = U64(0x5851F42D4C957F2D)
 
 
@@ -80,14 +85,17 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Model:
-    """Terms (sorted hashes) and their weights; cells: a term's postings within a block of examples; labels and ids of examples.
+    """Terms (sorted hashes) and their weights; the lists of all; labels and ids of examples.
 
+    full: each term's row of rows, or -1; rows: impacts of all examples. Of the other terms, cells are a term's postings within a block:
     term_cells: each term's first cell; cell_block, cell_most: its block and largest impact; cell_posts: its first posting;
     example, impact: the postings.
     """
 
     terms: np.ndarray
     weight: np.ndarray
+    full: np.ndarray
+    rows: np.ndarray
     term_cells: np.ndarray
     cell_block: np.ndarray
     cell_most: np.ndarray
@@ -118,45 +126,61 @@ class Model:
     def nearest(self, owner: np.ndarray, at: np.ndarray, w: np.ndarray, texts: int, k: int = K, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, example, cosine) of the k nearest examples with a cosine over 0, best first; ``but``: one to leave out for each text."""
         blocks, examples = -(-len(self.ids) // BLOCK), len(self.ids)
-        which, cell = _spread(self.term_cells[at], self.term_cells[at + 1])
-        place = owner[which] * blocks + self.cell_block[cell]  # text and block
-        bound = np.bincount(place, w[which] * self.cell_most[cell], texts * blocks)
-        cosine = np.zeros(texts * examples)
+        row = self.full[at]
+        dense = row >= 0
+        weights = np.zeros((texts, len(self.rows)), np.float32)
+        weights[owner[dense], row[dense]] = w[dense]
+        by_rows = weights @ self.rows
+        cosine = by_rows.astype(np.float64)
+        if but is not None:
+            cosine[np.arange(texts), but] = 0
+        wide = np.zeros((texts, blocks * BLOCK))
+        wide[:, :examples] = cosine
+        some, sparse, light = owner[~dense], at[~dense], w[~dense]
+        which, cell = _spread(self.term_cells[sparse], self.term_cells[sparse + 1])
+        place = some[which] * blocks + self.cell_block[cell]  # text and block
+        more = np.bincount(place, light[which] * self.cell_most[cell], texts * blocks).reshape(texts, blocks)
+        bound = wide.reshape(texts, blocks, BLOCK).max(axis=2) + more
 
         def read(wanted: np.ndarray) -> None:
-            use = np.flatnonzero(wanted[place])
+            use = np.flatnonzero(wanted.ravel()[place])
             c = cell[use]
             one, post = _spread(self.cell_posts[c], self.cell_posts[c + 1])
             pair = which[use[one]]
-            cosine[:] += np.bincount(owner[pair] * examples + self.example[post], w[pair] * self.impact[post], len(cosine))
+            cosine.ravel()[:] += np.bincount(some[pair] * examples + self.example[post], light[pair] * self.impact[post], texts * examples)
+            if but is not None:
+                cosine[np.arange(texts), but] = 0
+
+        def kth() -> np.ndarray:
+            return np.maximum(0, np.partition(cosine, examples - k, axis=1)[:, examples - k]) if examples > k else np.zeros(texts)
 
-        # the best blocks of each text, then all whose bound reaches its k-th best cosine so far
-        ahead = min(blocks, 1 + k // BLOCK + 2)
-        by_text = bound.reshape(texts, blocks)
-        best = np.argpartition(-by_text, ahead - 1, axis=1)[:, :ahead]
+        # the best blocks of each text, then all whose bound reaches its k-th best cosine so far; without more a block's cosines are known
+        ahead = min(blocks, k // BLOCK + 3)
         chosen = np.zeros((texts, blocks), bool)
-        np.put_along_axis(chosen, best, True, axis=1)
-        chosen &= by_text > 0
-        read(chosen.ravel())
-        grid = cosine.reshape(texts, examples)
-        if but is not None:
-            grid[np.arange(texts), but] = 0
-        kth = np.maximum(0, np.partition(grid, examples - k, axis=1)[:, examples - k]) if examples > k else np.zeros(texts)
-        more = (by_text > 0) & (by_text >= kth[:, None] - 1e-9) & ~chosen
-        if more.any():
-            read(more.ravel())
-            if but is not None:
-                grid[np.arange(texts), but] = 0
-        # candidates: all that reach the k-th best, rounded so that equal cosines are equal
-        kth = np.partition(grid, examples - k, axis=1)[:, examples - k] if examples > k else np.zeros(texts)
-        text, example = np.nonzero((grid > 0) & (grid >= kth[:, None] - 1e-8))
-        value = grid[text, example]
+        np.put_along_axis(chosen, np.argpartition(-bound, ahead - 1, axis=1)[:, :ahead], True, axis=1)
+        chosen &= more > 0
+        read(chosen)
+        rest = (more > 0) & (bound >= kth()[:, None] - NEAR) & ~chosen
+        if rest.any():
+            read(rest)
+        # all that may be among the k best, again in double precision, rounded so that equal cosines are equal
+        text, example = np.nonzero((cosine > 0) & (cosine >= kth()[:, None] - 2 * NEAR))
+        value = cosine[text, example] - by_rows[text, example] + self._by_rows(owner[dense], row[dense], w[dense], texts, text, example)
         order = np.lexsort((self.ids[example], -np.round(value, 9), text))  # ties by id, which does not depend on the label
         text, example, value = text[order], example[order], value[order]
         start = np.searchsorted(text, np.arange(texts))
         top = np.arange(len(text)) - start[text] < k
         return text[top], example[top], value[top]
 
+    def _by_rows(self, owner: np.ndarray, row: np.ndarray, w: np.ndarray, texts: int, text: np.ndarray, example: np.ndarray) -> np.ndarray:
+        """What rows give to (text, example) pairs, texts ascending, in double precision."""
+        out = np.zeros(len(text))
+        begin, cut = np.searchsorted(owner, np.arange(texts + 1)).tolist(), np.searchsorted(text, np.arange(texts + 1)).tolist()
+        for a, b, x, y in zip(begin[:-1], begin[1:], cut[:-1], cut[1:], strict=True):
+            if y > x:
+                out[x:y] = w[a:b] @ self.rows[row[a:b, None], example[x:y]]
+        return out
+
     def votes(self, text: np.ndarray, example: np.ndarray, cosine: np.ndarray, texts: int) -> np.ndarray:
         """Share of label 1 among each text's neighbours, by squared cosine, with the prior counted as one distant neighbour."""
         square = cosine * cosine
@@ -239,45 +263,51 @@ def fit(examples: list[Example], share: float) -> Model:
     labels = np.array([e.label for e in examples], np.float64)
     n, n1 = len(examples), int(labels.sum())
     size = np.array([len(e.terms) for e in examples], np.int64)
-    owner = np.repeat(np.arange(n), size)
-    flat = np.concatenate([e.terms for e in examples]) if n else np.zeros(0, np.uint64)
-    times = np.concatenate([e.times for e in examples]) if n else np.zeros(0, np.int64)
-    terms, at = np.unique(flat, return_inverse=True)
-    if not n1 or n1 == n:
-        terms, at, owner, times = terms[:0], at[:0], owner[:0], times[:0]
+    both = 0 < n1 < n
+    owner = np.repeat(np.arange(n, dtype=np.int32), size * both)
+    terms = np.unique(np.concatenate([e.terms for e in examples])) if both else np.zeros(0, np.uint64)
+    at = np.concatenate([np.searchsorted(terms, e.terms).astype(np.int32) for e in examples]) if both else np.zeros(0, np.int32)
+    times = np.concatenate([e.times for e in examples]) if both else np.zeros(0, np.int64)
     df, ones = np.bincount(at, minlength=len(terms)), np.bincount(at, labels[owner], len(terms))
     a, b = ones, df - ones
     chi = n * (a * (n - n1 - b) - b * (n1 - a)) ** 2 / np.maximum(1, df * (n - df) * n1 * (n - n1))
     weight = (np.log((1 + n) / (1 + df)) + 1) * chi
-    w = (1 + np.log(times)) * weight[at]
-    length = np.sqrt(np.bincount(owner, w * w, n))
-    impact = w / np.where(length > 0, length, 1)[owner]
+    impact = (1 + np.log(times)) * weight[at]
+    length = np.sqrt(np.bincount(owner, impact * impact, n))
+    impact = (impact / np.where(length > 0, length, 1)[owner]).astype(np.float32)
     # examples of one class whose weightiest terms are the same stand together, so that blocks differ
     lead = np.zeros(n, np.int64)
     by_impact = np.lexsort((impact, owner))
     lead[owner[by_impact]] = at[by_impact]
-    place = np.empty(n, np.int64)
+    del by_impact, times
+    place = np.empty(n, np.int32)
     place[np.lexsort((np.arange(n), lead, labels))] = np.arange(n)
-    # postings by term and place; a cell is what one block has of a term
-    used = impact > 0
-    owner, at, impact = place[owner[used]], at[used], impact[used]
+    owner = place[owner]
+    # rows for the terms of many examples
+    full = np.full(len(terms), -1, np.int32)
+    many = np.flatnonzero(df * SPARSE > n)
+    full[many] = np.arange(len(many))
+    rows = np.zeros((len(many), n), np.float32)
+    dense = full[at] >= 0
+    rows[full[at[dense]], owner[dense]] = impact[dense]
+    # postings of the others by term and place; a cell is what one block has of a term
+    used = ~dense & (impact > 0)
+    owner, at, impact = owner[used], at[used], impact[used]
     order = np.lexsort((owner, at))
     owner, at, impact = owner[order], at[order], impact[order]
-    key = at * (n // BLOCK + 1) + owner // BLOCK
-    cells = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    most = np.maximum.reduceat(impact, cells) if len(cells) else np.zeros(0)
+    cells = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] // BLOCK != owner[:-1] // BLOCK)])) if len(at) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(impact, cells) if len(cells) else impact
     back = np.argsort(place)
     ids = np.array([e.id for e in examples], np.int64)[back]
     by_cell = np.searchsorted(at[cells], np.arange(len(terms) + 1))
-    model = Model(terms, weight, by_cell.astype(np.int32), (owner[cells] // BLOCK).astype(np.int32), np.nextafter(most.astype(np.float32), np.float32(2)), np.append(cells, len(at)).astype(np.int32), owner.astype(np.int32), impact.astype(np.float32), labels[back], ids, share)
-    if len(terms):
+    model = Model(terms, weight, full, rows, by_cell.astype(np.int32), (owner[cells] // BLOCK).astype(np.int32), most, np.append(cells, len(at)).astype(np.int32), owner, impact, labels[back], ids, share)
+    if both:
         shares = np.zeros(n)
-        for i in range(0, n, 64):
-            some = examples[i : i + 64]
+        for i in range(0, n, ROWS):
+            some = examples[i : i + ROWS]
             m = len(some)
-            rows = np.repeat(np.arange(m), [len(e.terms) for e in some])
-            row, term, wt = model.weights(rows, np.concatenate([e.terms for e in some]), np.concatenate([e.times for e in some]), m)
-            shares[i : i + m] = model.votes(*model.nearest(row, term, wt, m, but=place[i : i + m]), m)
+            row, term, w = model.weights(np.repeat(np.arange(m), [len(e.terms) for e in some]), np.concatenate([e.terms for e in some]), np.concatenate([e.times for e in some]), m)
+            shares[i : i + m] = model.votes(*model.nearest(row, term, w, m, but=place[i : i + m]), m)
         model.slope, model.shift = _logistic(_logit(shares), labels, np.where(labels > 0, share / n1, (1 - share) / (n - n1)) * n)
     return model
 
@@ -304,7 +334,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drawn(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[Example], float]:
-    """At most DRAWN * most training examples of each class, no two of a class with equal texts, and the share of label 1 among training labels."""
+    """At most ``most`` training examples of each class, no two of a class near copies, and the share of label 1 among training labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = stored(known.where(_in_training()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
     n, n1 = known.agg(F.count("*"), F.sum("toxic")).first()
@@ -319,17 +349,21 @@ def drawn(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[Example],
     ids = [distinct.where(F.col("toxic") == y).orderBy("place", "doc_id").limit(DRAWN * most) for y in (0, 1)]
     sample = stored(ids[0].unionAll(ids[1]).groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.first("place").alias("place")), "sample")
     texts = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text"))  # 2 * DRAWN * most ids
-    rows = texts.select("doc_id", "toxic", "place", raw_text().alias("raw")).mapInArrow(lean(_vectors), "doc_id long, toxic int, place long, terms binary, times binary, sig binary")
-    out = [Example(r.doc_id, r.toxic, r.place, np.frombuffer(r.terms, np.uint64), np.frombuffer(r.times, np.int32).astype(np.int64), np.frombuffer(r.sig, np.uint16)) for r in rows.collect()]
-    forget(known)
-    forget(sample)
-    return out, (n1 or 0) / n
+    rows = stored(texts.select("doc_id", "toxic", "place", raw_text().alias("raw")).mapInArrow(lean(_vectors), "doc_id long, toxic int, place long, terms binary, times binary, sig binary"), "vectors")
+    nothing = np.zeros(0, np.uint64)
+    all_ = [Example(r.doc_id, r.toxic, r.place, nothing, nothing, np.frombuffer(r.sig, np.uint16)) for r in rows.select("doc_id", "toxic", "place", "sig").collect()]
+    kept = {e.id: e for e in without_copies(all_, most)}
+    for r in rows.select("doc_id", "terms", "times").toLocalIterator():  # 2 * DRAWN * most vectors
+        if r.doc_id in kept:
+            kept[r.doc_id].terms, kept[r.doc_id].times = np.frombuffer(r.terms, np.uint64), np.frombuffer(r.times, np.int32)
+    for table in (known, sample, rows):
+        forget(table)
+    return list(kept.values()), (n1 or 0) / n
 
 
 def train(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES) -> Model:
     """Fits on at most most_examples labelled documents of each class, those of the smallest id hashes."""
-    examples, share = drawn(docs, labels, most_examples)
-    return fit(without_copies(examples, most_examples), share)
+    return fit(*drawn(docs, labels, most_examples))
 
 
 def _score(model_of):

@@ -131,6 +131,8 @@ def dense(model):
     for t in range(len(model.terms)):
         a, b = model.cell_posts[model.term_cells[t]], model.cell_posts[model.term_cells[t + 1]]
         out[t, model.example[a:b]] = model.impact[a:b]
+        if model.full[t] >= 0:
+            out[t] = model.rows[model.full[t]]
     return out
 
 
@@ -143,9 +145,10 @@ def test_terms_are_words_and_their_heads():
     assert sorted(times[owner == 0].tolist()) == [1] * 7 + [2]
 
 
-@pytest.mark.parametrize("block", [4, 64])
-def test_nearest_are_exact(monkeypatch, block):
+@pytest.mark.parametrize(("block", "sparse"), [(4, 16), (64, 16), (16, 2), (16, 10**9), (16, 1)])
+def test_nearest_are_exact(monkeypatch, block, sparse):
     monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "SPARSE", sparse)
     model = toxicity.fit(examples_of(toxic_rows(300)), 0.2)
     full = dense(model)
     assert len(model.terms) == len(np.unique(np.concatenate([e.terms for e in examples_of(toxic_rows(300))])))  # all terms of the examples
