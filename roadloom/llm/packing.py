@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import SPACES, forget, lean, partitions, raw_text, steps, stored, word_hashes, word_spans
+from roadloom.llm.common import LOWER, SPACES, forget, lean, partitions, raw_text, steps, stored, word_hashes, word_spans
 
 CAPACITY = 4096
 CLOSING = 1
@@ -41,7 +41,7 @@ OPEN = 64
 #: Pieces that a task packs at most, about; there are as many tasks as shuffle partitions at least.
 TASK_PIECES = 500_000
 #: Words whose ids a worker remembers at a time.
-MOST_WORDS = 100_000
+MOST_WORDS = 200_000
 #: Bytes of text whose words are looked up together.
 TEXT_STEP = 1 << 20
 
@@ -58,6 +58,7 @@ PRE_TOKENIZER = {
 }
 #: A run of these after letters is one piece.
 PUNCTUATION = "".join(c for c in string.punctuation if c != "'")
+_MARK, _ALNUM = (np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (PUNCTUATION, string.ascii_letters + string.digits))
 #: Below it a character is its own normal form and its lower case doesn't depend on its neighbours, but for the one exception.
 SIMPLE, EXCEPTION = "\u0250", "\u0130"
 
@@ -84,15 +85,11 @@ class WordIds:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.starts, self.flat = array("q", [0]), array("I")
 
     def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            plain = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.characters)
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(plain)]
-        return ids
+        plain = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.characters)
+        return [t.id for t in self.model.tokenize(plain)]
 
     def word(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -106,18 +103,46 @@ class WordIds:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _add(self, word: bytes) -> int:
-        self.flat.extend(self.word(word))
+        if self.simple and word.isalpha():  # ASCII letters: one piece
+            self.flat.extend([t.id for t in self.model.tokenize(word.decode())])
+        else:
+            self.flat.extend(self.word(word))
         self.starts.append(len(self.flat))
         k = self.index[word] = len(self.starts) - 2
         return k
 
+    def _split(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and stops of words cut before the punctuation that follows a letter or digit, and the first part of each word."""
+        if not self.simple:
+            return starts, stops, np.arange(len(starts) + 1)
+        core = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))[stops - 1] + 1
+        last, lead = data[core - 1], data[np.maximum(core - 2, 0)]
+        # the last character is a letter or digit of ASCII, or a letter of two bytes
+        two = (last >= 0x80) & (last < 0xC0) & (lead >= 0xC3) & (lead < 0xCA) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))) & ~((lead == 0xC4) & (last == 0xB0))
+        cut = (core > starts) & (core < stops) & (_ALNUM[last] | (two & (core - 2 >= starts)))
+        raw = data.tobytes()
+        for token in self.special:
+            at = raw.find(token.encode())
+            while at >= 0:
+                cut[np.searchsorted(starts, at, side="right") - 1] = False
+                at = raw.find(token.encode(), at + 1)
+        begin = np.arange(len(starts) + 1) + np.concatenate([[0], np.cumsum(cut)])
+        a, b = np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int64)
+        a[begin[:-1]], b[begin[1:] - 1] = starts, stops
+        b[begin[:-1][cut]] = a[begin[:-1][cut] + 1] = core[cut]
+        return a, b, begin
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and each text's first id; equal words (by a 64-bit hash and length) are looked up once."""
+        """Ids of all texts, and each text's first id; equal words, compared by their bytes, are looked up once."""
+        if self.simple:
+            data = LOWER[data]
         starts, stops, first = word_spans(data, offsets, SPACES)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if len(self.index) > MOST_WORDS:
             self.clear()
+        starts, stops, parts = self._split(data, starts, stops)
+        first = parts[first]
         _, lead, same = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
         raw = data.tobytes()
         get, add = self.index.get, self._add
@@ -126,10 +151,10 @@ class WordIds:
         for other in np.flatnonzero(~_equal(data, starts, stops, lead[same])).tolist():  # words of one hash that differ
             word = raw[starts[other] : stops[other]]
             place[other] = k if (k := get(word)) is not None else add(word)
-        flat, heads = np.array(self.flat, np.uint32), np.array(self.starts, np.int64)
+        flat, heads = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64)
         begin, n = heads[place], heads[place + 1] - heads[place]
         ends = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)], ends[first]
+        return flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)] if ends[-1] else np.zeros(0, np.uint32), ends[first]
 
 
 def _equal(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lead: np.ndarray) -> np.ndarray:
@@ -182,7 +207,6 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                     "ids_crc32": pa.array(crc, pa.int64()),
                 }
                 yield pa.record_batch(columns | ({"ids": pa.array(body, pa.binary())} if with_ids else {}))
-        words.clear()
 
     return run
 
