@@ -26,7 +26,7 @@ from roadloom.llm.warc import round_trip
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(load(spark, sf_dir, "documents")).drop("row", "kept_text")
+    return remove_repeats(load(spark, sf_dir, "documents"), texts_too=False).drop("row", "kept_text")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

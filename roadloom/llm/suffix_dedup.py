@@ -36,6 +36,8 @@ from roadloom.llm.induced_sort import Counters, Space, induced
 LENGTH = 100
 #: Bytes hashed together; a window's key is the least of its LENGTH - GRAM + 1 hashes.
 GRAM = 24
+#: Bytes on one side of a window's least gram, at least: half of those that the gram leaves.
+SIDE = (LENGTH - GRAM) // 2
 #: Memory of one shard's queue, of its text and of pieces remembered; what exceeds it is sorted through the disk.
 BUDGET = 12 << 20
 #: Symbols sorted together in a shard. Equal keys stay together, so a longer stretch of one key is one (external) sort.
@@ -248,6 +250,44 @@ class Shard:
             self.offsets.append(self.offsets[-1] + len(piece))
             self.wide = self.wide or b"\xff" in piece
 
+    def _read(self, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first row, row after the last, bytes) of runs of pieces, in order."""
+        self.body.seek(0)
+        a, n = 0, len(offsets) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 20), side="right")) - 1)
+            yield a, b, np.frombuffer(self.body.read(int(offsets[b] - offsets[a])), np.uint8)
+            a = b
+
+    def _may_repeat(self, key: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether a window of a piece can be in another one, for pieces that hold their least gram once.
+
+        A window holds that gram and SIDE bytes at least on one side of it; so pieces that share a window share one of the two.
+        """
+        sides = np.zeros((2, len(key)), np.uint64)
+        for a, b, data in self._read(offsets):
+            if len(data) < GRAM:
+                continue
+            grams = _gram_hashes(data)
+            begin = offsets[a : b + 1] - offsets[a]
+            row = np.repeat(np.arange(b - a), np.diff(begin))[: len(grams)]
+            at = np.flatnonzero(grams == key[a:b].view(np.uint64)[row])
+            at = at[at + GRAM <= begin[row[at] + 1]]
+            row, first = np.unique(row[at], return_index=True)
+            at = at[first]
+            right, left = at + GRAM + SIDE <= begin[row + 1], at - SIDE >= begin[row]
+            mixed = mix(grams[at] ^ key[a:b].view(np.uint64)[row])
+            for side, there, steps_ in ((0, right, (GRAM, SIDE)), (1, left, (-SIDE, GRAM - SIDE))):
+                h = mixed[there] + U64(side)
+                for step in steps_:
+                    h = mix(h * U64(0x9E3779B97F4A7C15) + grams[at[there] + step])
+                sides[side, a + row[there]] = h
+        out = np.zeros(len(key), bool)
+        for side in sides:
+            _, group, count = np.unique(side, return_inverse=True, return_counts=True)
+            out |= (count[group] > 1) & (side != 0)
+        return out
+
     def repeated(self, counters: Counters | None = None) -> Iterator[np.ndarray]:
         """Rows (doc, ver, first window, windows) of all windows that start earlier elsewhere."""
         if self.late:
@@ -255,10 +295,11 @@ class Shard:
         key, doc, ver, lo = (np.frombuffer(self.rows[c], np.int64) for c in ("key", "doc", "ver", "lo"))
         if not len(key):
             return
+        offsets = np.frombuffer(self.offsets, np.int64)
         # only keys with several pieces and pieces that may repeat inside need sorting
         _, group, count = np.unique(key, return_inverse=True, return_counts=True)
-        use = (count[group] > 1) | (np.frombuffer(self.inside, np.int8) > 0)
-        offsets = np.frombuffer(self.offsets, np.int64)
+        inside = np.frombuffer(self.inside, np.int8) > 0
+        use = inside | ((count[group] > 1) & self._may_repeat(key, offsets))
         size = np.diff(offsets)
         begin = np.concatenate([[0], np.cumsum(size[use] + 1)])
         space = Space(self.budget, counters)
@@ -266,15 +307,10 @@ class Shard:
         text = space.array(int(begin[-1]), np.uint16 if self.wide else np.uint8)
         place = np.zeros(len(key), np.int64)
         place[use] = begin[:-1]
-        self.body.seek(0)
-        a = 0
-        while a < len(key):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + (1 << 20), side="right")) - 1)
-            data = np.frombuffer(self.body.read(int(offsets[b] - offsets[a])), np.uint8)
+        for a, b, data in self._read(offsets):
             to = np.repeat(place[a:b] - offsets[a:b] + offsets[a], size[a:b]) + np.arange(len(data))
             taken = np.repeat(use[a:b], size[a:b])
             text[to[taken]] = data[taken] if not self.wide else data[taken].astype(np.uint16) + 1
-            a = b
         text[begin[1:] - 1] = 0 if self.wide else 255
         self.body.close()
         if len(begin) > 1:
@@ -351,47 +387,50 @@ def _sort_shards(budget: int, symbols: int):
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size, removed, spans, digest, kept = [], [], [], [], []
-        windows = batch.column("windows")
-        flat, lists = windows.flatten(), windows.offsets.to_numpy()
-        lists = lists - lists[0]
-        lo_all, n_all = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
-        null = windows.is_null().to_pylist()
-        for r, raw in enumerate(batch.column("raw").to_pylist()):
-            text = raw or b""
-            size.append(len(text))
-            n_removed = n_spans = 0
-            if not null[r] and lists[r + 1] > lists[r]:
-                lo, n = lo_all[lists[r] : lists[r + 1]], n_all[lists[r] : lists[r + 1]]
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, lo, 1)
-                np.add.at(edge, lo + n + LENGTH - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                n_removed, n_spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            removed.append(n_removed)
-            spans.append(n_spans)
-            digest.append(hashlib.sha256(text).hexdigest())
-            kept.append(text.decode("utf-8", "ignore") if raw is not None else None)
-        yield pa.record_batch(
-            {
-                "doc_id": batch.column("doc_id"),
-                "row": batch.column("row"),
-                "n_bytes": pa.array(size, pa.int64()),
-                "n_removed": pa.array(removed, pa.int64()),
-                "n_spans": pa.array(spans, pa.int64()),
-                "kept_sha256": pa.array(digest, pa.string()),
-                "kept_text": pa.array(kept, pa.string()),
-            }
-        )
-
-
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, budget: int = BUDGET, symbols: int = SHARD_SYMBOLS) -> DataFrame:
+def _finish(texts_too: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, removed, spans, digest, kept = [], [], [], [], []
+            windows = batch.column("windows")
+            flat, lists = windows.flatten(), windows.offsets.to_numpy()
+            lists = lists - lists[0]
+            lo_all, n_all = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
+            null = windows.is_null().to_pylist()
+            for r, raw in enumerate(batch.column("raw").to_pylist()):
+                text = raw or b""
+                size.append(len(text))
+                n_removed = n_spans = 0
+                if not null[r] and lists[r + 1] > lists[r]:
+                    lo, n = lo_all[lists[r] : lists[r + 1]], n_all[lists[r] : lists[r + 1]]
+                    edge = np.zeros(len(text) + 1, np.int32)
+                    np.add.at(edge, lo, 1)
+                    np.add.at(edge, lo + n + LENGTH - 1, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    text = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                    n_removed, n_spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                removed.append(n_removed)
+                spans.append(n_spans)
+                digest.append(hashlib.sha256(text).hexdigest())
+                kept.append(text.decode("utf-8", "ignore") if raw is not None and texts_too else None)
+            yield pa.record_batch(
+                {
+                    "doc_id": batch.column("doc_id"),
+                    "row": batch.column("row"),
+                    "n_bytes": pa.array(size, pa.int64()),
+                    "n_removed": pa.array(removed, pa.int64()),
+                    "n_spans": pa.array(spans, pa.int64()),
+                    "kept_sha256": pa.array(digest, pa.string()),
+                    "kept_text": pa.array(kept, pa.string()),
+                }
+            )
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, budget: int = BUDGET, symbols: int = SHARD_SYMBOLS, texts_too: bool = True) -> DataFrame:
     """(doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for every row of docs(doc_id, text).
 
-    kept_text: the remaining bytes as text, without what is left of a character that lost a byte, null for null; row: a struct of the columns named in carry (null for none).
+    kept_text (null for all without texts_too): the remaining bytes as text, without what is left of a character that lost a byte, null for null; row: a struct of the columns named in carry (null for none).
     """
     spark = docs.sparkSession
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
@@ -417,4 +456,4 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, budget: int
     windows = late.groupBy(*keys).agg(F.collect_set(F.struct("lo", "n")).alias("windows"))
     whole = base.join(windows, keys, "left").select(F.nullif("doc", F.lit(FIRST_ID)).alias("doc_id"), "row", "raw", "windows")
     kind = f"doc_id long, row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return stored(whole.mapInArrow(lean(_finish), kind), "cut")
+    return stored(whole.mapInArrow(lean(_finish(texts_too)), kind), "cut")
