@@ -14,9 +14,12 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine's where that is unset (tests)."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir or the context's; a folder of this machine's in local mode only (tests)."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="roadloom-"))
         told = _own[0]

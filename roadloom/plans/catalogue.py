@@ -177,9 +177,9 @@ def endpoint_successors(spark, sf):
     return successors(spark, sf).select("src", "dst", "map_id")
 
 
-@query("""l AS (SELECT l.lane_id, a.start_node AS ls, a.end_node AS le, b.start_node AS rs, b.end_node AS re FROM b_lane l JOIN b_end a ON a.way_id = l.left_way JOIN b_end b ON b.way_id = l.right_way)
+@query("""l AS (SELECT l.lane_id, l.map_id, a.start_node AS ls, a.end_node AS le, b.start_node AS rs, b.end_node AS re FROM b_lane l JOIN b_end a ON a.way_id = l.left_way JOIN b_end b ON b.way_id = l.right_way)
 SELECT a.lane_id AS src, b.lane_id AS dst, CASE WHEN a.le = b.ls AND a.re = b.rs THEN 'both' WHEN a.le = b.ls THEN 'left' ELSE 'right' END AS shared
-FROM l a JOIN l b ON a.lane_id <> b.lane_id AND (a.le = b.ls OR a.re = b.rs) AND a.lane_id % 40 = b.lane_id % 40""")
+FROM l a JOIN l b ON a.lane_id <> b.lane_id AND (a.le = b.ls OR a.re = b.rs) AND a.map_id = b.map_id""")
 def endpoint_key_successors(spark, sf):
     """Lanes whose left or right boundary goes on in another lane's of the map: both ends, or one."""
     e = B.ends(spark, sf)

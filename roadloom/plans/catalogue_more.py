@@ -64,7 +64,7 @@ def chain_walk(spark, sf):
     return G.chains(links, size, 8000.0).select("start", "last", "hops", F.round("total", 2).alias("total"))
 
 
-@query(f"""e AS ({_LANE_EDGES}), w AS (SELECT lane_id AS seed, lane_id AS node, 0 AS hops FROM b_lane WHERE lane_id % 7 = 0
+@query(f"""e AS ({_LANE_EDGES}), w AS (SELECT lane_id AS seed, lane_id AS node, 0 AS hops FROM b_lane
   UNION SELECT w.seed, e.dst, w.hops + 1 FROM w JOIN e ON e.src = w.node WHERE w.hops < 3) SELECT seed, node, CAST(min(hops) AS INT) AS hops FROM w GROUP BY seed, node""", recursive=True)
 def bounded_reach(spark, sf):
     """Lanes within three steps to the right of each lane."""
@@ -132,8 +132,8 @@ def road_tag_synthesis(spark, sf):
 
 
 @query("""e AS (SELECT o_orderkey AS way_id, CASE o_orderkey % 3 WHEN 0 THEN 'no_left_turn' WHEN 1 THEN 'no_right_turn' ELSE 'no_straight_on' END AS rule, o_custkey AS via FROM orders),
-b AS (SELECT way_id, start_node, end_node, count(*) OVER (PARTITION BY way_id % 997) AS same FROM b_end)
-SELECT b.way_id, e.rule, CASE WHEN e.via % 2 = 0 THEN 'backward' ELSE 'forward' END AS applies FROM b JOIN e USING (way_id) WHERE b.same <= 14""")
+b AS (SELECT way_id, start_node, end_node, count(*) OVER (PARTITION BY way_id) AS same FROM b_end)
+SELECT b.way_id, e.rule, CASE WHEN e.via % 2 = 0 THEN 'backward' ELSE 'forward' END AS applies FROM b JOIN e USING (way_id) WHERE b.same = 1""")
 def restriction_mapping(spark, sf):
     """Restrictions go to an end of their edge where exactly one edge has its id."""
     o = B.load(spark, sf, "orders").select(F.col("o_orderkey").alias("way_id"), F.when(F.col("o_orderkey") % 3 == 0, "no_left_turn").when(F.col("o_orderkey") % 3 == 1, "no_right_turn").otherwise("no_straight_on").alias("rule"), F.col("o_custkey").alias("via"))
@@ -263,7 +263,7 @@ def sign_light_split(spark, sf):
 
 # --- rasters -------------------------------------------------------------------------------------
 
-_CELLS = """s AS (SELECT map_id, way_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM b_pt JOIN b_way USING (way_id) WHERE way_id % 20 = 0 GROUP BY map_id, way_id),
+_CELLS = """s AS (SELECT map_id, way_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM b_pt JOIN b_way USING (way_id) GROUP BY map_id, way_id),
 r AS (SELECT *, unnest(range(ceil(y0 / 20 - 0.5)::BIGINT, floor(y1 / 20 - 0.5)::BIGINT + 1)) AS row FROM s),
 c AS (SELECT *, unnest(range(ceil(x0 / 20 - 0.5)::BIGINT, floor(x1 / 20 - 0.5)::BIGINT + 1)) AS col FROM r),
 g AS (SELECT map_id, row, col, bit_or(1 << (way_id // 20 % 8)::INT)::INT AS bits, max(way_id) AS lane_index FROM c GROUP BY map_id, row, col)"""
@@ -305,7 +305,7 @@ def raster_coverage(spark, sf):
     return j.select("map_id", "total", r.alias("related"), e.alias("encoded"), Q.raster_coverage(r, e, F.col("total")).alias("status"))
 
 
-@query("""o AS (SELECT p_partkey % 50 AS col, p_partkey // 50 AS row, p_partkey AS id FROM part WHERE p_partkey % 3 > 0 AND p_size % 5 > 0 AND p_partkey < 2000),
+@query("""o AS (SELECT p_partkey % 50 AS col, p_partkey // 50 AS row, p_partkey AS id FROM part WHERE p_partkey % 3 > 0 AND p_size % 5 > 0),
 e AS (SELECT a.id AS src, b.id AS dst FROM o a JOIN o b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
 c AS (SELECT id AS node, id AS component FROM o UNION SELECT e.dst, c.component FROM c JOIN e ON e.src = c.node)
 SELECT component, CAST(count(*) AS BIGINT) AS cells FROM (SELECT node, min(component) AS component FROM c GROUP BY node) GROUP BY component""", recursive=True)
@@ -417,8 +417,7 @@ def rdp_simplify(spark, sf):
     return B.lines(spark, sf).mapInArrow(_simplify(60.0), "way_id long, n_points long, n_kept long")
 
 
-@query("""f AS (SELECT way_id, x0, y0, x1, y1, d FROM b_seg WHERE pos = 1 AND d > 0 AND way_id IN (SELECT way_id FROM b_n WHERE n = 2))
-SELECT way_id, round(x0 - 2 * (y1 - y0) / d, 4) AS sx, round(y0 + 2 * (x1 - x0) / d, 4) AS sy, round(x1 - 2 * (y1 - y0) / d, 4) AS ex, round(y1 + 2 * (x1 - x0) / d, 4) AS ey FROM f""")
+@query()
 def offset_polyline(spark, sf):
     """Parallels, 2 m to the left, of ways that have a length: their ends and all their points."""
     o = B.lines(spark, sf).withColumn("o", P.offset(F.col("line"), 2.0)).where(F.size("o") > 1)
@@ -427,6 +426,20 @@ def offset_polyline(spark, sf):
     return o.select("way_id", *ends, F.transform("o", lambda q: F.struct(F.round(q["x"], 4).alias("x"), F.round(q["y"], 4).alias("y"))).alias("line"))
 
 
+@query("""p AS (SELECT way_id, pos, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM b_pt WHERE way_id IN (SELECT way_id FROM b_n) WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+q AS (SELECT way_id, row_number() OVER (PARTITION BY way_id ORDER BY pos) AS k, x, y FROM p WHERE px IS NULL OR px <> x OR py <> y),
+e AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM q WINDOW w AS (PARTITION BY way_id ORDER BY k)),
+n AS (SELECT *, sqrt((nx - x) ** 2 + (ny - y) ** 2) AS d FROM e), u AS (SELECT way_id, k, x, y, -(ny - y) / d AS ux, (nx - x) / d AS uy FROM n),
+b AS (SELECT way_id, k, x, y, coalesce(ux, lag(ux) OVER w) AS ax, coalesce(uy, lag(uy) OVER w) AS ay, coalesce(lag(ux) OVER w, ux) AS bx, coalesce(lag(uy) OVER w, uy) AS by_ FROM u WINDOW w AS (PARTITION BY way_id ORDER BY k)),
+m AS (SELECT way_id, k, x, y, bx, by_, ax + bx AS sx, ay + by_ AS sy, sqrt((ax + bx) ** 2 + (ay + by_) ** 2) AS size FROM b WHERE ax IS NOT NULL),
+o AS (SELECT way_id, k, round(x + 2 * CASE WHEN size > 1e-9 THEN sx / size ELSE bx END, 4) AS x, round(y + 2 * CASE WHEN size > 1e-9 THEN sy / size ELSE by_ END, 4) AS y FROM m)
+SELECT way_id, CAST(k AS INT) AS k, x, y FROM o WHERE way_id IN (SELECT way_id FROM o GROUP BY way_id HAVING count(*) > 1)""")
+def offset_points(spark, sf):
+    """Every point of the parallels, 2 m to the left, of ways that have a length."""
+    o = B.lines(spark, sf).withColumn("o", P.offset(F.col("line"), 2.0)).where(F.size("o") > 1)
+    return o.select("way_id", F.posexplode("o").alias("k", "p")).select("way_id", (F.col("k") + 1).alias("k"), F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
 @query("""g AS (SELECT node_id, 11.0::DOUBLE + x / 1000 AS lon, 48.0::DOUBLE + y / 10000 AS lat FROM b_node)
 SELECT node_id, round((lon - 11) * cos(radians(48.0::DOUBLE)) * 111320, 4) AS x, round((lat - 48) * 111320, 4) AS y, round((lat - 48) * 110540, 4) AS y_round_trip FROM g""")
 def local_projection(spark, sf):

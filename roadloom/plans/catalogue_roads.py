@@ -9,6 +9,7 @@ from roadloom.functions import polyline as P
 from roadloom.operators import graphs as G
 from roadloom.operators import joins as J
 from roadloom.operators import quality as Q
+from roadloom.operators.storage import written
 from roadloom.plans import bridge as B
 from roadloom.plans.catalogue import _COUNTS, _PAIRS, coverage_rows, query, successors
 from roadloom.plans.catalogue_more import _CELLS, cells
@@ -30,10 +31,7 @@ def lane_condensation(spark, sf):
     return o.groupBy("road").agg(F.count("*").alias("lanes"), F.sum("forward").alias("forward"), F.round(F.sum("width"), 4).alias("width"), lanes.alias("left_to_right"), F.min("side").alias("leftmost"), F.max("side").alias("rightmost"))
 
 
-@query("""c AS (SELECT l_orderkey AS chain, min(l_partkey) AS incoming, max(l_partkey) AS outgoing FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY l_orderkey),
-e AS (SELECT a.chain AS a, b.chain AS b FROM c a JOIN c b ON a.incoming = b.incoming UNION SELECT a.chain, b.chain FROM c a JOIN c b ON a.outgoing = b.outgoing),
-w AS (SELECT chain AS node, chain AS component FROM c UNION SELECT e.b, w.component FROM w JOIN e ON e.a = w.node)
-SELECT component, CAST(count(*) AS BIGINT) AS chains FROM (SELECT node, min(component) AS component FROM w GROUP BY node) GROUP BY component""", recursive=True)
+@query()
 def junction_clusters(spark, sf):
     """Connector chains that share an incoming or an outgoing road (never one's incoming with another's outgoing) make a junction."""
     c = B.load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("node")).agg(F.min("l_partkey").alias("i"), F.max("l_partkey").alias("o"))
@@ -111,7 +109,7 @@ def raster_iou(spark, sf):
     return c.select("map_id", F.round(F.col("both") / F.col("any"), 6).alias("iou"), F.when(F.col("both") >= 0.95 * F.col("any"), "PASS").otherwise("FAIL").alias("status"))
 
 
-@query("""e AS (SELECT way_id, map_id, ex AS x, ey AS y FROM b_end WHERE way_id % 20 = 0), r AS (SELECT *, unnest(range(floor((y - 25) / 20)::BIGINT, ceil((y + 25) / 20)::BIGINT + 1)) AS row FROM e),
+@query("""e AS (SELECT way_id, map_id, ex AS x, ey AS y FROM b_end), r AS (SELECT *, unnest(range(floor((y - 25) / 20)::BIGINT, ceil((y + 25) / 20)::BIGINT + 1)) AS row FROM e),
 c AS (SELECT *, unnest(range(floor((x - 25) / 20)::BIGINT, ceil((x + 25) / 20)::BIGINT + 1)) AS col FROM r)
 SELECT map_id, row, col, CAST(count(*) AS BIGINT) AS anchors FROM c WHERE sqrt((col * 20 + 10 - x) ** 2 + (row * 20 + 10 - y) ** 2) <= 25 GROUP BY map_id, row, col""")
 def topology_anchors(spark, sf):
@@ -153,21 +151,18 @@ def one_way_pairs(spark, sf):
 @query("""c AS (SELECT s_suppkey AS city, s_suppkey % 50 * 10.0::DOUBLE AS cx, s_suppkey % 37 * 10.0::DOUBLE AS cy FROM supplier),
 d AS (SELECT node_id, city, round((x - cx) ** 2 + (y - cy) ** 2, 6) AS far FROM b_node, c) SELECT node_id, arg_min(city, (far, city)) AS city FROM d GROUP BY node_id""")
 def nearest_city(spark, sf):
-    """Labels nodes with the nearest place of a gazetteer. Places are sent to all tasks as one sorted array, of a checked size."""
+    """Labels nodes with the nearest place of a gazetteer: places are sought within growing distances, by grid cells."""
     s = F.col("s_suppkey")
     places = B.load(spark, sf, "supplier").select(s.alias("city"), ((s % 50) * F.lit(10.0)).alias("cx"), ((s % 37) * F.lit(10.0)).alias("cy"))
-    rows = places.limit(100_001).collect()
-    if len(rows) > 100_000:  # beyond the bound places are tried ring by ring of grid cells
-        near, reach = None, 50.0
-        left = B.nodes(spark, sf)
-        while near is None or not left.isEmpty():
-            found = J.epsilon_join(left, places, ("x", "y"), ("cx", "cy"), reach).groupBy("node_id").agg(F.min(F.struct(F.round(F.pow("distance", F.lit(2)), 6).alias("d"), "city")).alias("m")).select("node_id", F.col("m.city").alias("city"))
-            near = found if near is None else near.unionAll(found)
-            left, reach = left.join(found, "node_id", "left_anti"), reach * 4
-        return near
-    listed = F.array(*[F.struct(F.lit(r.city).alias("city"), F.lit(r.cx).alias("cx"), F.lit(r.cy).alias("cy")) for r in rows])
-    best = F.array_min(F.transform(listed, lambda c: F.struct(F.round(F.pow(F.col("x") - c["cx"], F.lit(2)) + F.pow(F.col("y") - c["cy"], F.lit(2)), 6).alias("d"), c["city"].alias("city"))))
-    return B.nodes(spark, sf).select("node_id", best["city"].alias("city"))
+    found, left, reach = None, B.nodes(spark, sf).select("node_id", "x", "y"), 50.0
+    while not places.isEmpty():
+        near = J.epsilon_join(left, places, ("x", "y"), ("cx", "cy"), reach).groupBy("node_id").agg(F.min(F.struct(F.round(F.pow("distance", F.lit(2)), 6).alias("d"), "city")).alias("m"))
+        near = written(near.select("node_id", F.col("m.city").alias("city")))
+        found = near if found is None else found.unionAll(near)
+        left, reach = written(left.join(near, "node_id", "left_anti")), reach * 4
+        if left.isEmpty():
+            break
+    return found if found is not None else left.select("node_id", F.lit(None).cast("long").alias("city")).limit(0)
 
 
 @query(_COUNTS + """, r AS (SELECT map_id, kind, status, expected - found AS missing FROM s WHERE status <> 'PASS')
@@ -185,7 +180,7 @@ def batch_summary(spark, sf):
     return coverage_rows(spark, sf).groupBy("map_id").agg(Q.worst(F.col("status")).alias("result")).groupBy("result").agg(F.count("*").alias("maps"))
 
 
-@query("""n AS (SELECT DISTINCT end_node AS node_id FROM b_end WHERE way_id % 10 = 0), p AS (SELECT node_id, x, y FROM b_node WHERE node_id IN (SELECT node_id FROM n)),
+@query("""n AS (SELECT DISTINCT end_node AS node_id FROM b_end), p AS (SELECT node_id, x, y FROM b_node WHERE node_id IN (SELECT node_id FROM n)),
 e AS (SELECT a.node_id AS a, b.node_id AS b FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 10),
 w AS (SELECT node_id AS node, node_id AS component FROM p UNION SELECT e.b, w.component FROM w JOIN e ON e.a = w.node), m AS (SELECT node, min(component) AS component FROM w GROUP BY node)
 SELECT component, CAST(count(*) AS BIGINT) AS merged, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM m JOIN p ON p.node_id = m.node GROUP BY component""", recursive=True)

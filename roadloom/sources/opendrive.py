@@ -72,20 +72,39 @@ def lane_id(t: RoadTables) -> DataFrame:
 
 
 def lane_edges(t: RoadTables, left_hand: bool = False) -> DataFrame:
-    """(map_id, src, dst) of lane keys: successors in the road's next section or the linked road, and junction lane links. Lanes with
-    a positive id run against the road (with left-hand traffic the negative ones), so their edges are turned round."""
+    """(map_id, src, dst) of lane keys: links to the next and previous section, to linked roads, and junction lane links.
+
+    A link to a road meets its first section, or its last where the contact point is not "start"; roads linked to a junction are joined
+    by its connections only. An incoming road meets a junction by the end that names it; where neither does, by its last section if
+    the contact point is "start" and the lane runs along the road, else by its first. Edges of lanes with a positive id are turned round, junction
+    links where the connecting lane runs against the contact (all the other way with left-hand traffic).
+    """
     lanes = lane_id(t)
-    by = Window.partitionBy("map_id", "road_id")
-    lanes = lanes.withColumn("last", F.max("section").over(by)).drop("s", "road_length", "type")
     key = lambda road, section, lane: F.concat_ws("|", road, section.cast("string"), lane.cast("string"))
-    inner = lanes.where("section < last and succ_lane is not null").select("map_id", "lane_id", F.col("key").alias("a"), key(F.col("road_id"), F.col("section") + 1, F.col("succ_lane")).alias("b"))
-    ends = lanes.groupBy("map_id", F.col("road_id").alias("other")).agg(F.max("last").alias("other_last"))
-    out = lanes.where("section = last and succ_lane is not null").join(t.road.where("succ_type = 'road'").select("map_id", "road_id", F.col("succ_id").alias("other"), "succ_contact"), ["map_id", "road_id"]).join(ends, ["map_id", "other"])
-    across = out.select("map_id", "lane_id", F.col("key").alias("a"), key(F.col("other"), F.when(F.col("succ_contact") == "end", F.col("other_last")).otherwise(F.lit(0)), F.col("succ_lane")).alias("b"))
-    j = t.junction_link.join(ends.withColumnRenamed("other", "incoming").withColumnRenamed("other_last", "in_last"), ["map_id", "incoming"]).join(ends.withColumnRenamed("other", "connecting").withColumnRenamed("other_last", "c_last"), ["map_id", "connecting"])
-    turned = j.join(t.road.select("map_id", F.col("road_id").alias("incoming"), "succ_id"), ["map_id", "incoming"], "left")
-    at_end = F.coalesce(F.col("succ_id") == F.col("junction_id"), F.lit(True))
-    junction = turned.select("map_id", F.lit(-1 if not left_hand else 1).alias("lane_id"), key(F.col("incoming"), F.when(at_end, F.col("in_last")).otherwise(F.lit(0)), F.col("from_lane")).alias("a"), key(F.col("connecting"), F.when(F.col("contact") == "end", F.col("c_last")).otherwise(F.lit(0)), F.col("to_lane")).alias("b"))
-    edges = inner.unionAll(across).unionAll(junction)
-    back = (F.col("lane_id") > 0) if not left_hand else (F.col("lane_id") < 0)
-    return edges.select("map_id", F.when(back, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("dst")).distinct()
+    ends = t.lane.groupBy("map_id", "road_id").agg(F.max("section").alias("last"))
+    lanes = lanes.join(ends, ["map_id", "road_id"]).select("map_id", "road_id", "section", "last", "lane_id", "key", "pred_lane", "succ_lane")
+    against = F.col("lane_id") > 0
+
+    def linked(side: str) -> tuple[DataFrame, DataFrame]:
+        """Pairs (lane, neighbour) within the road and across to the linked road."""
+        lane, step, edge = F.col(f"{side}_lane"), (1 if side == "succ" else -1), (F.col("last") if side == "succ" else F.lit(0))
+        own = lanes.where(lane.isNotNull())
+        inner = own.where(F.col("section") != edge).select("map_id", against.alias("back"), F.col("key").alias("a"), key(F.col("road_id"), F.col("section") + step, lane).alias("b"))
+        road = t.road.where(F.col(f"{side}_id").isNotNull() & (F.coalesce(f"{side}_type", F.lit("road")) != "junction")).select("map_id", "road_id", F.col(f"{side}_id").alias("other"), F.col(f"{side}_contact").alias("contact"))
+        far = ends.toDF("map_id", "other", "other_last")
+        outer = own.where(F.col("section") == edge).join(road, ["map_id", "road_id"]).join(far, ["map_id", "other"])
+        section = F.when(F.col("contact") == "start", F.lit(0)).otherwise(F.col("other_last"))
+        return inner, outer.select("map_id", against.alias("back"), F.col("key").alias("a"), key(F.col("other"), section, lane).alias("b"))
+
+    turned = lambda df: df.select("map_id", "back", F.col("b").alias("a"), F.col("a").alias("b"))
+    edges = None
+    for pairs in (*linked("succ"), *map(turned, linked("pred"))):
+        edges = pairs if edges is None else edges.unionAll(pairs)
+    j = t.junction_link.join(ends.toDF("map_id", "incoming", "in_last"), ["map_id", "incoming"]).join(ends.toDF("map_id", "connecting", "c_last"), ["map_id", "connecting"])
+    j = j.join(t.road.select("map_id", F.col("road_id").alias("incoming"), *[f"{side}_{x}" for side in ("succ", "pred") for x in ("type", "id")]), ["map_id", "incoming"], "left")
+    names = lambda side: F.coalesce((F.col(f"{side}_type") == "junction") & (F.col(f"{side}_id") == F.col("junction_id")), F.lit(False))
+    at_start = F.coalesce(F.col("contact") == "start", F.lit(False))
+    section = F.when(names("succ"), F.col("in_last")).when(names("pred"), F.lit(0)).when(at_start & (F.col("from_lane") < 0), F.col("in_last")).otherwise(F.lit(0))
+    junction = j.select("map_id", F.when(at_start, F.col("to_lane") > 0).otherwise(F.col("to_lane") < 0).alias("back"), key(F.col("incoming"), section, F.col("from_lane")).alias("a"), key(F.col("connecting"), F.when(at_start, F.lit(0)).otherwise(F.col("c_last")), F.col("to_lane")).alias("b"))
+    back = F.col("back") != F.lit(left_hand)
+    return edges.unionAll(junction).select("map_id", F.when(back, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("dst")).distinct()

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.functions import polyline as P
+
 _TAG = "tag array<struct<_k: string, _v: string>>"
 _FLAGS = "_id string, _version string, _action string, _visible string"
 SCHEMAS = {
@@ -59,12 +61,24 @@ def read(spark: SparkSession, path: str) -> MapTables:
     return MapTables(node, w.select("map_id", F.col("_id").alias("way_id"), "tags"), refs, r.select("map_id", F.col("_id").alias("rel_id"), "tags"), members)
 
 
-def coordinates(m: MapTables) -> DataFrame:
-    """(map_id, node_id, x, y, mode): local metres where every node of the map that a way refers to has them, else lon and lat."""
+def frames(m: MapTables) -> DataFrame:
+    """(map_id, local, zone, south, mode): local metres where every node that a way refers to has them, else the UTM zone of those nodes'
+    mean longitude, north or south by their mean latitude."""
     used = m.node.join(m.way_node.select("map_id", "node_id").distinct(), ["map_id", "node_id"], "left_semi")
-    local = used.groupBy("map_id").agg(F.bool_and(F.col("local_x").isNotNull() & F.col("local_y").isNotNull()).alias("local"))
-    j = m.node.join(local, "map_id")
-    return j.select("map_id", "node_id", F.when(F.col("local"), F.col("local_x")).otherwise(F.col("lon")).alias("x"), F.when(F.col("local"), F.col("local_y")).otherwise(F.col("lat")).alias("y"), F.when(F.col("local"), "local").otherwise("geographic").alias("mode"))
+    means = used.groupBy("map_id").agg(F.bool_and(F.col("local_x").isNotNull() & F.col("local_y").isNotNull()).alias("local"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    zone = F.least(F.greatest(F.floor((F.col("lon") + 180) / 6) + 1, F.lit(1)), F.lit(60)).cast("int")
+    code = F.when(F.col("lat") < 0, 32700).otherwise(32600) + zone
+    return means.select("map_id", "local", zone.alias("zone"), (F.col("lat") < 0).alias("south"), F.when(F.col("local"), "local").otherwise(F.concat(F.lit("utm_epsg_"), code.cast("string"))).alias("mode"))
+
+
+def coordinates(m: MapTables) -> DataFrame:
+    """(map_id, node_id, x, y, mode): metres of every node that has them in its map's frame."""
+    j = m.node.join(frames(m), "map_id")  # a row for each map
+    # all of a map in one hemisphere's northing, whichever side of the equator a node is on
+    east, north = P.utm(F.col("lon"), F.col("lat"), F.col("zone"))
+    north = north - F.when(F.col("lat") < 0, 10000000.0).otherwise(0.0) + F.when(F.col("south"), 10000000.0).otherwise(0.0)
+    out = j.select("map_id", "node_id", F.when(F.col("local"), F.col("local_x")).otherwise(east).alias("x"), F.when(F.col("local"), F.col("local_y")).otherwise(north).alias("y"), "mode")
+    return out.where("x is not null and y is not null")
 
 
 def missing_nodes(m: MapTables) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers: maps of nodes, ways and relations as ordered XML text, a folder for each map; raster metadata as JSON."""
+"""Writers: maps of nodes, ways and relations as ordered XML text, a folder for each map."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def escaped(text: Column) -> Column:
 
 
 def _tags(tags: Column) -> Column:
-    entries = F.array_sort(F.map_entries(F.coalesce(tags, F.create_map().cast("map<string,string>"))))
+    entries = F.map_entries(F.coalesce(tags, F.create_map().cast("map<string,string>")))  # in the order of the source
     return F.array_join(F.transform(entries, lambda e: F.concat(F.lit('<tag k="'), escaped(e["key"]), F.lit('" v="'), escaped(e["value"]), F.lit('"/>'))), "")
 
 
