@@ -152,3 +152,40 @@ def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
         east = east + v * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + v * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000.0 + 0.9996 * radius * east, F.when(lat < 0, 10000000.0).otherwise(0.0) + 0.9996 * radius * north
+
+
+def normal_hit(line: Column, x: Column, y: Column, nx: Column, ny: Column) -> Column:
+    """Signed distance along a normal from (x, y) to where it meets the line, the nearest of several (of equal ones the right); null if none."""
+
+    def station(e: Column) -> Column:
+        # along the direction that the normal stands on
+        a, b = (e["x0"] - x) * ny - (e["y0"] - y) * nx, (e["x1"] - x) * ny - (e["y1"] - y) * nx
+        u = F.when(a != b, a / (a - b))
+        met = u.between(0, 1)
+        return F.when(met, (e["x0"] - x + u * (e["x1"] - e["x0"])) * nx + (e["y0"] - y + u * (e["y1"] - e["y0"])) * ny)
+
+    hits = F.filter(F.transform(segments(line), station), lambda t: t.isNotNull())
+    nearest = F.array_min(F.transform(hits, lambda t: F.struct(F.round(F.abs(t), 6).alias("far"), t.alias("t"))))
+    return nearest["t"]
+
+
+def local_hit(line: Column, x: Column, y: Column, nx: Column, ny: Column) -> Column:
+    """normal_hit, but null where it lies on a remote part: over 4 times the line's own distance plus 0.5 away, and over 2."""
+    t = normal_hit(line, x, y, nx, ny)
+    return F.when(F.abs(t) <= F.greatest(F.lit(2.0), 4.0 * project(line, x, y)["distance"] + 0.5), t)
+
+
+def section_width(left: Column, right: Column, x: Column, y: Column, nx: Column, ny: Column) -> Column:
+    """Distance between where a normal meets two boundaries; null where it misses one."""
+    return F.abs(normal_hit(left, x, y, nx, ny) - normal_hit(right, x, y, nx, ny))
+
+
+def points_at(line: Column, stations: Column) -> Column:
+    """The points at an array of distances along the line."""
+    return F.transform(stations, lambda s: point_at(line, s))
+
+
+def geographic_distance(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
+    """Metres between two near places, by the scale at their mean latitude."""
+    middle = F.radians((lat0 + lat1) / 2)
+    return F.hypot((lon0 - lon1) * ROUND_TRIP_METRES[0] * F.cos(middle), (lat0 - lat1) * ROUND_TRIP_METRES[1])

@@ -39,3 +39,33 @@ def missing_edges(source: DataFrame, target: DataFrame, mapping: DataFrame) -> D
     ends = source.join(mapping.toDF("src", "to_src"), "src").join(mapping.toDF("dst", "to_dst"), "dst")
     there = target.select(F.col("src").alias("to_src"), F.col("dst").alias("to_dst"), "role")
     return ends.join(there, ["to_src", "to_dst", "role"], "left_anti").select("src", "dst", "role")
+
+
+def inventory(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(map_id, expected, actual, missing, extra, status) of lane keys (map_id, key): FAIL without any lane or with missing ones, WARN with keys
+    that the source hasn't, or with far fewer lanes than it has."""
+    s, t = source.distinct().withColumn("s", F.lit(1)), target.distinct().withColumn("t", F.lit(1))
+    c = s.join(t, ["map_id", "key"], "full").groupBy("map_id").agg(F.count("s").alias("expected"), F.count("t").alias("actual"), F.count_if(F.col("t").isNull()).alias("missing"), F.count_if(F.col("s").isNull()).alias("extra"))
+    few = F.col("actual") < F.greatest(F.lit(1), F.floor(F.col("expected") * 0.35))
+    status = F.when((F.col("expected") > 0) & (F.col("actual") == 0), "FAIL").when(F.col("missing") > 0, "FAIL").when((F.col("extra") > 0) | few, "WARN").otherwise("PASS")
+    return c.withColumn("status", status)
+
+
+def link_integrity(links: DataFrame, roads: DataFrame, others: DataFrame) -> DataFrame:
+    """(road, links, unresolved, status) of links(road, other): FAIL where one names a road that isn't there."""
+    known = links.join(roads.distinct().withColumn("k", F.lit(True)), "road", "left").join(others.distinct().withColumn("o", F.lit(True)), "other", "left")
+    lost = F.col("k").isNull() | F.col("o").isNull()
+    c = known.groupBy("road").agg(F.count("*").alias("links"), F.count_if(lost).alias("unresolved"))
+    return c.withColumn("status", F.when(F.col("unresolved") > 0, "FAIL").otherwise("PASS"))
+
+
+def carriers(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(map_id, categories, missing, status) of (map_id, category): WARN where a category of the source has nothing in the target."""
+    s, t = source.select("map_id", "category").distinct(), target.select("map_id", "category").distinct().withColumn("t", F.lit(True))
+    c = s.join(t, ["map_id", "category"], "left").groupBy("map_id").agg(F.count("*").alias("categories"), F.count_if(F.col("t").isNull()).alias("missing"))
+    return c.withColumn("status", F.when(F.col("missing") > 0, "WARN").otherwise("PASS"))
+
+
+def graded(found: Column, expected: Column) -> Column:
+    """PASS when all is found, WARN from 95 %, else FAIL."""
+    return F.when(found >= expected, "PASS").when(found >= 0.95 * expected, "WARN").otherwise("FAIL")

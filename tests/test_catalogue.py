@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from roadloom.plans import catalogue, catalogue_more, catalogue_roads  # noqa: F401
+from roadloom.plans import catalogue, catalogue_lanes, catalogue_more, catalogue_roads, catalogue_rounds  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

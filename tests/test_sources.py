@@ -86,6 +86,32 @@ def test_road_tables(spark, tmp_path):
     assert {(r.src, r.dst) for r in opendrive.lane_edges(t).collect()} == {("r1|0|-1", "r1|1|-1"), ("r1|1|1", "r1|0|1"), ("r1|1|-1", "r2|0|-2"), ("r1|1|-1", "r2|0|-1")}
 
 
+JOINED = """<?xml version="1.0"?><OpenDRIVE>
+<road id="a" length="9" junction="-1"><link><predecessor elementType="junction" elementId="J"/></link><lanes><laneSection s="0"><right><lane id="-1" type="driving"/></right><left><lane id="2" type="driving"/></left></laneSection><laneSection s="5"><right><lane id="-1" type="driving"><link><predecessor id="-1"/></link></lane></right></laneSection></lanes></road>
+<road id="b" length="9" junction="J"><link><predecessor elementType="road" elementId="a" contactPoint="end"/></link><lanes><laneSection s="0"><right><lane id="-1" type="driving"><link><predecessor id="-1"/></link></lane></right></laneSection></lanes></road>
+<road id="c" length="9" junction="J"><lanes><laneSection s="0"><left><lane id="1" type="driving"/></left></laneSection><laneSection s="5"><left><lane id="1" type="driving"/></left></laneSection></lanes></road>
+<junction id="J"><connection id="0" incomingRoad="a" connectingRoad="b" contactPoint="start"><laneLink from="2" to="-1"/></connection><connection id="1" incomingRoad="a" connectingRoad="c" contactPoint="end"><laneLink from="2" to="1"/></connection></junction></OpenDRIVE>"""
+
+
+def test_lane_edges_by_contact(spark, tmp_path):
+    """Predecessor links, an incoming road that meets the junction by its start, and connecting roads met by their end."""
+    t = opendrive.read(spark, put(tmp_path, "j.xodr", JOINED))
+    want = {("a|0|-1", "a|1|-1"), ("a|1|-1", "b|0|-1"), ("a|0|2", "b|0|-1"), ("a|0|2", "c|1|1")}
+    assert {(r.src, r.dst) for r in opendrive.lane_edges(t).collect()} == want
+    assert {(r.src, r.dst) for r in opendrive.lane_edges(t, left_hand=True).collect()} == {(b, a) for a, b in want}
+
+
+def test_degrees_become_metres(spark, tmp_path):
+    """A map without local coordinates is projected to the zone of its mean longitude; a degree of latitude is some 111 km."""
+    text = """<?xml version="1.0"?><osm><node id="1" lat="48.0" lon="11.0"/><node id="2" lat="48.001" lon="11.0"/><node id="3" lat="-0.001" lon="9.0"/><way id="7"><nd ref="1"/><nd ref="2"/></way></osm>"""
+    got = {r.node_id: r for r in osm.coordinates(osm.read(spark, put(tmp_path, "g.osm", text))).collect()}
+    assert got["1"]["mode"] == "utm_epsg_32632" and abs(got["1"].x - 649224) < 5000 and abs(got["1"].y - 5318000) < 5000
+    assert abs(((got["2"].x - got["1"].x) ** 2 + (got["2"].y - got["1"].y) ** 2) ** 0.5 - 111.2) < 0.3
+    assert abs(got["3"].y + 110.5) < 1 and abs(got["3"].x - 500000) < 1  # one northing for the whole map
+    south = text.replace("48.0", "-33.0").replace("-33.001", "-33.001")
+    assert {r["mode"] for r in osm.coordinates(osm.read(spark, put(tmp_path, "s.osm", south))).collect()} == {"utm_epsg_32732"}
+
+
 def test_folder_stream_records_a_file_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in", "a.osm", MAP)
