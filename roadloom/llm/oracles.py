@@ -67,3 +67,19 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items
 FROM d LEFT JOIN p USING (r) LEFT JOIN f USING (r) LEFT JOIN np USING (r) LEFT JOIN nf USING (r)
 """
+
+#: Every window of 100 bytes by its digest; bytes as hexadecimal digits.
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(greatest(n - 99, 0))) AS p FROM d)),
+f AS (SELECT k, min(CAST(doc_id AS HUGEINT) * 4294967296 + p) AS first FROM w GROUP BY k HAVING count(*) > 1),
+l AS (SELECT doc_id, p FROM w JOIN f USING (k) WHERE CAST(doc_id AS HUGEINT) * 4294967296 + p <> first),
+m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM l),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM m),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, g),
+c AS (SELECT doc_id, b - a AS size, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM s),
+r AS (SELECT doc_id, sum(size) AS n_removed, count(*) AS n_spans, max(a + size) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""

@@ -11,7 +11,7 @@ import corpus_pipeline
 from roadloom.llm.common import load
 from roadloom.llm.decontaminate import decontaminate
 from roadloom.llm.near_dup import near_duplicates
-from roadloom.llm.oracles import NEAR_DUPLICATES, PASSAGES
+from roadloom.llm.oracles import NEAR_DUPLICATES, PASSAGES, REPEATS
 from roadloom.llm.packing import packed
 from roadloom.llm.quality_rules import ORACLE as QUALITY_SQL
 from roadloom.llm.quality_rules import quality
@@ -83,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": REPEATS,
     "op2_warc": WARC_SQL,
     "op4_quality_rules": QUALITY_SQL,
     "op5_snapshot_collapse": SNAPSHOT_SQL,
