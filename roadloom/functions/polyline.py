@@ -26,9 +26,9 @@ def length(line: Column) -> Column:
     return F.aggregate(segments(line), F.lit(0.0), lambda s, e: s + e["d"])
 
 
-def point_at(line: Column, s: Column) -> Column:
-    """The point at distance s along the line, its ends beyond; one walk over the segments."""
-    first = F.struct(F.lit(0.0).alias("done"), line[0]["x"].alias("x"), line[0]["y"].alias("y"))
+def _along(segs: Column, first: Column, s: Column) -> Column:
+    """The point at distance s along segments, their ends beyond; one walk over them."""
+    start = F.struct(F.lit(0.0).alias("done"), first["x"].alias("x"), first["y"].alias("y"))
 
     def step(a: Column, e: Column) -> Column:
         t = F.when(e["d"] > 0, F.least(F.greatest((s - a["done"]) / e["d"], F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
@@ -39,12 +39,22 @@ def point_at(line: Column, s: Column) -> Column:
             F.when(moved, e["y0"] + t * (e["y1"] - e["y0"])).otherwise(a["y"]).alias("y"),
         )
 
-    return F.aggregate(segments(line), first, step, lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y")))
+    return F.aggregate(segs, start, step, lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y")))
+
+
+def point_at(line: Column, s: Column) -> Column:
+    """The point at distance s along the line, its ends beyond."""
+    return _along(segments(line), line[0], s)
+
+
+def points_at(line: Column, stations: Column) -> Column:
+    """The points at an array of distances along the line; its segments are built once for all of them."""
+    return F.transform(F.array(segments(line)), lambda segs: F.transform(stations, lambda s: _along(segs, line[0], s)))[0]
 
 
 def resample(line: Column, total: Column, n: int) -> Column:
     """n points at equal distances along the line, ends included; total: its length."""
-    return F.transform(F.array(*[F.lit(k) for k in range(n)]), lambda k: point_at(line, total * k / (n - 1)))
+    return points_at(line, F.transform(F.array(*[F.lit(float(k)) for k in range(n)]), lambda k: total * k / (n - 1)))
 
 
 def project(line: Column, x: Column, y: Column) -> Column:
@@ -180,11 +190,6 @@ def section_width(left: Column, right: Column, x: Column, y: Column, nx: Column,
     return F.abs(normal_hit(left, x, y, nx, ny) - normal_hit(right, x, y, nx, ny))
 
 
-def points_at(line: Column, stations: Column) -> Column:
-    """The points at an array of distances along the line."""
-    return F.transform(stations, lambda s: point_at(line, s))
-
-
 def geographic_distance(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
     """Metres between two near places, by the scale at their mean latitude."""
     middle = F.radians((lat0 + lat1) / 2)

@@ -449,7 +449,12 @@ def local_projection(spark, sf):
     return g.select("node_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), F.round(y2, 4).alias("y_round_trip"))
 
 
-@query()
+@query("""g AS (SELECT node_id, 11.0::DOUBLE + x / 1000 AS lon, 48.0::DOUBLE + y / 10000 AS lat FROM b_node), z AS (SELECT (floor((avg(lon) + 180) / 6) + 1) * 6 - 183 AS mid FROM g),
+c AS (SELECT 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n), k AS (SELECT n, 6378137.0::DOUBLE / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS radius, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3, 2 * sqrt(n) / (1 + n) AS e FROM c),
+t AS (SELECT node_id, lat, radians(lon - mid) AS lam, sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t, radius, a1, a2, a3 FROM g, z, k),
+x AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT node_id, round(500000 + 0.9996 * radius * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS east,
+  round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + 0.9996 * radius * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS north FROM x""")
 def utm_projection(spark, sf):
     """Easting and northing of all nodes in the zone of their mean longitude."""
     g = B.nodes(spark, sf).select("node_id", (F.lit(11.0) + F.col("x") / 1000).alias("lon"), (F.lit(48.0) + F.col("y") / 10000).alias("lat"))
