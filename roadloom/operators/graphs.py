@@ -59,6 +59,6 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     known = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops"))
     front = known
     for k in range(1, hops + 1):
-        front = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct().join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k))
+        front = written(front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("seed", F.col("dst").alias("node")).distinct().join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(k)))
         known = known.unionByName(front)
     return known

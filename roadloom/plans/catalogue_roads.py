@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import polyline as P
 from roadloom.operators import graphs as G
 from roadloom.operators import joins as J
+from roadloom.operators import lanes as L
 from roadloom.operators import quality as Q
 from roadloom.operators.storage import written
 from roadloom.plans import bridge as B
@@ -170,7 +171,10 @@ SELECT map_id, kind, status, CAST(missing AS BIGINT) AS missing, CAST(row_number
 def issue_index(spark, sf):
     """What isn't a pass, ranked within its status by what is missing."""
     r = coverage_rows(spark, sf).where("status <> 'PASS'").select("map_id", "kind", "status", (F.col("expected") - F.col("found")).alias("missing"))
-    return r.withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy(F.desc("missing"), "map_id", "kind")))
+    # one order of all issues, by ranges; a status begins where its least place is
+    placed = L.numbered(r, [F.col("status"), F.desc("missing"), F.col("map_id"), F.col("kind")])
+    begins = placed.groupBy("status").agg(F.min("place").alias("begin"))
+    return placed.join(F.broadcast(begins), "status").select("map_id", "kind", "status", "missing", (F.col("place") - F.col("begin") + 1).cast("int").alias("place"))
 
 
 @query(_COUNTS + """, m AS (SELECT map_id, max(CASE status WHEN 'FAIL' THEN 3 WHEN 'WARN' THEN 2 WHEN 'PASS' THEN 1 ELSE 0 END) AS r FROM s GROUP BY map_id)

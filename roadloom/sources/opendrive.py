@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roadloom.functions import polyline as P
 from roadloom.sources.osm import map_id_of
 
 _LINK = "struct<_elementType: string, _elementId: string, _contactPoint: string>"
@@ -16,6 +17,8 @@ ROAD = (
     "planView struct<geometry: array<struct<_s: double, _x: double, _y: double, _hdg: double, _length: double, line: string, arc: struct<_curvature: double>, "
     "spiral: struct<_curvStart: double, _curvEnd: double>, poly3: struct<_a: double, _b: double, _c: double, _d: double>, "
     "paramPoly3: struct<_aU: double, _bU: double, _cU: double, _dU: double, _aV: double, _bV: double, _cV: double, _dV: double, _pRange: string>>>>, "
+    "elevationProfile struct<elevation: array<struct<_s: double, _a: double, _b: double, _c: double, _d: double>>>, "
+    "lateralProfile struct<superelevation: array<struct<_s: double, _a: double, _b: double, _c: double, _d: double>>>, "
     f"lanes struct<laneOffset: array<struct<_s: double, _a: double, _b: double, _c: double, _d: double>>, laneSection: array<struct<_s: double, left: struct<lane: {_LANE}>, center: struct<lane: {_LANE}>, right: struct<lane: {_LANE}>>>>, "
     "signals struct<signal: array<struct<_id: string, _s: double, _t: double, _type: string, _subtype: string, _country: string, _orientation: string, _value: double, _unit: string, validity: array<struct<_fromLane: int, _toLane: int>>>>>, "
     "objects struct<object: array<struct<_id: string, _type: string, _s: double, _t: double, _hdg: double, outline: struct<cornerLocal: array<struct<_u: double, _v: double, _z: double>>>>>>"
@@ -32,6 +35,7 @@ class RoadTables:
     signal: DataFrame
     object: DataFrame
     junction_link: DataFrame
+    profile: DataFrame
 
 
 def read(spark: SparkSession, path: str) -> RoadTables:
@@ -58,7 +62,12 @@ def read(spark: SparkSession, path: str) -> RoadTables:
     # a direct junction names the linked road instead of a connecting one
     link = c.select("map_id", "junction_id", F.col("c._incomingRoad").alias("incoming"), F.coalesce("c._connectingRoad", "c._linkedRoad").alias("connecting"), F.col("c._contactPoint").alias("contact"), F.explode("c.laneLink").alias("ll"))
     link = link.select("map_id", "junction_id", "incoming", "connecting", "contact", F.col("ll._from").alias("from_lane"), F.col("ll._to").alias("to_lane"))
-    return RoadTables(road, geometry, lane.drop("widths"), width, signal, object_, link)
+    # records of a road along s, cubic in the distance from their start
+    profile = None
+    for kind, records in (("lane_offset", "lanes.laneOffset"), ("elevation", "elevationProfile.elevation"), ("superelevation", "lateralProfile.superelevation")):
+        one = r.select("map_id", "road_id", F.lit(kind).alias("kind"), F.posexplode(records).alias("pos", "p")).select("map_id", "road_id", "kind", "pos", *[F.col(f"p._{c}").alias(c) for c in "sabcd"])
+        profile = one if profile is None else profile.unionAll(one)
+    return RoadTables(road, geometry, lane.drop("widths"), width, signal, object_, link, profile)
 
 
 def numbered(ids: DataFrame, by: str = "map_id", column: str = "road_id") -> DataFrame:
@@ -108,3 +117,41 @@ def lane_edges(t: RoadTables, left_hand: bool = False) -> DataFrame:
     junction = j.select("map_id", F.when(at_start, F.col("to_lane") > 0).otherwise(F.col("to_lane") < 0).alias("back"), key(F.col("incoming"), section, F.col("from_lane")).alias("a"), key(F.col("connecting"), F.when(at_start, F.lit(0)).otherwise(F.col("c_last")), F.col("to_lane")).alias("b"))
     back = F.col("back") != F.lit(left_hand)
     return edges.unionAll(junction).select("map_id", F.when(back, F.col("b")).otherwise(F.col("a")).alias("src"), F.when(back, F.col("a")).otherwise(F.col("b")).alias("dst")).distinct()
+
+
+def lane_borders(t: RoadTables, step: float = 0.5) -> DataFrame:
+    """(map_id, road_id, section, lane_id, s, inner, outer, x_inner, y_inner, x_outer, y_outer): borders of lanes at stations of a grid.
+
+    A section has max(3, ceil(length / step)) stations from its start to its end. inner and outer are distances to the left of the reference
+    line: the lane offset there, plus the widths of the lanes between. Places are for lines and arcs; other geometry has null ones.
+    """
+    by = Window.partitionBy("map_id", "road_id").orderBy("section")
+    section = t.lane.select("map_id", "road_id", "section", "s", "road_length").distinct().withColumn("end", F.coalesce(F.lead("s").over(by), F.col("road_length")))
+    n = F.greatest(F.lit(3), F.ceil((F.col("end") - F.col("s")) / step).cast("int"))
+    grid = section.where("end > s").withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    grid = grid.select("map_id", "road_id", "section", F.col("s").alias("start"), "k", (F.col("s") + (F.col("end") - F.col("s")) * F.col("k") / (F.col("n") - 1)).alias("s"))
+    station = ["map_id", "road_id", "section", "k"]
+    lanes = t.lane.where("lane_id <> 0").select("map_id", "road_id", "section", "lane_id")
+    # the last record that starts at or before a station, as an aggregate over the few of its lane or road
+    records = t.width.select("map_id", "road_id", "section", "lane_id", F.struct("s_offset", "a", "b", "c", "d").alias("w"))
+    at = F.col("s") - F.col("start")
+    active = F.max(F.when(F.col("w.s_offset") <= at + 1e-9, F.col("w")))
+    held = grid.join(lanes, ["map_id", "road_id", "section"]).join(records, ["map_id", "road_id", "section", "lane_id"], "left").groupBy(*station, "lane_id", "start", "s").agg(active.alias("w"))
+    width = F.greatest(F.coalesce(P.cubic(at - F.col("w.s_offset"), *(F.col(f"w.{c}") for c in "abcd")), F.lit(0.0)), F.lit(0.0))
+    side = F.signum("lane_id").cast("int")
+    outward = Window.partitionBy(*station, "side").orderBy(F.abs("lane_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wide = held.withColumn("side", side).withColumn("width", width).withColumn("out", F.sum("width").over(outward))
+    offsets = t.profile.where("kind = 'lane_offset'").select("map_id", "road_id", F.struct("s", "a", "b", "c", "d").alias("o"))
+    o = grid.join(offsets, ["map_id", "road_id"], "left").groupBy(*station).agg(F.max(F.when(F.col("o.s") <= F.col("s") + 1e-9, F.col("o"))).alias("o"), F.first("s").alias("at"))
+    o = o.select(*station, F.coalesce(P.cubic(F.col("at") - F.col("o.s"), *(F.col(f"o.{c}") for c in "abcd")), F.lit(0.0)).alias("offset"))
+    g = t.geometry.select("map_id", "road_id", F.struct("s", "x", "y", "hdg", "kind", "curvature").alias("g"))
+    placed = grid.join(g, ["map_id", "road_id"], "left").groupBy(*station).agg(F.max(F.when(F.col("g.s") <= F.col("s") + 1e-9, F.col("g"))).alias("g"), F.first("s").alias("at"))
+    bend = F.when(F.col("g.kind") == "line", 0.0).when(F.col("g.kind") == "arc", F.col("g.curvature"))
+    along = F.col("at") - F.col("g.s")
+    placed = placed.select(*station, P.arc(F.col("g.x"), F.col("g.y"), F.col("g.hdg"), bend, along).alias("p"), (F.col("g.hdg") + bend * along).alias("heading"), bend.alias("bend"))
+    j = wide.join(o, station).join(placed, station)
+    outer = F.col("offset") + F.col("side") * F.col("out")
+    inner = outer - F.col("side") * F.col("width")
+    j = j.withColumn("inner", inner).withColumn("outer", outer)
+    place = lambda v, c: F.when(F.col("bend").isNotNull(), F.col(f"p.{c}") + F.col(v) * (-F.sin("heading") if c == "x" else F.cos("heading")))
+    return j.select("map_id", "road_id", "section", "lane_id", "s", "inner", "outer", *[place(v, c).alias(f"{c}_{v}") for v in ("inner", "outer") for c in ("x", "y")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.functions import polyline as P
 from roadloom.sources.osm import MapTables
 
 #: Longest tag value in bytes of UTF-8; longer values of metadata are cut into numbered tags.
@@ -44,6 +45,58 @@ def write_osm(m: MapTables, path: str) -> None:
     lines.repartition("map_id").sortWithinPartitions("map_id", "kind", "temporary", "number", "id").select("map_id", "value").write.partitionBy("map_id").mode("overwrite").text(path)
 
 
+def _number(value: Column) -> Column:
+    return F.coalesce(value, F.lit(0.0)).cast("double").cast("string")
+
+
+def road_lines(roads: DataFrame) -> DataFrame:
+    """(map_id, road_id, value): a road element for each of roads(map_id, road_id, junction, line array<struct<x, y>>, lanes
+    array<struct<id, type, width>>, pred_type, pred_id, pred_contact, succ_type, succ_id, succ_contact), children in the order of the schema.
+
+    Plan view: a line record for each segment that has a length. Lanes of one section, positive ids on the left, each with one width.
+    """
+    segs = F.filter(P.segments(F.col("line")), lambda e: e["d"] > 0)
+    start = F.expr("cast(array() as array<struct<s: double, e: struct<x0: double, y0: double, x1: double, y1: double, d: double>>>)")
+    reached = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, -1)["s"] + F.element_at(acc, -1)["e"]["d"]).otherwise(0.0)
+    placed = F.aggregate("segs", start, lambda acc, e: F.concat(acc, F.array(F.struct(reached(acc).alias("s"), e.alias("e")))))
+    rows = roads.withColumn("segs", segs).withColumn("placed", placed).withColumn("length", F.aggregate("segs", F.lit(0.0), lambda a, e: a + e["d"]))
+    record = lambda g: F.concat(F.lit('<geometry s="'), _number(g["s"]), F.lit('" x="'), _number(g["e"]["x0"]), F.lit('" y="'), _number(g["e"]["y0"]), F.lit('" hdg="'), _number(F.atan2(g["e"]["y1"] - g["e"]["y0"], g["e"]["x1"] - g["e"]["x0"])), F.lit('" length="'), _number(g["e"]["d"]), F.lit('"><line/></geometry>'))
+    lane = lambda l: F.concat(F.lit('<lane id="'), l["id"].cast("string"), F.lit('" type="'), escaped(l["type"]), F.lit('" level="false"><width sOffset="0" a="'), _number(l["width"]), F.lit('" b="0" c="0" d="0"/></lane>'))
+
+    def side(name: str, keep) -> Column:
+        ordered = F.reverse(F.array_sort(F.filter("lanes", keep)))  # from the left: ids descend
+        return F.when(F.size(ordered) > 0, F.concat(F.lit(f"<{name}>"), F.array_join(F.transform(ordered, lane), ""), F.lit(f"</{name}>"))).otherwise("")
+
+    def link(name: str, short: str) -> Column:
+        contact = F.when(F.col(f"{short}_contact").isNotNull(), F.concat(F.lit(' contactPoint="'), escaped(F.col(f"{short}_contact")), F.lit('"'))).otherwise("")
+        return F.when(F.col(f"{short}_id").isNotNull(), F.concat(F.lit(f'<{name} elementType="'), escaped(F.coalesce(f"{short}_type", F.lit("road"))), F.lit('" elementId="'), escaped(F.col(f"{short}_id")), F.lit('"'), contact, F.lit("/>"))).otherwise("")
+
+    value = F.concat(
+        F.lit('<road name="" length="'), _number(F.col("length")), F.lit('" id="'), escaped(F.col("road_id")), F.lit('" junction="'), escaped(F.coalesce("junction", F.lit("-1"))), F.lit('"><link>'),
+        link("predecessor", "pred"), link("successor", "succ"), F.lit("</link><planView>"), F.array_join(F.transform("placed", record), ""),
+        F.lit('</planView><lanes><laneSection s="0">'), side("left", lambda l: l["id"] > 0), F.lit('<center><lane id="0" type="none" level="false"/></center>'), side("right", lambda l: l["id"] < 0), F.lit("</laneSection></lanes></road>"),
+    )
+    return rows.select("map_id", "road_id", value.alias("value"))
+
+
+def junction_lines(connections: DataFrame) -> DataFrame:
+    """(map_id, junction_id, value) of connections(map_id, junction_id, incoming, connecting, contact, from_lane, to_lane)."""
+    links = connections.groupBy("map_id", "junction_id", "incoming", "connecting", "contact").agg(F.array_sort(F.collect_set(F.struct("from_lane", "to_lane"))).alias("links"))
+    one = lambda l: F.concat(F.lit('<laneLink from="'), l["from_lane"].cast("string"), F.lit('" to="'), l["to_lane"].cast("string"), F.lit('"/>'))
+    listed = links.groupBy("map_id", "junction_id").agg(F.array_sort(F.collect_list(F.struct("incoming", "connecting", "contact", "links"))).alias("c"))
+    element = lambda c, k: F.concat(F.lit('<connection id="'), k.cast("string"), F.lit('" incomingRoad="'), escaped(c["incoming"]), F.lit('" connectingRoad="'), escaped(c["connecting"]), F.lit('" contactPoint="'), escaped(c["contact"]), F.lit('">'), F.array_join(F.transform(c["links"], one), ""), F.lit("</connection>"))
+    value = F.concat(F.lit('<junction id="'), escaped(F.col("junction_id")), F.lit('" name="">'), F.array_join(F.transform("c", element), ""), F.lit("</junction>"))
+    return listed.select("map_id", "junction_id", value.alias("value"))
+
+
+def write_opendrive(roads: DataFrame, connections: DataFrame, path: str) -> None:
+    """Each map as one XML file in path/map_id=.../: header, roads, junctions, by their ids."""
+    body = road_lines(roads).select("map_id", F.lit(1).alias("kind"), F.col("road_id").alias("id"), "value").unionAll(junction_lines(connections).select("map_id", F.lit(2).alias("kind"), F.col("junction_id").alias("id"), "value"))
+    head = '<?xml version="1.0" encoding="UTF-8"?><OpenDRIVE><header revMajor="1" revMinor="4" name="" version="1.00"/>'
+    edge = body.select("map_id").distinct().select("map_id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.lit(head).alias("value")), F.struct(F.lit(9).alias("kind"), F.lit("</OpenDRIVE>").alias("value")))).alias("e")).select("map_id", "e.kind", F.lit("").alias("id"), "e.value")
+    body.unionAll(edge).repartition("map_id").sortWithinPartitions("map_id", "kind", "id").select("map_id", "value").write.partitionBy("map_id").mode("overwrite").text(path)
+
+
 def chunked_tag(key: Column, value: Column) -> Column:
     """A metadata value over MOST_TAG_BYTES bytes as numbered tags key:0, key:1, ...: an array of entries."""
     size = 60  # characters of at most 4 bytes stay under the bound

@@ -101,6 +101,39 @@ def test_lane_edges_by_contact(spark, tmp_path):
     assert {(r.src, r.dst) for r in opendrive.lane_edges(t, left_hand=True).collect()} == {(b, a) for a, b in want}
 
 
+def test_profiles_and_borders(spark, tmp_path):
+    text = ROADS.replace('<lanes><laneSection s="0"><left>', '<elevationProfile><elevation s="0" a="5" b="0.1" c="0" d="0"/></elevationProfile><lateralProfile><superelevation s="3" a="0.01" b="0" c="0" d="0"/></lateralProfile><lanes><laneOffset s="0" a="0" b="0" c="0" d="0"/><laneOffset s="10" a="1" b="0" c="0" d="0"/><laneSection s="0"><left>')
+    t = opendrive.read(spark, put(tmp_path, "p.xodr", text))
+    assert {(r.road_id, r.kind, r.s, r.a, r.b) for r in t.profile.collect()} == {("r1", "lane_offset", 0, 0, 0), ("r1", "lane_offset", 10, 1, 0), ("r1", "elevation", 0, 5, 0.1), ("r1", "superelevation", 3, 0.01, 0)}
+    rows = opendrive.lane_borders(t, 5.0).where("road_id = 'r1' and section = 0").collect()
+    got = {(r.lane_id, round(r.s, 6)): r for r in rows}
+    stations = sorted({s for _, s in got})
+    assert len(stations) == 10 and stations[0] == 0 and stations[-1] == 50
+    first, late = got[-1, 0.0], got[-1, stations[-1]]
+    assert (first.inner, first.outer) == (0, -3) and (first.x_outer, first.y_outer) == (0, -3)
+    assert (late.inner, late.outer) == (1, -3)  # an offset of 1 from s = 10, a width of 4 from s = 5
+    assert (got[1, 0.0].inner, got[1, 0.0].outer) == (0, 3.5) and got[1, stations[-1]].outer == 4.5
+    assert {(r.inner, r.outer) for r in opendrive.lane_borders(t).where("road_id = 'r2' and lane_id = -2").collect()} == {(0, 0)}  # no width is 0
+
+
+def test_written_roads_read_the_same(spark, tmp_path):
+    line = [(0.0, 0.0), (10.0, 0.0), (10.0, 0.0), (10.0, 5.0)]
+    roads = spark.createDataFrame(
+        [("m", "a", None, line, [(-1, "driving", 3.5), (-2, "shoulder", 1.0), (1, "driving", 3.0)], None, None, None, "junction", "J", None), ("m", "b", "J", line[:2], [(-1, "driving", 3.0)], "road", "a", "end", None, None, None)],
+        "map_id string, road_id string, junction string, line array<struct<x: double, y: double>>, lanes array<struct<id: int, type: string, width: double>>, pred_type string, pred_id string, pred_contact string, succ_type string, succ_id string, succ_contact string",
+    )
+    links = spark.createDataFrame([("m", "J", "a", "b", "start", -1, -1)], "map_id string, junction_id string, incoming string, connecting string, contact string, from_lane int, to_lane int")
+    writers.write_opendrive(roads, links, str(tmp_path / "out"))
+    (file,) = glob.glob(str(tmp_path / "out/map_id=m/*.txt"))
+    t = opendrive.read(spark, file)
+    assert {(r.road_id, r.length, r.junction, r.pred_id, r.pred_contact, r.succ_type) for r in t.road.collect()} == {("a", 15.0, None, None, None, "junction"), ("b", 10.0, "J", "a", "end", None)}
+    assert [(r.s, r.x, r.y, round(r.hdg, 6), r.length) for r in t.geometry.where("road_id = 'a'").orderBy("pos").collect()] == [(0, 0, 0, 0, 10), (10, 10, 0, 1.570796, 5)]
+    assert {(r.road_id, r.lane_id, r.a) for r in t.width.collect()} == {("a", -1, 3.5), ("a", -2, 1.0), ("a", 1, 3.0), ("b", -1, 3.0)}
+    assert {(r.src, r.dst) for r in opendrive.lane_edges(t).collect()} == {("a|0|-1", "b|0|-1")}
+    text = open(file, encoding="utf-8").read()
+    assert text.index("<link>") < text.index("<planView>") < text.index("<lanes>") < text.index("<junction ")
+
+
 def test_degrees_become_metres(spark, tmp_path):
     """A map without local coordinates is projected to the zone of its mean longitude; a degree of latitude is some 111 km."""
     text = """<?xml version="1.0"?><osm><node id="1" lat="48.0" lon="11.0"/><node id="2" lat="48.001" lon="11.0"/><node id="3" lat="-0.001" lon="9.0"/><way id="7"><nd ref="1"/><nd ref="2"/></way></osm>"""
