@@ -94,7 +94,7 @@ def turn_degrees(before: Column, after: Column) -> Column:
     return F.when(turned == -180.0, 180.0).otherwise(turned)
 
 
-def offset(line: Column, d: float) -> Column:
+def offset(line: Column, d: float | Column) -> Column:
     """The parallel line at distance d to the left; corners move along the mean of their segments' normals.
 
     A point that repeats the one before it is left out, as a step without length has no normal."""
