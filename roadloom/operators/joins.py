@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.operators.storage import written
+
 
 def epsilon_join(a: DataFrame, b: DataFrame, a_xy: tuple[str, str], b_xy: tuple[str, str], tolerance: float, keys: list[str] | None = None) -> DataFrame:
     """Pairs of rows within a distance, as an equi-join on grid cells of the tolerance: b is put in its cell and the eight around.
@@ -55,3 +60,61 @@ def merged_intervals(spans: DataFrame, by: str, lo: str, hi: str) -> DataFrame:
     marked = spans.withColumn("_new", F.coalesce(F.col(lo) > reached, F.lit(True)).cast("int"))
     island = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(by, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("parts")).drop("_island")
+
+
+def nearest_any(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_xy: tuple[str, str], b_xy: tuple[str, str], first: float, growth: float = 4.0) -> DataFrame:
+    """(a_id, b_id, distance): the nearest row of b for every row of a, the smaller id of equal distances, sought within growing distances.
+
+    Each round is a join on cells of its distance, of the rows that have found nothing yet; b of no rows gives none.
+    """
+    found, left, reach = None, a.select(a_id, *a_xy), first
+    while not b.isEmpty():
+        near = epsilon_join(left, b.select(b_id, *b_xy), a_xy, b_xy, reach).groupBy(a_id).agg(F.min(F.struct(F.round("distance", 6).alias("distance"), F.col(b_id).alias("id"))).alias("best"))
+        near = written(near.select(a_id, F.col("best.id").alias(b_id), F.col("best.distance").alias("distance")))
+        found = near if found is None else found.unionAll(near)
+        left, reach = written(left.join(near, a_id, "left_anti")), reach * growth
+        if left.isEmpty():
+            break
+    return found if found is not None else left.select(a_id, F.lit(None).cast("long").alias(b_id), F.lit(None).cast("double").alias("distance")).limit(0)
+
+
+def weld(points: DataFrame, tolerance: float) -> DataFrame:
+    """(map_id, id, onto) of points(map_id, id, x, y, z): in the order of ids, a point becomes the least kept one within the tolerance (of place
+    and of height), and is kept if there is none; onto is the id itself for kept points.
+
+    What a point becomes depends on the points before it, so a map's points are one task's.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_pylist()
+        x, y, z = (table.column(c).to_pylist() for c in ("x", "y", "z"))
+        bins: dict[tuple[int, int], list[int]] = {}
+        onto = list(ids)
+        for k in sorted(range(len(ids)), key=ids.__getitem__):
+            cx, cy = math.floor(x[k] / tolerance), math.floor(y[k] / tolerance)
+            near = [o for i in (-1, 0, 1) for j in (-1, 0, 1) for o in bins.get((cx + i, cy + j), ()) if abs(z[k] - z[o]) <= tolerance and math.hypot(x[k] - x[o], y[k] - y[o]) <= tolerance]
+            if near:
+                onto[k] = min(ids[o] for o in near)
+            else:
+                bins.setdefault((cx, cy), []).append(k)
+        return pa.table({"map_id": table.column("map_id"), "id": table.column("id"), "onto": pa.array(onto, table.schema.field("id").type)})
+
+    kept = points.select("map_id", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce(F.col("z").cast("double"), F.lit(0.0)).alias("z"))
+    m, i = (points.schema[c].dataType.simpleString() for c in ("map_id", "id"))
+    return kept.groupBy("map_id").applyInArrow(run, f"map_id {m}, id {i}, onto {i}")
+
+
+def coincident_adjacency(lanes: DataFrame, borders: DataFrame, tolerance: float) -> DataFrame:
+    """(lane, side, other, same_direction): the lane beside each side of lanes(lane, left, right), by borders(border, start_node, end_node, line)
+    that share both end nodes and whose points are within the tolerance, one by one.
+
+    A lane's left border meets a right one drawn alike (same direction) or a left one drawn against it (opposite), and the other way round on
+    the right; of several the same direction and then the least lane is taken.
+    """
+    use = lanes.select("lane", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("border")), F.struct(F.lit("right").alias("side"), F.col("right").alias("border")))).alias("u")).select("lane", "u.side", "u.border").join(borders, "border")
+    a = use.select("lane", "side", "start_node", "end_node", F.col("line").alias("la"))
+    alike = use.select(F.col("lane").alias("other"), F.col("side").alias("their"), "start_node", "end_node", F.col("line").alias("lb"), F.lit(True).alias("same"))
+    against = use.select(F.col("lane").alias("other"), F.col("side").alias("their"), F.col("end_node").alias("start_node"), F.col("start_node").alias("end_node"), F.reverse("line").alias("lb"), F.lit(False).alias("same"))
+    pairs = a.join(alike.unionAll(against), ["start_node", "end_node"]).where("lane <> other").where((F.col("side") == F.col("their")) != F.col("same")).where(F.size("la") == F.size("lb"))
+    close = F.forall(F.zip_with("la", "lb", lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])), lambda d: d <= tolerance)
+    return pairs.where(close).groupBy("lane", "side").agg(F.min(F.struct((~F.col("same")).alias("turned"), "other")).alias("m")).select("lane", "side", "m.other", (~F.col("m.turned")).alias("same_direction"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.functions import frames as FR
 from roadloom.functions import signs as S
 from roadloom.operators import joins as J
 from roadloom.operators import lanes as L
@@ -255,3 +256,47 @@ def coverage_grades(spark, sf):
     """Elements of a source that its target covers: all of them, nearly all, or fewer."""
     c = B.ways(spark, sf).groupBy("map_id", "kind").agg(F.count_if(F.col("way_id") % (F.col("map_id") + 3) > 0).alias("found"), F.count("*").alias("expected"))
     return c.withColumn("status", Q.graded(F.col("found"), F.col("expected")))
+
+
+# --- frames, signs near lanes, borders that coincide ---------------------------------------------
+
+KINDS, NAMES = ["geographic", "projected", "engineering", "geographic", "engineering"], [None, "site", "yard"]
+
+
+@query(f"""f AS (SELECT way_id, map_id, 11 + sx / 1000 AS lon, 48 + sy / 10000 AS lat, {sql_list(KINDS)}[way_id % 5 + 1] AS a, {sql_list(KINDS)}[way_id // 5 % 5 + 1] AS b, {sql_list(NAMES)}[way_id % 3 + 1] AS ia, {sql_list(NAMES)}[map_id % 3 + 1] AS ib FROM b_end),
+h AS (SELECT *, CASE WHEN a = b AND a <> 'engineering' AND ia IS NOT DISTINCT FROM ib THEN 'identity' WHEN a = 'engineering' AND b = 'engineering' AND ia IS NOT DISTINCT FROM ib THEN 'identity' WHEN a = 'geographic' AND b = 'projected' THEN 'project' ELSE 'refused' END AS how FROM f)
+SELECT how, CAST(count(*) AS BIGINT) AS points, round(min(CASE WHEN how = 'identity' THEN lon END), 4) AS least FROM h GROUP BY how""")
+def frame_transform(spark, sf):
+    """How points get from one frame to another, or that there is no way."""
+    w = F.col("way_id")
+    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    frame = lambda kind, name: F.struct(kind.alias("kind"), name.alias("id"), F.lit(32).alias("zone"), F.lit(False).alias("south"))
+    e = B.ends(spark, sf).select((F.lit(11.0) + F.col("sx") / 1000).alias("lon"), (F.lit(48.0) + F.col("sy") / 10000).alias("lat"), frame(of(KINDS, w % 5), of(NAMES, w % 3)).alias("a"), frame(of(KINDS, F.expr("way_id div 5") % 5), of(NAMES, F.col("map_id") % 3)).alias("b"))
+    h = e.select("lon", FR.how(F.col("a"), F.col("b")).alias("how"), FR.transformed(F.col("lon"), F.col("lat"), F.col("a"), F.col("b"), strict=False).alias("p"))
+    return h.groupBy("how").agg(F.count("*").alias("points"), F.round(F.min(F.when(F.col("how") == "identity", F.col("p.x"))), 4).alias("least"))
+
+
+@query("""s AS (SELECT s_suppkey AS sign, s_suppkey % 50 * 10.0::DOUBLE + 1 AS px, s_suppkey % 37 * 10.0::DOUBLE + 2 AS py FROM supplier), d AS (SELECT way_id, sign, round(sqrt((sx - px) ** 2 + (sy - py) ** 2), 6) AS far FROM b_end, s)
+SELECT way_id, arg_min(sign, (far, sign)) AS sign, min(far) AS distance FROM d GROUP BY way_id""")
+def nearest_sign(spark, sf):
+    """The sign nearest to each lane's start, however far."""
+    k = F.col("s_suppkey")
+    s = B.load(spark, sf, "supplier").select(k.alias("sign"), ((k % 50) * F.lit(10.0) + 1).alias("px"), ((k % 37) * F.lit(10.0) + 2).alias("py"))
+    return J.nearest_any(B.ends(spark, sf).select("way_id", "sx", "sy"), s, "way_id", "sign", ("sx", "sy"), ("px", "py"), 50.0)
+
+
+@query("""c AS (SELECT l.lane_id FROM b_lane l JOIN b_n a ON a.way_id = l.left_way JOIN b_n b ON b.way_id = l.right_way)
+SELECT lane_id AS lane, 'left' AS side, lane_id - 1 AS other, true AS same_direction FROM c WHERE lane_id - 1 IN (SELECT lane_id FROM c) AND lane_id % 5 > 0 AND lane_id % 3 > 0
+UNION ALL SELECT lane_id - 1, 'right', lane_id, true FROM c WHERE lane_id - 1 IN (SELECT lane_id FROM c) AND lane_id % 5 > 0 AND lane_id % 3 > 0""")
+def coincident_adjacency(spark, sf):
+    """Lanes beside one another by borders that are drawn twice, the copies 1 mm apart, or 10 cm for each third."""
+    w = F.col("way_id")
+    e = B.lines(spark, sf)
+    # the nodes of a border are its own, so that only its two copies share them
+    drawn = lambda name, line: e.select(F.concat(F.lit(name), w.cast("string")).alias("border"), F.concat(w.cast("string"), F.lit("s")).alias("start_node"), F.concat(w.cast("string"), F.lit("e")).alias("end_node"), line.alias("line"))
+    off = F.when(w % 3 == 0, 0.1).otherwise(0.001)
+    moved = F.transform("line", lambda p: F.struct(p["x"].alias("x"), (p["y"] + off).alias("y")))
+    lanes = B.lanes(spark, sf).where("right_way is not null")
+    both = lanes.join(e.select(w.alias("left_way")), "left_way", "left_semi").join(e.select(w.alias("right_way")), "right_way", "left_semi")
+    named = both.select(F.col("lane_id").alias("lane"), F.concat(F.lit("l"), F.col("left_way").cast("string")).alias("left"), F.concat(F.lit("r"), F.col("right_way").cast("string")).alias("right"))
+    return J.coincident_adjacency(named, drawn("l", moved).unionAll(drawn("r", F.col("line"))), 0.01)

@@ -10,7 +10,6 @@ from roadloom.operators import graphs as G
 from roadloom.operators import joins as J
 from roadloom.operators import lanes as L
 from roadloom.operators import quality as Q
-from roadloom.operators.storage import written
 from roadloom.plans import bridge as B
 from roadloom.plans.catalogue import _COUNTS, _PAIRS, coverage_rows, query, successors
 from roadloom.plans.catalogue_more import _CELLS, cells
@@ -155,15 +154,7 @@ def nearest_city(spark, sf):
     """Labels nodes with the nearest place of a gazetteer: places are sought within growing distances, by grid cells."""
     s = F.col("s_suppkey")
     places = B.load(spark, sf, "supplier").select(s.alias("city"), ((s % 50) * F.lit(10.0)).alias("cx"), ((s % 37) * F.lit(10.0)).alias("cy"))
-    found, left, reach = None, B.nodes(spark, sf).select("node_id", "x", "y"), 50.0
-    while not places.isEmpty():
-        near = J.epsilon_join(left, places, ("x", "y"), ("cx", "cy"), reach).groupBy("node_id").agg(F.min(F.struct(F.round(F.pow("distance", F.lit(2)), 6).alias("d"), "city")).alias("m"))
-        near = written(near.select("node_id", F.col("m.city").alias("city")))
-        found = near if found is None else found.unionAll(near)
-        left, reach = written(left.join(near, "node_id", "left_anti")), reach * 4
-        if left.isEmpty():
-            break
-    return found if found is not None else left.select("node_id", F.lit(None).cast("long").alias("city")).limit(0)
+    return J.nearest_any(B.nodes(spark, sf), places, "node_id", "city", ("x", "y"), ("cx", "cy"), 50.0).select("node_id", "city")
 
 
 @query(_COUNTS + """, r AS (SELECT map_id, kind, status, expected - found AS missing FROM s WHERE status <> 'PASS')

@@ -155,3 +155,31 @@ def lane_borders(t: RoadTables, step: float = 0.5) -> DataFrame:
     j = j.withColumn("inner", inner).withColumn("outer", outer)
     place = lambda v, c: F.when(F.col("bend").isNotNull(), F.col(f"p.{c}") + F.col(v) * (-F.sin("heading") if c == "x" else F.cos("heading")))
     return j.select("map_id", "road_id", "section", "lane_id", "s", "inner", "outer", *[place(v, c).alias(f"{c}_{v}") for v in ("inner", "outer") for c in ("x", "y")])
+
+
+def statistics(t: RoadTables) -> DataFrame:
+    """(map_id, what, kind, count): roads, junctions, sections, lanes by type, geometry, signals and objects of each map."""
+    none = F.lit(None).cast("string")
+    count = lambda df, what, kind: df.select("map_id", F.lit(what).alias("what"), kind.alias("kind"))
+    rows = count(t.road, "road", F.when(F.col("junction").isNull(), "ordinary").otherwise("connecting"))
+    rows = rows.unionAll(count(t.junction_link.select("map_id", "junction_id").distinct(), "junction", none)).unionAll(count(t.junction_link, "lane link", none))
+    rows = rows.unionAll(count(t.lane.select("map_id", "road_id", "section").distinct(), "section", none)).unionAll(count(t.lane.where("lane_id <> 0"), "lane", F.col("type")))
+    rows = rows.unionAll(count(t.geometry, "geometry", F.col("kind"))).unionAll(count(t.signal, "signal", F.col("type"))).unionAll(count(t.object, "object", F.col("type")))
+    return rows.groupBy("map_id", "what", "kind").agg(F.count("*").alias("count"))
+
+
+def structure_checks(t: RoadTables) -> DataFrame:
+    """(map_id, check, status, found, expected): FAIL where road ids repeat, a road has no length, plan view or lanes, or a junction link names a
+    road or lane that isn't there."""
+    road = t.road.select("map_id", "road_id", "length")
+    all_ = road.groupBy("map_id").agg(F.count("*").alias("expected"), F.countDistinct("road_id").alias("unique"), F.count_if(F.col("length") > 0).alias("long"))
+    ids = road.select("map_id", "road_id").distinct()
+    has = lambda df: ids.join(df.select("map_id", "road_id").distinct(), ["map_id", "road_id"], "left_semi").groupBy("map_id").agg(F.count("*").alias("found"))
+    total = ids.groupBy("map_id").agg(F.count("*").alias("expected"))
+    rows = all_.select("map_id", F.lit("unique road ids").alias("check"), F.col("unique").alias("found"), "expected").unionAll(all_.select("map_id", F.lit("positive length"), "long", "expected"))
+    for name, df in (("plan view", t.geometry), ("lanes", t.lane.where("lane_id <> 0"))):
+        rows = rows.unionAll(total.join(has(df), "map_id", "left").select("map_id", F.lit(name), F.coalesce("found", F.lit(0)), "expected"))
+    lanes = t.lane.select("map_id", "road_id", "lane_id").distinct()
+    link = t.junction_link.join(lanes.toDF("map_id", "incoming", "from_lane").withColumn("a", F.lit(1)), ["map_id", "incoming", "from_lane"], "left").join(lanes.toDF("map_id", "connecting", "to_lane").withColumn("b", F.lit(1)), ["map_id", "connecting", "to_lane"], "left")
+    links = link.groupBy("map_id").agg(F.count(F.col("a") + F.col("b")).alias("found"), F.count("*").alias("expected")).select("map_id", F.lit("junction lane links"), "found", "expected")
+    return rows.unionAll(links).withColumn("status", F.when(F.col("found") < F.col("expected"), "FAIL").otherwise("PASS"))

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.functions import signs
-from roadloom.operators import lanes, products, roundtrip
+from roadloom.functions import frames, signs
+from roadloom.operators import joins, lanes, products, roundtrip
 from roadloom.sources import repairs
 
 
@@ -107,3 +107,31 @@ def test_edges_go_through_generated_pieces_only(spark):
     made = spark.createDataFrame([(1, 2, "successor"), (1, 90, "successor"), (90, 91, "successor"), (91, 3, "successor"), (2, 4, "successor")], "src long, dst long, role string")
     got = {(r.src, r.dst, r.role): r.how for r in roundtrip.kept_edges(source, mapping, made).collect()}
     assert got == {("A", "B", "successor"): "direct", ("A", "C", "successor"): "path", ("A", "D", "successor"): None, ("B", "A", "left"): None}
+
+
+def test_frames_without_a_way_are_refused(spark):
+    g, p, site = ("geographic", None, None, None), ("projected", None, 32, False), ("engineering", "site", None, None)
+    rows = spark.createDataFrame([(11.0, 48.0, g, p), (1.0, 2.0, site, site), (11.0, 48.0, g, g)], f"x double, y double, a {frames.FRAME}, b {frames.FRAME}")
+    got = [(r.how, r.p.x, r.p.y) for r in rows.select(frames.how(F.col("a"), F.col("b")).alias("how"), frames.transformed(F.col("x"), F.col("y"), F.col("a"), F.col("b")).alias("p")).collect()]
+    assert [h for h, *_ in got] == ["project", "identity", "identity"] and got[1][1:] == (1, 2) and abs(got[0][1] - 649224) < 5000
+    bad = spark.createDataFrame([(1.0, 2.0, site, p)], rows.schema)
+    with pytest.raises(Exception, match="cannot be reconciled"):
+        bad.select(frames.transformed(F.col("x"), F.col("y"), F.col("a"), F.col("b")).alias("p")).collect()
+    assert bad.select(frames.transformed(F.col("x"), F.col("y"), F.col("a"), F.col("b"), strict=False).alias("p")).first().p is None
+
+
+def test_points_are_welded_in_order(spark):
+    """A chain of points 4 cm apart: every other one is kept; height tells points apart, and maps do."""
+    rows = [("m", k, 0.04 * k, 0.0, 0.0) for k in range(6)] + [("m", 10, 0.0, 0.0, 3.0), ("n", 11, 0.0, 0.0, None), ("n", 12, 0.049, 0.0, 0.0), ("n", 13, -0.03, 0.03, 0.0)]
+    got = {(r.map_id, r.id): r.onto for r in joins.weld(spark.createDataFrame(rows, "map_id string, id long, x double, y double, z double"), 0.05).collect()}
+    assert [got["m", k] for k in range(6)] == [0, 0, 2, 2, 4, 4]
+    assert got["m", 10] == 10 and [got["n", k] for k in (11, 12, 13)] == [11, 11, 11]
+    assert joins.weld(spark.createDataFrame([], "map_id string, id long, x double, y double, z double"), 0.05).count() == 0
+
+
+def test_borders_that_coincide(spark):
+    line = lambda *p: [(float(x), float(y)) for x, y in p]
+    borders = [("a", "1", "2", line((0, 0), (5, 0), (10, 0))), ("a2", "1", "2", line((0, 0.001), (5, 0), (10, 0))), ("b", "3", "4", line((0, 3), (10, 3))), ("b2", "4", "3", line((10, 3), (0, 3))), ("c", "5", "6", line((0, 6), (10, 6))), ("d", "7", "8", line((0, -3), (10, -3)))]
+    made = [("low", "a", "d"), ("mid", "b", "a2"), ("top", "b2", "c")]  # top runs the other way, so b2 is its left border
+    got = {(r.lane, r.side): (r.other, r.same_direction) for r in joins.coincident_adjacency(spark.createDataFrame(made, "lane string, left string, right string"), spark.createDataFrame(borders, "border string, start_node string, end_node string, line array<struct<x: double, y: double>>"), 0.01).collect()}
+    assert got == {("low", "left"): ("mid", True), ("mid", "right"): ("low", True), ("mid", "left"): ("top", False), ("top", "left"): ("mid", False)}

@@ -145,6 +145,17 @@ def test_degrees_become_metres(spark, tmp_path):
     assert {r["mode"] for r in osm.coordinates(osm.read(spark, put(tmp_path, "s.osm", south))).collect()} == {"utm_epsg_32732"}
 
 
+def test_statistics_and_structure(spark, tmp_path):
+    t = opendrive.read(spark, put(tmp_path, "j.xodr", JOINED))
+    counts = {(r.what, r.kind): r["count"] for r in opendrive.statistics(t).collect()}
+    assert counts["road", "ordinary"] == 1 and counts["road", "connecting"] == 2 and counts["lane", "driving"] == 6 and counts["lane link", None] == 2 and counts["section", None] == 5
+    checks = {r.check: (r.status, r.found, r.expected) for r in opendrive.structure_checks(t).collect()}
+    assert checks == {"unique road ids": ("PASS", 3, 3), "positive length": ("PASS", 3, 3), "plan view": ("FAIL", 0, 3), "lanes": ("PASS", 3, 3), "junction lane links": ("PASS", 2, 2)}
+    broken = opendrive.read(spark, put(tmp_path, "k.xodr", JOINED.replace('from="2" to="1"', 'from="7" to="1"').replace('id="c" length="9"', 'id="a" length="0"')))
+    checks = {r.check: (r.status, r.found) for r in opendrive.structure_checks(broken).collect()}
+    assert checks["unique road ids"] == ("FAIL", 2) and checks["positive length"] == ("FAIL", 2) and checks["junction lane links"] == ("FAIL", 1)
+
+
 def test_folder_stream_records_a_file_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in", "a.osm", MAP)
