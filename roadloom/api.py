@@ -81,6 +81,9 @@ def road_profiles(m: osm.MapTables) -> DataFrame:
     count = lambda k: F.when(t[k].try_cast("int") >= 0, t[k].try_cast("int"))
     known = F.col("road_class").isin(*T.ROAD_CLASSES)
     r = osm.roads(m).select("map_id", "way_id", "tags", t["highway"].alias("road_class"), count("lanes").alias("lanes"), count("lanes:forward").alias("forward"), count("lanes:backward").alias("backward"), T.one_way(t["oneway"], t["junction"]).alias("oneway"))
+    # turn lanes override lane counts
+    forward, backward = T.turn_lane_lists(t["turn:lanes"], t["turn:lanes:forward"], t["turn:lanes:backward"], F.col("oneway"))
+    r = r.withColumn("forward", F.when(forward.isNotNull(), F.size(forward)).otherwise(F.col("forward"))).withColumn("backward", F.when(backward.isNotNull(), F.size(backward)).otherwise(F.col("backward")))
     r = T.with_lane_counts(r.withColumn("road_class", F.when(known, F.col("road_class")).otherwise("unclassified")))
     r = T.with_width(r.withColumns({"width": t["width"], "width_lanes": t["width:lanes"], "est_width": t["est_width"]}))
     return r.select("map_id", "way_id", "road_class", "lanes", "forward", "backward", "oneway", "width_m", "width_basis", "lane_widths", "estimated", T.speed(F.coalesce(t["maxspeed"], F.col("road_class"))).alias("speed"))

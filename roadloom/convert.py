@@ -71,7 +71,7 @@ def from_ways(m: MapTables) -> MapTables:
     Borders are shared by the lanes of a direction on both sides of them; backward ones are drawn against the way. Lanes name their way in the tag source:osm:way; turns and speeds are tags, too.
     """
     roads = written(api.road_profiles(m)).join(m.way.select("map_id", "way_id", "tags"), ["map_id", "way_id"]).join(api.way_lines(m), ["map_id", "way_id"]).where(F.col("lanes") > 0)
-    one = roads.select("map_id", "way_id", "line", "speed", F.col("forward").alias("forward_lanes"), F.col("backward").alias("backward_lanes"), (F.col("width_m") / F.col("lanes")).alias("lane_width"), *[F.transform(F.split(F.col("tags")[f"turn:lanes{k}"], r"\|"), lambda v: T.turn_lane(v)).alias(n) for k, n in ((":forward", "turns_forward"), (":backward", "turns_backward"))])
+    one = roads.select("map_id", "way_id", "line", "speed", F.col("forward").alias("forward_lanes"), F.col("backward").alias("backward_lanes"), (F.col("width_m") / F.col("lanes")).alias("lane_width"), *[v.alias(n) for v, n in zip(T.turn_lane_lists(*(F.col("tags")[f"turn:lanes{k}"] for k in ("", ":forward", ":backward")), F.col("oneway")), ("turns_forward", "turns_backward"), strict=True)])
     one = written(one.where(F.col("forward_lanes") + F.col("backward_lanes") > 0))
     n = F.col("forward_lanes") + F.col("backward_lanes")
     back = F.col("backward_lanes")

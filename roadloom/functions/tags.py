@@ -68,6 +68,13 @@ def turn_lane(value: Column) -> Column:
     return F.when(value == "", "none").when(value.isin(*TURN_LANES), value).when(parts == "", "none").otherwise(parts)
 
 
+def turn_lane_lists(both: Column, forward: Column, backward: Column, oneway: Column) -> tuple[Column, Column]:
+    """Arrays of the forward and the backward turn lanes, null for none; on a one-way road the tag without a direction counts as forward."""
+    known = F.coalesce(forward, F.when(F.coalesce(oneway, F.lit(False)), both))
+    listed = lambda v: F.transform(F.split(v, r"\|"), lambda x: turn_lane(x))
+    return listed(known), listed(backward)
+
+
 def one_way(oneway: Column, junction: Column) -> Column:
     """true, false or null (unknown); a roundabout is one-way unless tagged otherwise."""
     return F.when(oneway.isNotNull(), oneway.isin(*ONE_WAY)).when(junction == "roundabout", True)

@@ -54,6 +54,14 @@ def test_profiles_and_checks(two):
     assert {r.status for r in api.diagnose(two, Settings(categories=("raster",))).collect()} == {"SKIP"}
 
 
+def test_turn_lanes_override_counts(spark, tmp_path):
+    tags = {"1": {"lanes": "2", "lanes:forward": "1", "turn:lanes:forward": "left|through|right"}, "2": {"oneway": "yes", "lanes": "1", "turn:lanes": "left|right"}, "3": {"lanes": "2", "turn:lanes": "left|right"}}
+    ways = "".join(f'<way id="{i}"><nd ref="1"/><nd ref="2"/><tag k="highway" v="primary"/>' + "".join(f'<tag k="{k}" v="{v}"/>' for k, v in t.items()) + "</way>" for i, t in tags.items())
+    (tmp_path / "t.osm").write_text('<?xml version="1.0"?><osm><node id="1" lat="48" lon="11"/><node id="2" lat="48" lon="11.001"/>' + ways + "</osm>")
+    got = {r.way_id: (r.lanes, r.forward, r.backward, r.oneway) for r in api.road_profiles(osm.read(spark, str(tmp_path / "t.osm"))).collect()}
+    assert got == {"1": (3, 3, 0, True), "2": (2, 2, 0, True), "3": (2, 1, 1, False)}
+
+
 def test_settings(tmp_path):
     path = tmp_path / "s.json"
     path.write_text('{"resolution": 1, "categories": ["raster"]}')
