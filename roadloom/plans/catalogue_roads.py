@@ -151,10 +151,10 @@ def one_way_pairs(spark, sf):
 @query("""c AS (SELECT s_suppkey AS city, s_suppkey % 50 * 10.0::DOUBLE AS cx, s_suppkey % 37 * 10.0::DOUBLE AS cy FROM supplier),
 d AS (SELECT node_id, city, round((x - cx) ** 2 + (y - cy) ** 2, 6) AS far FROM b_node, c) SELECT node_id, arg_min(city, (far, city)) AS city FROM d GROUP BY node_id""")
 def nearest_city(spark, sf):
-    """Labels nodes with the nearest place of a gazetteer: places are sought within growing distances, by grid cells."""
+    """Labels nodes with the nearest place of a gazetteer, however far."""
     s = F.col("s_suppkey")
     places = B.load(spark, sf, "supplier").select(s.alias("city"), ((s % 50) * F.lit(10.0)).alias("cx"), ((s % 37) * F.lit(10.0)).alias("cy"))
-    return J.nearest_any(B.nodes(spark, sf), places, "node_id", "city", ("x", "y"), ("cx", "cy"), 50.0).select("node_id", "city")
+    return J.nearest_any(B.nodes(spark, sf), places, "node_id", "city", ("x", "y"), ("cx", "cy")).select("node_id", "city")
 
 
 @query(_COUNTS + """, r AS (SELECT map_id, kind, status, expected - found AS missing FROM s WHERE status <> 'PASS')
