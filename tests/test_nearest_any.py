@@ -68,3 +68,22 @@ def test_nearest_city_of_far_nodes(spark, tmp_path):
     some = got.sort_values("node_id")[::401]
     want = brute([(n % 50 * 10.0, n // 50 * 10.0) for n in some["node_id"]], places)
     assert [q for q, _ in want] == list(some["city"])
+
+
+def test_nearest_sign_of_far_ways(spark, tmp_path):
+    from roadloom.plans import catalogue_lanes
+
+    d = far_tables(spark, tmp_path)
+    k = F.col("id")
+    ways = spark.range(80_000)
+    ways.select(k.alias("o_orderkey"), F.lit("O").alias("o_orderstatus"), F.lit("1").alias("o_orderpriority"), F.lit(1.0).alias("o_totalprice")).write.parquet(f"{d}/orders.parquet")
+    one = {c: F.lit(1.0) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")} | {c: F.lit("N") for c in ("l_returnflag", "l_linestatus")}
+    rows = ways.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).select(k.alias("l_orderkey"), ((k + 7 * F.col("n") - 7) % 80_000).alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"), F.col("n").alias("l_linenumber"), F.current_timestamp().alias("l_shipdate"))
+    rows.withColumns(one).write.parquet(f"{d}/lineitem.parquet")
+    got = within(spark, 60, lambda: catalogue_lanes.nearest_sign(spark, d))
+    assert len(got) == 80_000
+    k = np.arange(1850)
+    places = np.column_stack([k, k % 50 * 10.0 + 1, k % 37 * 10.0 + 2])
+    some = got.sort_values("way_id")[::401]
+    for (q, distance), r in zip(brute([(n % 50 * 10.0, n // 50 * 10.0) for n in some["way_id"]], places), some.itertuples(), strict=True):
+        assert (q, distance) == (r.sign, pytest.approx(r.distance, abs=2e-6))
