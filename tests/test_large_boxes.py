@@ -90,3 +90,11 @@ def test_raster_coverage(spark, large, want):
     for m in range(MAPS):
         row = got.loc[m]
         assert (row["total"], row["related"], row["encoded"]) == (WAYS // MAPS, related[m], len(np.unique(index[m][index[m] >= 0])))
+
+
+def test_occupancy(spark, large, want):
+    got = within(spark, 60, lambda: catalogue_more.occupancy(spark, large)).set_index("map_id")
+    for m, there in enumerate(want[1] >= 0):
+        rows, cols = np.nonzero(there)
+        extent = (np.ptp(rows) + 1) * (np.ptp(cols) + 1)
+        assert (got.loc[m, "free"], got.loc[m, "occupied"]) == (there.sum(), extent - there.sum())
