@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from roadloom.operators import raster as R
-from roadloom.plans import catalogue_more
+from roadloom.plans import catalogue_lanes, catalogue_more
 
 WAYS, MAPS, ROWS, COLS = 20_000, 40, 2_000, 25
 
@@ -98,3 +98,10 @@ def test_occupancy(spark, large, want):
         rows, cols = np.nonzero(there)
         extent = (np.ptp(rows) + 1) * (np.ptp(cols) + 1)
         assert (got.loc[m, "free"], got.loc[m, "occupied"]) == (there.sum(), extent - there.sum())
+
+
+def test_raster_layers(spark, large, want):
+    got = within(spark, 60, lambda: catalogue_lanes.raster_layers(spark, large)).set_index("map_id")
+    for m, there in enumerate(want[1] >= 0):
+        row, col = np.nonzero(there)
+        assert list(got.loc[m, ["drivable", "centerline", "anchor"]]) == [len(row), ((row * 3 + col) % 7 == 0).sum(), ((row + col) % 31 == 0).sum()]
