@@ -105,3 +105,13 @@ def test_raster_layers(spark, large, want):
     for m, there in enumerate(want[1] >= 0):
         row, col = np.nonzero(there)
         assert list(got.loc[m, ["drivable", "centerline", "anchor"]]) == [len(row), ((row * 3 + col) % 7 == 0).sum(), ((row + col) % 31 == 0).sum()]
+
+
+def test_raster_blocks(spark, large, want):
+    bits, index, _ = want
+    got = within(spark, 60, lambda: catalogue_more.raster_blocks(spark, large))
+    wide = np.pad(bits, ((0, 0), (0, 0), (0, 1))), np.pad(index, ((0, 0), (0, 0), (0, 1)), constant_values=-1)
+    bits, index = (v.reshape(MAPS, ROWS // 2, 2, (COLS + 1) // 2, 2) for v in wide)
+    bits, index = np.bitwise_or.reduce(np.bitwise_or.reduce(bits, 4), 2), index.max((2, 4))
+    at = got["map_id"], got["row"], got["col"]
+    assert len(got) == (index >= 0).sum() and (bits[at] == got["bits"]).all() and (index[at] == got["lane_index"]).all()
