@@ -115,3 +115,11 @@ def test_raster_blocks(spark, large, want):
     bits, index = np.bitwise_or.reduce(np.bitwise_or.reduce(bits, 4), 2), index.max((2, 4))
     at = got["map_id"], got["row"], got["col"]
     assert len(got) == (index >= 0).sum() and (bits[at] == got["bits"]).all() and (index[at] == got["lane_index"]).all()
+
+
+def test_raster_consistency(spark, large, want):
+    got = within(spark, 60, lambda: catalogue_lanes.raster_consistency(spark, large)).set_index("map_id")
+    for m, there in enumerate(want[1] >= 0):
+        # drivable cells agree with occupied ones in row 3 of each ninth map
+        off = there[3].sum() if m % 9 == 0 else 0
+        assert (got.loc[m, "cells"], got.loc[m, "matching"]) == (there.sum(), there.sum() - off)
