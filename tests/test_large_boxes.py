@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from roadloom.operators import raster as R
-from roadloom.plans import catalogue_lanes, catalogue_more
+from roadloom.plans import catalogue_lanes, catalogue_more, catalogue_roads
 
 WAYS, MAPS, ROWS, COLS = 20_000, 40, 2_000, 25
 
@@ -123,3 +123,11 @@ def test_raster_consistency(spark, large, want):
         # drivable cells agree with occupied ones in row 3 of each ninth map
         off = there[3].sum() if m % 9 == 0 else 0
         assert (got.loc[m, "cells"], got.loc[m, "matching"]) == (there.sum(), there.sum() - off)
+
+
+def test_raster_iou(spark, large, want):
+    got = within(spark, 60, lambda: catalogue_roads.raster_iou(spark, large)).set_index("map_id")
+    for m, there in enumerate(np.pad(want[1] >= 0, ((0, 0), (0, 0), (0, 1)))):
+        moved = there.copy()
+        moved[::9] = np.roll(there[::9], 1, axis=1)
+        assert got.loc[m, "iou"] == pytest.approx((there & moved).sum() / (there | moved).sum(), abs=1e-6)
