@@ -131,3 +131,13 @@ def test_raster_iou(spark, large, want):
         moved = there.copy()
         moved[::9] = np.roll(there[::9], 1, axis=1)
         assert got.loc[m, "iou"] == pytest.approx((there & moved).sum() / (there | moved).sum(), abs=1e-6)
+
+
+def test_raster_preview(spark, large, want):
+    got = within(spark, 60, lambda: catalogue_lanes.raster_preview(spark, large)).set_index(["map_id", "layer"])["cells"].to_dict()
+    counts = {}
+    for m, there in enumerate(want[1] >= 0):
+        row, col = np.nonzero(there)
+        layer = np.select([(row + col) % 31 == 0, (row * 3 + col) % 7 == 0, (row + col) % 5 == 0], ["anchor", "centerline", "boundary"], "drivable")
+        counts |= {(m, name): int(n) for name, n in zip(*np.unique(layer, return_counts=True), strict=True)}
+    assert got == counts
