@@ -282,7 +282,7 @@ def nearest_sign(spark, sf):
     """The sign nearest to each lane's start, however far."""
     k = F.col("s_suppkey")
     s = B.load(spark, sf, "supplier").select(k.alias("sign"), ((k % 50) * F.lit(10.0) + 1).alias("px"), ((k % 37) * F.lit(10.0) + 2).alias("py"))
-    return J.nearest_any(B.ends(spark, sf).select("way_id", "sx", "sy"), s, "way_id", "sign", ("sx", "sy"), ("px", "py"))
+    return J.nearest_any(B.starts(spark, sf), s, "way_id", "sign", ("x", "y"), ("px", "py"), unique=True)
 
 
 @query("""c AS (SELECT l.lane_id FROM b_lane l JOIN b_n a ON a.way_id = l.left_way JOIN b_n b ON b.way_id = l.right_way)
