@@ -94,7 +94,8 @@ def painted(boxes: DataFrame, bits: list[str], maxima: list[str]) -> DataFrame:
         tiles = tiles.unionByName(runs)
 
     def paint(table: pa.Table) -> pa.Table:
-        r0, r1, c0, c1 = (table.column(c).to_numpy().astype(np.int64) for c in ("rfirst", "rlast", "cfirst", "clast"))
+        span = table.column("span").to_numpy().astype(np.int64)
+        r0, r1, c0, c1 = (span >> k * TILE_BITS & (TILE - 1) for k in range(4))
         top, left = r0.min(), c0.min()
         height, width = int(r1.max() - top) + 1, int(c1.max() - left) + 1
         kr, kc = (np.frexp(n)[1].astype(np.int64) - 1 for n in (r1 - r0 + 1, c1 - c0 + 1))
@@ -113,8 +114,10 @@ def painted(boxes: DataFrame, bits: list[str], maxima: list[str]) -> DataFrame:
             out[c] = pa.array(spread(table.column(c).to_numpy().astype(np.int64), op, empty)[row, col]).cast(table.schema.field(c).type)
         return pa.table(out)
 
-    # dealt by tile, equal pieces become one before they are gathered
-    dealt = tiles.repartition("map_id", "rtile", "ctile").groupBy(*[k for k in keys if "level" not in k]).agg(*merged)
+    # dealt by tile, equal pieces become one before they are gathered; the four ends within a tile are one number
+    ends = [F.shiftleft(F.col(c).cast("long"), k * TILE_BITS) for k, c in enumerate(("rfirst", "rlast", "cfirst", "clast"))]
+    tiles = tiles.select("map_id", "rtile", "ctile", (ends[0] + ends[1] + ends[2] + ends[3]).alias("span"), *values)
+    dealt = tiles.repartition("map_id", "rtile", "ctile").groupBy("map_id", "rtile", "ctile", "span").agg(*merged)
     return dealt.groupBy("map_id", "rtile", "ctile").applyInArrow(paint, f"map_id {types['map_id']}, row long, col long, " + ", ".join(f"{c} {types[c]}" for c in values))
 
 

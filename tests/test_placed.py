@@ -2,10 +2,8 @@
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
-from roadloom.plans import bridge, catalogue, catalogue_lanes
-from roadloom.plans import catalogue_more  # noqa: F401  it registers its queries
+from roadloom.plans import bridge, catalogue, catalogue_lanes, catalogue_more, catalogue_roads  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +33,19 @@ def same(spark, odd, name):
     assert len(want) and plain(got) == plain(want)
 
 
+@pytest.fixture
+def even(spark, tmp_path):
+    """20,000 nodes that all are there once, and more of them than Spark may broadcast."""
+    con = duckdb.connect()
+    con.sql(f"copy (select k::bigint as p_partkey, 1 as p_size from range(20000) t(k)) to '{tmp_path}/part.parquet' (format parquet)")
+    con.sql(f"copy (select k::bigint as o_orderkey, 'O' as o_orderstatus, '1' as o_orderpriority, 1.0::double as o_totalprice from range(9000) t(k)) to '{tmp_path}/orders.parquet' (format parquet)")
+    rest = "1::bigint as l_suppkey, 1.0::double as l_quantity, 1.0::double as l_extendedprice, 0.0::double as l_discount, 0.0::double as l_tax, 'N' as l_returnflag, 'O' as l_linestatus, timestamp '2020-01-01' as l_shipdate"
+    con.sql(f"copy (select (k // 3)::bigint as l_orderkey, (k * 7919 % 20000)::bigint as l_partkey, (k % 3)::int as l_linenumber, {rest} from range(27000) t(k)) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    yield str(tmp_path)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def by_node(df) -> int:
     """Shuffles by node in the plan of a query."""
     return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(node_id")
@@ -44,10 +55,14 @@ def test_nearest_sign_of_odd_nodes(spark, odd):
     same(spark, odd, "nearest_sign")
 
 
-def test_starts_are_not_dealt_by_node(spark, odd):
+def test_starts_are_not_dealt_by_node(spark, even):
+    starts = bridge.starts(spark, even)
+    assert by_node(starts) == 0 and starts.count() == 9000
+
+
+def test_starts_of_odd_nodes(spark, odd):
     d, con = odd
     starts = bridge.starts(spark, d)
-    assert by_node(starts) == 0
     want = con.sql("WITH " + bridge.SQL.strip() + " SELECT DISTINCT way_id, sx, sy FROM b_end").limit(10_000).fetchall()
     assert sorted(map(tuple, starts.collect())) == sorted(want)
 
@@ -56,3 +71,24 @@ def test_nearest_sign_deals_each_way_once(spark, odd):
     """A way's start is found once: no second grouping by way follows the search."""
     plan = catalogue_lanes.nearest_sign(spark, odd[0])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(way_id" not in plan
+
+
+RASTERS = ["occupancy", "raster_layers", "raster_blocks", "raster_consistency", "raster_iou", "raster_preview", "raster_cells", "raster_coverage"]
+
+
+@pytest.mark.parametrize("name", RASTERS)
+def test_rasters_of_odd_nodes(spark, odd, name):
+    same(spark, odd, name)
+
+
+def test_boxes_are_not_dealt_by_node(spark, even):
+    """What all rasters begin with: a row for each way is dealt, not one for each node of each way."""
+    boxes = catalogue_more.boxes(spark, even)
+    assert by_node(boxes) == 0 and boxes.count() == 9000
+
+
+def test_boxes_of_odd_nodes(spark, odd):
+    d, con = odd
+    boxes = catalogue_more.boxes(spark, d)
+    want = con.sql("WITH " + bridge.SQL.strip() + " SELECT map_id, way_id, min(x), min(y), max(x), max(y) FROM b_pt JOIN b_way USING (way_id) GROUP BY map_id, way_id").limit(10_000).fetchall()
+    assert sorted(map(tuple, boxes.collect())) == sorted(want)
