@@ -102,10 +102,13 @@ u AS (SELECT map_id, count(*) AS shared FROM g JOIN t USING (map_id, row, col) G
 SELECT map_id, round(coalesce(shared, 0) / (a + b - coalesce(shared, 0)), 6) AS iou, CASE WHEN coalesce(shared, 0) >= 0.95 * (a + b - coalesce(shared, 0)) THEN 'PASS' ELSE 'FAIL' END AS status FROM n JOIN m USING (map_id) LEFT JOIN u USING (map_id)""")
 def raster_iou(spark, sf):
     """Shared cells over all cells of a raster and a copy with shifted rows."""
-    a = cells(spark, sf).select("map_id", "row", "col")
-    b = a.select("map_id", "row", (F.col("col") + F.when(F.col("row") % 9 == 0, 1).otherwise(0)).alias("col")).distinct()
-    marked = a.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(b.withColumn("a", F.lit(0)).withColumn("b", F.lit(1))).groupBy("map_id", "row", "col").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    c = marked.groupBy("map_id").agg(F.sum(F.col("a") * F.col("b")).alias("both"), F.count("*").alias("any"))
+    # cells are painted once: one of a shifted row stands for itself and its copy; all of another row are shared, and only counted
+    one = lambda col, a, b: F.struct(col.alias("col"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    col = F.col("col")
+    at = F.when(F.col("row") % 9 == 0, F.array(one(col, 1, 0), one(col + 1, 0, 1))).otherwise(F.array(one(F.lit(None).cast("long"), 1, 1)))
+    marked = cells(spark, sf).select("map_id", "row", F.explode(at).alias("at")).groupBy("map_id", "row", "at.col").agg(F.max("at.a").alias("a"), F.max("at.b").alias("b"), F.count("*").alias("n"))
+    weight = F.when(F.col("col").isNull(), F.col("n")).otherwise(1)
+    c = marked.groupBy("map_id").agg(F.sum(F.col("a") * F.col("b") * weight).alias("both"), F.sum(weight).alias("any"))
     return c.select("map_id", F.round(F.col("both") / F.col("any"), 6).alias("iou"), F.when(F.col("both") >= 0.95 * F.col("any"), "PASS").otherwise("FAIL").alias("status"))
 
 

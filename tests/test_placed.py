@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from roadloom.plans import bridge, catalogue, catalogue_lanes, catalogue_more, catalogue_roads  # noqa: F401
+from roadloom.plans import bridge, catalogue, catalogue_lanes, catalogue_more, catalogue_roads
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +92,8 @@ def test_boxes_of_odd_nodes(spark, odd):
     boxes = catalogue_more.boxes(spark, d)
     want = con.sql("WITH " + bridge.SQL.strip() + " SELECT map_id, way_id, min(x), min(y), max(x), max(y) FROM b_pt JOIN b_way USING (way_id) GROUP BY map_id, way_id").limit(10_000).fetchall()
     assert sorted(map(tuple, boxes.collect())) == sorted(want)
+
+
+def test_iou_paints_once(spark, odd):
+    plan = catalogue_roads.raster_iou(spark, odd[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
