@@ -28,6 +28,11 @@ def box_ranges(shapes: DataFrame, x0: str, y0: str, x1: str, y1: str, resolution
     return shapes.withColumns({"r0": first(y0), "r1": last(y1), "c0": first(x0), "c1": last(x1)}).where("r0 <= r1 and c0 <= c1")
 
 
+def block_ranges(boxes: DataFrame, factor: int) -> DataFrame:
+    """Boxes of cells as boxes of blocks of factor x factor: those with a cell in them. Painted, they are the blocks of the painted cells."""
+    return boxes.withColumns({c: F.floor(F.col(c) / factor) for c in ("r0", "r1", "c0", "c1")})
+
+
 def box_cells(shapes: DataFrame, x0: str, y0: str, x1: str, y1: str, resolution: float) -> DataFrame:
     """Cells whose centre lies in a shape's bounding box, only generated inside it: adds row and col. For products of whole boxes see painted."""
     kept = box_ranges(shapes, x0, y0, x1, y1, resolution).withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
@@ -128,12 +133,6 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
-def blocks(cells: DataFrame, factor: int, bits: list[str], maxima: list[str]) -> DataFrame:
-    """Cells of factor x factor: bitwise OR of some values, maximum of others."""
-    row, col = F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col")
-    return cells.groupBy("map_id", row, col).agg(*[F.bit_or(c).alias(c) for c in bits], *[F.max(c).alias(c) for c in maxima])
-
-
 def supersampling(wanted: Column, width: Column, height: Column, cap: int = 40_000_000) -> Column:
     """Samples a pixel side that 4 x cap pixels allow, at least 1."""
     return F.greatest(F.lit(1), F.least(wanted, F.floor(F.sqrt(4.0 * cap / (width * height))).cast("int")))

@@ -84,6 +84,26 @@ def test_painted_over_many_tiles(spark):
     assert not R.painted(boxes.limit(0), ["bits"], ["top"]).collect()
 
 
+@pytest.mark.parametrize("factor", [2, 3, 7])
+def test_painted_blocks_are_those_of_cells(spark, factor):
+    """Boxes on both sides of 0, of one cell up to some blocks."""
+    rng = np.random.default_rng(7)
+    blocks, rows = {}, []
+    for k in range(200):
+        a, c = (int(x) for x in rng.integers(-300, 300, 2))
+        box = a, a + int(rng.integers(0, 9)), c, c + int(rng.integers(0, 9))
+        rows.append((k % 3, *box, 1 << k % 8, k))
+        for row in range(box[0], box[1] + 1):
+            for col in range(box[2], box[3] + 1):
+                at = k % 3, row // factor, col // factor
+                seen = blocks.get(at, (0, 0))
+                blocks[at] = seen[0] | 1 << k % 8, k
+    boxes = spark.createDataFrame(rows, "map_id long, r0 long, r1 long, c0 long, c1 long, bits int, top long")
+    got = R.painted(R.block_ranges(boxes, factor), ["bits"], ["top"]).toPandas()
+    assert len(got) == len(blocks)
+    assert {(r[0], r[1], r[2]): (r[3], r[4]) for r in got.itertuples(index=False)} == blocks
+
+
 def test_raster_coverage(spark, large, want):
     _, index, related = want
     got = within(spark, 60, lambda: catalogue_more.raster_coverage(spark, large)).set_index("map_id")

@@ -97,3 +97,9 @@ def test_boxes_of_odd_nodes(spark, odd):
 def test_iou_paints_once(spark, odd):
     plan = catalogue_roads.raster_iou(spark, odd[0])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_blocks_are_painted_as_such(spark, odd):
+    """No cell is made to be grouped into its block: what paints gives the rows."""
+    plan = catalogue_more.raster_blocks(spark, odd[0])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.startswith("FlatMapGroupsInArrow")
