@@ -11,9 +11,10 @@ from roadloom.operators import joins as J
 from roadloom.operators import lanes as L
 from roadloom.operators import products as PR
 from roadloom.operators import quality as Q
+from roadloom.operators import raster as R
 from roadloom.plans import bridge as B
 from roadloom.plans.catalogue import _PAIRS, query, successors
-from roadloom.plans.catalogue_more import _CELLS, _LANE_EDGES, cells
+from roadloom.plans.catalogue_more import _CELLS, _LANE_EDGES, ranges
 from roadloom.sources import repairs as RE
 
 
@@ -195,9 +196,11 @@ _LAYERS = _CELLS + ", y AS (SELECT map_id, row, col, bits AS drivable, CASE WHEN
 
 
 def layers(spark, sf) -> DataFrame:
+    """(map_id, row, col, layers): without the ways' numbers, so equal pieces of ways are one."""
     one = lambda test: F.when(test, 1).otherwise(0)
     r, c = F.col("row"), F.col("col")
-    return cells(spark, sf).select("map_id", "row", "col", F.col("bits").alias("drivable"), one((r + c) % 5 == 0).alias("boundary"), one((r * 3 + c) % 7 == 0).alias("centerline"), one((r + c) % 31 == 0).alias("anchor"), one((F.col("map_id") % 9 == 0) & (r == 3)).alias("occupied"), "lane_index")
+    cells = R.painted(ranges(spark, sf), ["bits"], [])
+    return cells.select("map_id", "row", "col", F.col("bits").alias("drivable"), one((r + c) % 5 == 0).alias("boundary"), one((r * 3 + c) % 7 == 0).alias("centerline"), one((r + c) % 31 == 0).alias("anchor"), one((F.col("map_id") % 9 == 0) & (r == 3)).alias("occupied"))
 
 
 @query(_LAYERS + " SELECT map_id, CASE WHEN anchor > 0 THEN 'anchor' WHEN centerline > 0 THEN 'centerline' WHEN boundary > 0 THEN 'boundary' WHEN drivable > 0 THEN 'drivable' ELSE 'none' END AS layer, CAST(count(*) AS BIGINT) AS cells FROM y GROUP BY ALL")

@@ -124,3 +124,8 @@ def test_odd_nodes(spark, tmp_path):
         con.sql(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
     got = sorted(tuple(r) for r in bridge.odd_nodes(spark, str(tmp_path)).collect())
     assert got == sorted((k, n) for k, n in part if k in used and n != 1)
+
+
+def test_consistency_paints_no_numbers(spark, odd):
+    """Layers need no number of a way: pieces of ways that differ in nothing else are one."""
+    assert "lane_index" not in catalogue_lanes.raster_consistency(spark, odd[0])._jdf.queryExecution().executedPlan().toString()
