@@ -129,3 +129,8 @@ def test_odd_nodes(spark, tmp_path):
 def test_consistency_paints_no_numbers(spark, odd):
     """Layers need no number of a way: pieces of ways that differ in nothing else are one."""
     assert "lane_index" not in catalogue_lanes.raster_consistency(spark, odd[0])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preview_paints_no_numbers(spark, odd):
+    """Nor does a preview, whose colours depend on the cell alone."""
+    assert "lane_index" not in catalogue_lanes.raster_preview(spark, odd[0])._jdf.queryExecution().executedPlan().toString()
