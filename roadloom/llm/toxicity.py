@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import LOWER, NOT_LETTER, U64, forget, lean, mix, raw_text, steps, stored, word_hashes, word_spans
+from roadloom.llm.common import LOWER, NOT_LETTER, U64, forget, lean, mix, raw_text, release, steps, stored, word_hashes, word_spans
 from roadloom.llm.near_dup import CHUNKS, SYMBOLS, WIDTH, shingle_hashes, signatures
 
 MOST_EXAMPLES = 2000
@@ -395,6 +395,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     """
     sc = docs.sparkSession.sparkContext
     model = train(docs if training is None else training, labels)
+    release()  # the driver's Python keeps the model only
     if model.size > MOST_BYTES:
         raise ValueError(f"the model has {model.size} bytes, the bound is {MOST_BYTES}: lower most_examples")
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")

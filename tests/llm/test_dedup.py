@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from roadloom.llm import decontaminate as D
-from roadloom.llm import induced_sort, near_dup, suffix_dedup
+from roadloom.llm import common, induced_sort, near_dup, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, doc string, raw string, key long, node long"
 
@@ -249,6 +249,46 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, None])
+def test_components_are_those_of_brute_force(spark, few):
+    rng = random.Random(5)
+    edges = [(rng.randrange(10**9, 10**9 + 400), rng.randrange(10**9, 10**9 + 400)) for _ in range(300)]  # trees, rings, loops, repeats
+    edges += [(-k, -k - 1) for k in range(1, 300)] + [(5000 - k, 5001) for k in range(200)]  # a path, a hub with the largest id
+    edges += [(10**6 + min(k, (k * 37) % 256), 10**6 + (k * 37) % 256) for k in range(256)]
+    parent = {x: x for e in edges for x in e}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = common.components(spark.createDataFrame(edges, "a long, b long"), "a", "b", few=few).collect()
+    assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in linked)
+    assert common.components(spark.createDataFrame([(1, 1)], "a long, b long"), "a", "b", few=few).collect() == []
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """Each task costs the driver memory; rounds of 64 partitions took thousands."""
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("few edges", "")
+    try:
+        got = common.components(spark.createDataFrame([(k, k + 1) for k in range(100)], "a long, b long"), "a", "b").collect()
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup("few edges") for s in sc.statusTracker().getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(sc.statusTracker().getStageInfo, stages) if i)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.label for r in got} == {0} and len(got) == 101
+    assert 64 < tasks < 300
+
+
 def test_parity_bitmaps_never_overstate(spark):
     rng = np.random.default_rng(3)
     for _ in range(200):
